@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan
+from . import mixing, packing, secret_scan, simhash, winnowing
 from .common import table
 
 
@@ -12,5 +12,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(winnowing.edited_next(table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).takes()
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op7_winnowing": op7_winnowing, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {}
