@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secret_scan, simhash, winnowing
+from . import language_id, mixing, packing, quality, secret_scan, simhash, url_filter, winnowing
 from .common import table
 
 
@@ -16,17 +16,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.report(winnowing.edited_next(table(spark, sf_dir, "documents")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).takes()
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op7_winnowing": op7_winnowing, "op9_mixing": op9_mixing}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_packing, op4_quality, op5_simhash, op6_url_filter, op7_winnowing, op8_language_id, op9_mixing)}
 ORACLES: dict[str, str] = {}
