@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, quality, secret_scan, simhash, url_filter, winnowing
+from . import hnsw, language_id, mixing, packing, quality, secret_scan, simhash, url_filter, winnowing
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -40,5 +44,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).takes()
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_packing, op4_quality, op5_simhash, op6_url_filter, op7_winnowing, op8_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_hnsw, op3_packing, op4_quality, op5_simhash, op6_url_filter, op7_winnowing, op8_language_id, op9_mixing)}
 ORACLES: dict[str, str] = {}
