@@ -15,14 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df in the folder that spark.checkpoint.dir names, which every executor can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which every executor can read.
 
-    Only where no folder is set, as in tests on one machine, a temporary one is made.
+    Only where spark.checkpoint.dir is not set, as in tests on one machine, a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and cut off from how they were made."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
