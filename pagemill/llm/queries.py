@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, language_id, mixing, packing, quality, secret_scan, simhash, url_filter, winnowing
+from . import hnsw, language_id, language_model, mixing, packing, quality, secret_scan, simhash, url_filter, winnowing
 from .common import table
 
 
@@ -44,5 +44,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).takes()
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_hnsw, op3_packing, op4_quality, op5_simhash, op6_url_filter, op7_winnowing, op8_language_id, op9_mixing)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_hnsw, op3_packing, op4_quality, op5_simhash, op6_url_filter, op7_winnowing, op8_language_id, op9_mixing, op10_language_model)}
 ORACLES: dict[str, str] = {}
