@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports every module of queries."""
-    from .plans import edits, layout, objects, ocr, pages, pixels, spatial, streams  # noqa: F401
+    from .plans import edits, fonts, layout, objects, ocr, pages, pixels, spatial, streams  # noqa: F401

@@ -108,6 +108,22 @@ def test_predictors():
     assert X.unfilter(out[:4], 4, 2, 1) == b""
 
 
+def test_inpainting():
+    import numpy as np
+
+    flat = np.full((40, 60, 3), 250, np.uint8)
+    flat[15:20, 20:30] = 0
+    stats = X.region(flat, 18, 13, 14, 9, 3)
+    assert stats["ink"] == [0.0, 0.0, 0.0] and stats["bg"] == [255.0] * 3
+    patch = X.inpaint(flat, 18, 13, 14, 9, stats)
+    assert patch["uniform"] and patch["pixels"].shape == (9, 14, 3) and (patch["pixels"] == 250).all()
+    ramp = np.repeat(np.arange(60)[None, :, None] * 4, 40, 0).repeat(3, 2).astype(np.uint8)
+    px = X.inpaint(ramp, 20, 10, 10, 10, {"bg": [98.0] * 3, "spread": 60.0})["pixels"].astype(int)
+    assert abs(px[5, :, 0] - np.arange(20, 30) * 4).max() <= 12
+    assert X.inpaint(flat, 0, 0, 60, 40, {"bg": [1.0, 2.0, 3.0], "spread": 0.0})["color"] == [1.0, 2.0, 3.0]
+    assert X.stroke(np.pad(np.ones((2, 30), bool), 4)) == 2 * 60 / 64
+
+
 def test_character_maps():
     cmap = "beginbfchar <01> <0041> <02> <D83DDE00> endbfchar beginbfrange <10> <12> <0061> <20> <21> [<0031> <00320033>] endbfrange"
     assert E.unicode_map(cmap) == {1: "A", 2: "😀", 16: "a", 17: "b", 18: "c", 32: "1", 33: "23"}
