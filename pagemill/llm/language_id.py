@@ -191,7 +191,7 @@ def identify(docs: DataFrame, **kw) -> DataFrame:
     return predict(docs, *fit(docs, **kw))
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, **kw) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.35, **kw) -> DataFrame:
     """docs without those that have no language, or whose language has a score below `least`. Columns stay as they are."""
     languages, net = fit(docs, **kw)
 
