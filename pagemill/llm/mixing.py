@@ -134,7 +134,8 @@ class Mix:
                             yield pd.DataFrame({"number": np.full(len(at), s, np.int32), "block": at})
 
         drawn = spark.range(0, shards, 1, min(shards, max(1, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "number int, block long")
-        return drawn.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
+        # Spark takes a table made from a few shard numbers for a small one: the hint keeps it from being broadcast.
+        return drawn.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
 
     def _blocks(self, block: int, chunks: int) -> DataFrame:
         """Rows (number, block, doc_id, text_hash, place, size, first, words): words of the document in the block, from its word `first` on."""
