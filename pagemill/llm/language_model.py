@@ -1,26 +1,27 @@
 """Scores of texts under a hierarchical Pitman-Yor model of words, seated by Gibbs sampling.
 
 The root restaurant seats words over a uniform base of V + 1 outcomes (the last stands for all unknown
-words). Its children are the restaurants of the `contexts` most frequent preceding words and of the start
-of a text; a word after any other word is seated in the root itself. A table in a child is a customer
-of the root. Discounts come from the counts of counts, n1 / (n1 + 2 n2).
-
-The corpus is counted whole: words as 64-bit hashes, summed per task before they are shuffled. A row of
-the state is a word with its counts in every restaurant, so a sweep reseats words in parallel and
-needs no shuffle; the restaurants' totals are those of the sweep before. Words seen once have one
-seating only and are left out of the sweeps. Customers of a dish are seated one by one up to 16, then
-in blocks of a sixteenth, with the block's expected number of new tables rounded at random; all
-draws are hashes of word, restaurant and sweep. After `burn` sweeps the predictive probabilities of
-`samples` sweeps are averaged.
-
-Scoring: the `dense` most frequent words have a table of all contexts, bounded by dense x contexts
-numbers and broadcast. Other words of a text are summed per document, word and context and
-joined with the model by word.
+words). Every word that stands before another one, and the start of a text, has a restaurant of its own,
+a child of the root; a table in a child is a customer of the root. `contexts` restricts the children to
+that many of the most frequent words, for comparison; a word after any other word is then seated in the
+root itself. Discounts come from the counts of counts, n1 / (n1 + 2 n2).
+
+The corpus is counted whole, as pairs of a word and the one before it: words are 64-bit hashes, summed
+per task before they are shuffled. Words, restaurants and pairs are three tables; a sweep joins the pairs
+with the root's word by one key and with the restaurant's total by the other, and reseats them in
+parallel by the totals of the sweep before. Pairs seen once have one seating only and are left out of
+the sweeps. Customers of a dish are seated one by one up to 16, then in blocks of a sixteenth, with the
+block's expected number of new tables rounded at random; all draws are hashes of word, restaurant and
+sweep. After `burn` sweeps the predictive probabilities of `samples` sweeps are averaged.
+
+Scoring: the `dense` most frequent pairs are broadcast with their probabilities. Other pairs of a text
+are summed per document and pair and joined with the model by a 64-bit hash of the pair.
 
 Defined cases: a null text is an empty one, of an end alone; unknown words get the probability of the
-last outcome; a null doc_id is neither held out nor learned from; repeated rows are scored (and,
-where not held out, learned) each; without training texts N and V are 0 and an outcome is certain; only
-doc_id and text are read; an empty table gives an empty result.
+last outcome; a word never seen before another one has an empty restaurant, which is the root; a null
+doc_id is neither held out nor learned from; repeated rows are scored (and, where not held out, learned)
+each; without training texts N and V are 0 and an outcome is certain; only doc_id and text are read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, stored, text_or_empty
@@ -81,39 +82,54 @@ def place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _sums(k: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((w, k))
-    k, w = k[order], w[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]))[: len(k)]
-    return k[first], w[first], np.diff(np.append(first, len(k)))
+def joint(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of the pair, as `_joint` in Spark."""
+    x = u.view(np.uint64)
+    return w ^ ((x << np.uint64(17)) | (x >> np.uint64(47))).view(np.int64)
 
 
-def counted(docs: DataFrame, contexts: np.ndarray | None) -> DataFrame:
-    """Rows (k, w, n): with contexts None, how often each word stands in the texts, k = -1; else how often after context k."""
+def _joint() -> Column:
+    return F.col("w").bitwiseXOR(F.shiftleft("u", 17).bitwiseOR(F.shiftrightunsigned("u", 47)))
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts rows by the keys, the places in it where equal rows begin, and how many follow."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Rows (u, w, n, m): how often word w follows u in texts that are learned from, and in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            k, w, n = _sums(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            u, w, own = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], ["k", "w", "n"])
+            order, first, m = _runs(u, w)
+            n = np.add.reduceat(own[order].astype(np.int64), first)
+            return pa.RecordBatch.from_arrays([pa.array(u[order[first]]), pa.array(w[order[first]]), pa.array(n), pa.array(m)], ["u", "w", "n", "m"])
 
         for b in batches:
+            own, at = b.column(1).to_numpy(zero_copy_only=False), 0
             for hashes, counts in tokens(t.as_py() for t in b.column(0)):
-                if contexts is None:
-                    held.append((np.full(len(hashes), -1, np.int32), hashes))
-                else:
-                    k = place(contexts, before(hashes, counts)).astype(np.int32)
-                    held.append((k[k >= 0], hashes[k >= 0]))
-                size += len(held[-1][0])
+                held.append((before(hashes, counts), hashes, np.repeat(own[at : at + len(counts)], counts)))
+                at += len(counts)
+                size += len(hashes)
                 if size >= _FLUSH:
                     yield flush()
                     size = 0
         if size:
             yield flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k int, w long, n long").groupBy("k", "w").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), learned_from().alias("own")).mapInArrow(run, "u long, w long, n long, m long")
+    return rows.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def uniform(*keys: np.ndarray | int) -> np.ndarray:
@@ -142,183 +158,165 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys) -> np.n
     return tables.astype(np.int64)
 
 
-def _lists(sizes: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+def _reseat(sweep: int, discount: float, keep: bool):
+    """Seats pairs anew by p0, the root's probability of the word, and the weight of the restaurant's new tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, w, n, ts, p0, weight = (b.column(x).to_numpy() for x in ("u", "w", "n", "ts", "p0", "weight"))
+            t = seat(n, weight * p0, discount, w, u, sweep)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("w"), b.column("n"), b.column("m"), pa.array(t), pa.array(ts + t if keep else ts)], ["u", "w", "n", "m", "t", "ts"])
+
+    return run
+
+
+def _reseat_root(sweep: int, discount: float, new: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, c0 = b.column("w").to_numpy(), b.column("c0").to_numpy()
+            t0 = seat(c0, np.full(len(w), new), discount, w, 1 << 20, sweep)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(t0)], b.schema.names)
+
+    return run
 
 
 class Model:
-    def __init__(self, docs: DataFrame, contexts: int = 63, burn: int = 2, samples: int = 2, dense: int = 1 << 16, theta: float = 1.0):
-        self.dense, self.samples, self.theta = dense, samples, theta
-        train = docs.where(learned_from())
-        words = stored(counted(train, None).select("w", F.col("n").alias("c")))
-        said = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-        self.n, self.v = int(said[0]), int(said[1])
+    def __init__(self, docs: DataFrame, contexts: int | None = None, burn: int = 2, samples: int = 2, dense: int = 1 << 20, theta: float = 1.0):
+        self.dense, self.samples, self.theta, self.listed = dense, samples, theta, None
+        pairs = counted(docs)
+        if contexts is not None:
+            pairs = stored(pairs)
+            frequent = pairs.where(F.col("w") != END).groupBy("w").agg(F.sum("n").alias("c")).where("c > 0").orderBy(F.desc("c"), "w").limit(contexts).collect()
+            self.listed = np.sort(np.array([START, *(r.w for r in frequent)], np.int64))
+            pairs = pairs.withColumn("u", F.when(F.col("u").isin(self.listed.tolist()), F.col("u")).otherwise(END)).groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        # No word follows an END, so it marks pairs without a restaurant.
+        self.pairs = stored(pairs)
+        train, n, inner = self.pairs.where("n > 0"), F.col("n"), F.col("u") != END
+        sums = train.groupBy("w").agg(F.sum("n").alias("c"), F.sum(F.when(~inner, n).when(n == 1, 1).otherwise(0)).alias("fixed"), F.count_if(inner & (n > 1)).alias("more"))
+        self.words = stored(sums.select("*", (F.col("fixed") + F.col("more")).alias("c0"), F.lit(1).cast("long").alias("t0")))
+        rooms = train.where(inner).groupBy("u").agg(F.sum("n").alias("customers"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.count(F.lit(1)).alias("t"))
+        self.rooms = stored(rooms.withColumn("more", F.col("t") - F.col("once")))
         discount = lambda n1, n2: min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
-        frequent = words.where(F.col("w") != END).orderBy(F.desc("c"), "w").limit(contexts).select("w").collect()
-        self.contexts = np.sort(np.array([START, *(r.w for r in frequent)], np.int64))
-        pairs = counted(train, self.contexts)
-        grouped = pairs.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("pairs"))
-        self.words = stored(words.join(grouped, "w", "left").select("w", "c", F.coalesce(F.transform("pairs", lambda p: p["k"]), F.array().cast("array<int>")).alias("ks"), F.coalesce(F.transform("pairs", lambda p: p["n"]), F.array().cast("array<long>")).alias("cs")))
-        each = self.words.select(F.inline(F.arrays_zip(F.col("ks").alias("k"), F.col("cs").alias("n")))).groupBy("k").agg(F.sum("n").alias("customers"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count(F.lit(1)).alias("dishes")).collect()
-        self.customers = np.zeros(len(self.contexts), np.int64)
-        once = np.zeros(len(self.contexts), np.int64)  # tables of words seen once
-        for r in each:
-            self.customers[r.k] = r.customers
-        self.d0, self.d1 = discount(said[2], said[3]), discount(sum(r.n1 for r in each), sum(r.n2 for r in each))
-        singles = self.words.where("c = 1").agg(F.count(F.lit(1)).alias("n")).first().n
-        for r in self.words.where("c = 1").select(F.explode("ks").alias("k")).groupBy("k").count().collect():
-            once[r.k] = r["count"]
-        tables = np.zeros(len(self.contexts), np.int64)
-        for r in each:
-            tables[r.k] = r.dishes
-        self._sweep(burn, samples, tables, once, singles)
-
-    def _sweep(self, burn: int, samples: int, tables: np.ndarray, once: np.ndarray, singles: int) -> None:
-        """The state after all sweeps: a word's tables in every context, its customers and tables in the root, now and in each sample."""
-        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-        one = F.lit(1).cast("long")
-        state = self.words.where("c > 1").select("w", "c", "ks", "cs", F.transform("cs", lambda n: one).alias("ts"), (F.col("c") - total(F.col("cs")) + F.size("cs")).alias("c0"), one.alias("t0"))
-        schema = "w long, c long, ks array<int>, cs array<long>, ts array<long>, c0 long, t0 long"
-        self.roots, self.tables = [], []
-        for sweep in range(burn + samples):
-            got = state.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
-            keep = f"_{sweep - burn}" if sweep >= burn else ""
-            if keep:
-                schema += f", ts{keep} array<long>, c0{keep} long, t0{keep} long"
-            new = stored(state.mapInArrow(self._reseat(sweep, keep, tables, got[0] + singles, got[1] + singles), schema))
-            if sweep:
-                dropped(state)
-            state, tables = new, once.copy()
-            for r in state.select(F.inline(F.arrays_zip(F.col("ks").alias("k"), F.col("ts").alias("t")))).groupBy("k").agg(F.sum("t").alias("t")).collect():
-                tables[r.k] += r.t
-            if keep:
-                got = state.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
-                self.roots.append((int(got[0] + singles), int(got[1] + singles)))
-                self.tables.append(tables)
-        self.state = state
-
-    def _reseat(self, sweep: int, keep: str, tables: np.ndarray, root_c: int, root_t: int):
-        theta, d0, d1, base = self.theta, self.d0, self.d1, 1 / (self.v + 1)
+        said = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+        room = self.rooms.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
+        self.n, self.v = int(said[0]), int(said[1])
+        self.d0, self.d1 = discount(said[2], said[3]), discount(room[0], room[1])
+        self._sweep(burn, train.where(inner & (n > 1)).select("*", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                col = {n: b.column(n) for n in b.schema.names}
-                w, c, c0, t0 = (col[n].to_numpy() for n in ("w", "c", "c0", "t0"))
-                size = np.diff(col["ks"].offsets.to_numpy())
-                ks, cs = (col[n].flatten().to_numpy() for n in ("ks", "cs"))
-                of = np.repeat(np.arange(len(w)), size)
-                sums = lambda x: np.bincount(of, weights=x, minlength=len(w)).astype(np.int64)  # noqa: E731, B023
-                p0 = (c0 - d0 * t0 + (theta + d0 * root_t) * base) / (theta + root_c)
-                ts = seat(cs, (theta + d1 * tables[ks]) * p0[of], d1, w[of], ks, sweep)
-                c0 = c - sums(cs) + sums(ts)
-                t0 = seat(c0, np.full(len(w), (theta + d0 * root_t) * base), d0, w, 1 << 20, sweep)
-                col |= {"ts": _lists(size, ts), "c0": pa.array(c0), "t0": pa.array(t0)}
-                if keep:
-                    col |= {n + keep: col[n] for n in ("ts", "c0", "t0")}
-                yield pa.RecordBatch.from_arrays(list(col.values()), list(col))
-
-        return run
+    def _root(self) -> tuple[int, int]:
+        got = self.words.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
+        return int(got[0]), int(got[1])
+
+    def _sweep(self, burn: int, pairs: DataFrame) -> None:
+        """All sweeps. `seated`: pairs seen more than once, with their tables summed over the samples; words get their root's probability and rooms their weight of the root in each sample."""
+        theta, d0, d1, base = self.theta, self.d0, self.d1, 1 / (self.v + 1)
+        self.roots, self.seated = [], pairs
+        root_c, root_t = self._root()
+        root = lambda c, t: (F.col("c0") - d0 * F.col("t0") + (theta + d0 * t) * base) / (theta + c)
+        for sweep in range(burn + self.samples):
+            old = self.seated, self.words, self.rooms
+            sample = sweep - burn
+            p0 = self.words.where("more > 0").select("w", root(root_c, root_t).alias("p0"))
+            weight = self.rooms.where("more > 0").select("u", (theta + d1 * F.col("t")).alias("weight"))
+            self.seated = stored(self.seated.join(p0, "w").join(weight, "u").mapInArrow(_reseat(sweep, d1, sample >= 0), "u long, w long, n long, m long, t long, ts long"))
+            new = self.words.drop("c0", "t0").join(self.seated.groupBy("w").agg(F.sum("t").alias("s")), "w", "left").withColumn("c0", F.col("fixed") + F.coalesce("s", F.lit(0))).drop("s")
+            # Tables of the root are customers of nobody: they need the root's totals only.
+            words = stored(new.withColumn("t0", F.lit(0).cast("long")).mapInArrow(_reseat_root(sweep, d0, (theta + d0 * root_t) * base), new.withColumn("t0", F.lit(0).cast("long")).schema))
+            self.words = words
+            rooms = self.rooms.drop("t").join(self.seated.groupBy("u").agg(F.sum("t").alias("s")), "u", "left").withColumn("t", F.col("once") + F.coalesce("s", F.lit(0))).drop("s")
+            root_c, root_t = self._root()
+            if sample >= 0:
+                self.roots.append((root_c, root_t))
+                rooms = rooms.withColumn(f"back_{sample}", (theta + d1 * F.col("t")) / (theta + F.col("customers")))
+                self.words = stored(words.withColumn(f"root_{sample}", root(root_c, root_t)))
+                dropped(words)
+            self.rooms = stored(rooms)
+            for x in old:
+                if hasattr(x, "stored_at"):
+                    dropped(x)
+
+    @property
+    def contexts(self) -> np.ndarray:
+        """The restaurants' words; for looking at small models."""
+        return np.sort(np.array([r.u for r in self.rooms.select("u").collect()], np.int64))
+
+    def _unknown(self) -> np.ndarray:
+        """What the root gives an unknown word, in each sample."""
+        return np.array([(self.theta + self.d0 * t) / (self.theta + c) / (self.v + 1) for c, t in self.roots])
 
     def _constants(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each sample: what the root gives an unknown word, and each context's weight of the root."""
-        unknown = np.array([(self.theta + self.d0 * t) / (self.theta + c) / (self.v + 1) for c, t in self.roots])
-        back = np.array([(self.theta + self.d1 * t) / (self.theta + self.customers) for t in self.tables])
-        return unknown, back
+        """For each sample: what the root gives an unknown word, and each context's weight of the root; for looking at small models."""
+        rows = self.rooms.orderBy("u").collect()
+        return self._unknown(), np.array([[r[f"back_{s}"] for r in rows] for s in range(self.samples)])
+
+    def probable(self, where: Column) -> DataFrame:
+        """Rows (u, w, n, c, p): the averaged probability of w after u, for the pairs that `where` (a condition on m) picks; c is 0 for unknown words."""
+        n, none, samples = F.col("n"), F.col("u") == END, range(self.samples)
+        single = self.pairs.where((n < 2) | none).select("u", "w", "n", "m", (n * self.samples).alias("ts"))
+        pairs = single.unionByName(self.seated.select("u", "w", "n", "m", "ts")).where(where)
+        words = self.words.select("w", "c", *(f"root_{s}" for s in samples))
+        rooms = self.rooms.select("u", "customers", *(f"back_{s}" for s in samples))
+        seen = F.when(none | (n == 0), 0.0).otherwise((n - self.d1 / self.samples * F.col("ts")) / (self.theta + F.col("customers")))
+        rest = sum((F.coalesce(f"back_{s}", F.lit(1.0)) * F.coalesce(f"root_{s}", F.lit(float(x))) for s, x in enumerate(self._unknown())), F.lit(0.0))
+        return pairs.join(words, "w", "left").join(rooms, "u", "left").select("u", "w", "n", F.coalesce("c", F.lit(0)).alias("c"), (seen + rest / self.samples).alias("p"))
 
     def predictive(self) -> DataFrame:
-        """Rows (w, c, root, seen): the word's probability in the root for each sample, and the averaged ones of contexts it was seen in."""
-        theta, d0, d1, v, customers, samples, roots, (_, back) = self.theta, self.d0, self.d1, self.v, self.customers, self.samples, self.roots, self._constants()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                size = np.diff(b.column("ks").offsets.to_numpy())
-                ks, cs = (b.column(n).flatten().to_numpy() for n in ("ks", "cs"))
-                of = np.repeat(np.arange(len(size)), size)
-                root, seen = np.empty((len(size), samples)), np.zeros(len(ks))
-                for s, (all_c, all_t) in enumerate(roots):
-                    c0, t0 = (b.column(f"{n}_{s}").to_numpy() for n in ("c0", "t0"))
-                    root[:, s] = (c0 - d0 * t0 + (theta + d0 * all_t) / (v + 1)) / (theta + all_c)
-                    seen += (cs - d1 * b.column(f"ts_{s}").flatten().to_numpy()) / (theta + customers[ks]) + back[s][ks] * root[of, s]
-                pairs = pa.StructArray.from_arrays([pa.array(ks, pa.int32()), pa.array(seen / samples)], ["k", "p"])
-                yield pa.RecordBatch.from_arrays([b.column("w"), b.column("c"), _lists(np.full(len(size), samples), root.ravel()), _lists(size, pairs)], ["w", "c", "root", "seen"])
-
-        one = F.lit(1).cast("long")
-        once = self.words.where("c = 1").select("w", "c", "ks", "cs", *(x for s in range(samples) for x in (F.transform("cs", lambda n: one).alias(f"ts_{s}"), one.alias(f"c0_{s}"), one.alias(f"t0_{s}"))))
-        rows = self.state.select(*once.columns).unionByName(once)
-        return rows.mapInArrow(run, "w long, c long, root array<double>, seen array<struct<k:int,p:double>>")
+        """Rows (w, c, root, seen): the word's probability in the root for each sample, and the averaged ones of contexts it was seen in, by their place in `contexts`; for looking at small models."""
+        at = F.array_position(F.array(*(F.lit(int(u)) for u in self.contexts)), F.col("u")) - 1
+        seen = self.probable(F.lit(True)).where((F.col("n") > 0) & (F.col("u") != END)).groupBy("w").agg(F.collect_list(F.struct(at.cast("int").alias("k"), "p")).alias("seen"))
+        return self.words.join(seen, "w", "left").select("w", "c", F.array(*(f"root_{s}" for s in range(self.samples))).alias("root"), F.coalesce("seen", F.array().cast("array<struct<k:int,p:double>>")).alias("seen"))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-        unknown, back = self._constants()
-        model = stored(self.predictive())
-        # The most frequent words, as many whole steps of an eighth of an octave as `dense` holds.
-        step = F.floor(F.log2("c") * 8)
+        # The most frequent pairs, as many whole steps of an eighth of an octave as `dense` holds.
+        step = F.floor(F.log2("m") * 8)
         least, room = 1 << 62, self.dense
-        for r in model.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        for r in self.pairs.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
             if (room := room - r["count"]) < 0:
                 break
             least = r.step
-        top = model.where(step >= least).toArrow().combine_chunks()
-        top = top.take(pa.array(np.argsort(top.column("w").to_numpy(), kind="stable"))).combine_chunks()
-        keys, c = top.column("w").to_numpy(), top.column("c").to_numpy()
-        root = pa.concat_arrays(top.column("root").chunks or [pa.array([], pa.list_(pa.float64()))]).flatten().to_numpy().reshape(-1, self.samples)
-        table = np.concatenate([root @ back / self.samples, root.mean(1, keepdims=True)], 1)  # the last column: no context
-        if len(keys):
-            seen = pa.concat_arrays(top.column("seen").chunks)
-            pairs, sizes = seen.flatten(), np.diff(seen.offsets.to_numpy())
-            table[np.repeat(np.arange(len(keys)), sizes), pairs.field("k").to_numpy()] = pairs.field("p").to_numpy()
+        top = self.probable(step >= least).select(_joint().alias("h"), "c", F.log10("p").cast("float").alias("high")).toArrow()
+        keys, c, high = (top.column(n).to_numpy() for n in ("h", "c", "high"))
+        order = np.argsort(keys)
         den = self.n + 0.1 * (self.v + 1)
-        shared = docs.sparkSession.sparkContext.broadcast((keys, np.log10(table).astype(np.float32), np.log10((c + 0.1) / den)))
-        contexts = self.contexts
+        shared = docs.sparkSession.sparkContext.broadcast((keys[order], high[order], np.log10((c[order] + 0.1) / den), c[order] > 0))
+        listed = self.listed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, table, base = shared.value
+            keys, table, base, knows = shared.value
             for b in batches:
                 doc, at = b.column("key").to_numpy(), 0
                 for hashes, counts in tokens(t.as_py() for t in b.column("text")):
                     own = doc[at : at + len(counts)]
                     of = np.repeat(np.arange(len(counts)), counts)
-                    k, i = place(contexts, before(hashes, counts)), place(keys, hashes)
+                    u = before(hashes, counts)
+                    if listed is not None:
+                        u = np.where(place(listed, u) >= 0, u, END)
+                    h = joint(u, hashes)
+                    i = place(keys, h)
                     hit = i >= 0
-                    total = lambda x: np.bincount(of[hit], weights=x, minlength=len(counts))  # noqa: E731, B023
-                    known, low, high = total(np.ones(hit.sum())), total(base[i[hit]]) if len(base) else np.zeros(len(counts)), total(table[i[hit], k[hit]]) if len(base) else np.zeros(len(counts))
-                    # Words outside the table, summed per document, context and word.
-                    f, g, h = of[~hit], k[~hit], hashes[~hit]
-                    s = np.lexsort((h, g, f))
-                    f, g, h = f[s], g[s], h[s]
-                    first = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))[: len(f)]
-                    n = np.diff(np.append(first, len(f)))
+                    total = lambda x: np.bincount(of[hit], weights=x[i[hit]], minlength=len(counts)) if len(x) else np.zeros(len(counts))  # noqa: E731, B023
+                    known, low, high = total(knows), total(base), total(table)
+                    # Pairs outside the table, summed per document.
+                    f, g = of[~hit], h[~hit]
+                    s, first, n = _runs(f, g)
+                    f, g = f[s[first]], g[s[first]]
                     m, r = len(counts), len(first)
-                    pad = lambda x, fill: pa.array(np.concatenate([x, np.full(r, fill, x.dtype)]))  # noqa: E731, B023
+                    pad = lambda x: pa.array(np.concatenate([x, np.zeros(r, x.dtype)]))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([own, own[f[first]]])), pa.array(np.concatenate([own, h[first]])), pa.array(np.repeat([False, True], [m, r])),
-                            pa.array(np.concatenate([np.full(m, -1), g[first]]).astype(np.int32)), pa.array(np.concatenate([counts, n]).astype(np.int32)),
-                            pad(known.astype(np.int64), 0), pad(low, 0.0), pad(high, 0.0),
-                        ],
-                        ["key", "w", "rare", "k", "n", "known", "base", "high"],
+                        [pa.array(np.concatenate([own, own[f]])), pa.array(np.concatenate([own, g])), pa.array(np.repeat([False, True], [m, r])), pa.array(np.concatenate([counts, n]).astype(np.int32)), pad(known.astype(np.int64)), pad(low), pad(high)],
+                        ["key", "h", "rare", "n", "known", "base", "high"],
                     )
                     at += len(counts)
 
         text = text_or_empty("text")
         key = F.xxhash64("doc_id", text)
-        rows = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, w long, rare boolean, k int, n int, known long, base double, high double")
-        rest = model.select("w", F.lit(True).alias("rare"), "c", "root", "seen")
-        joined = rows.join(rest, ["w", "rare"], "left")
-        c = F.coalesce("c", F.lit(0))
-        roots = F.coalesce("root", F.array(*map(F.lit, unknown.tolist())))
-        weights = F.array(*(F.array(*map(F.lit, back[:, k].tolist())) for k in range(len(self.contexts))))
-        mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / self.samples
-        unseen = mean(F.zip_with(roots, F.get(weights, F.col("k")), lambda x, y: x * y))
-        p = F.when(F.col("k") < 0, mean(roots)).otherwise(F.coalesce(F.get(F.filter("seen", lambda s: s["k"] == F.col("k")), F.lit(0))["p"], unseen))
-        rare = F.col("rare")
-        sums = joined.groupBy("key").agg(
-            F.count_if(~rare).alias("copies"), F.sum(F.when(~rare, F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(F.when(rare & (c > 0), F.col("n")).otherwise(F.col("known"))).alias("n_known"),
-            F.sum(F.when(rare, F.col("n") * F.log10((c + 0.1) / den)).otherwise(F.col("base"))).alias("base_score"), F.sum(F.when(rare, F.col("n") * F.log10(p)).otherwise(F.col("high"))).alias("score"),
+        rows = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, h long, rare boolean, n int, known long, base double, high double")
+        rest = self.probable(step < least).select(_joint().alias("h"), F.lit(True).alias("rare"), "c", "p")
+        rare, c = F.col("rare"), F.col("c")
+        sums = rows.join(rest, ["h", "rare"], "left").groupBy("key").agg(
+            F.count_if(~rare).alias("copies"), F.sum(F.when(~rare, F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(F.when(rare, F.when(c > 0, F.col("n")).otherwise(0)).otherwise(F.col("known"))).alias("n_known"),
+            F.sum(F.when(rare, F.col("n") * F.log10((c + 0.1) / den)).otherwise(F.col("base"))).alias("base_score"), F.sum(F.when(rare, F.col("n") * F.log10("p")).otherwise(F.col("high"))).alias("score"),
         )
         ids = docs.select("doc_id", held_out().alias("held_out"), key.alias("key"))
         mean_of = lambda name, kind: (F.col(name) / F.col("copies")).cast(kind).alias(name)

@@ -74,3 +74,23 @@ def test_scores(spark):
     assert M.score(docs.limit(0)).count() == 0
     alone = M.score(docs.where("doc_id = 9002 OR doc_id IS NULL").where("doc_id IS NULL")).collect()
     assert len(alone) == 1 and alone[0].train_tokens == 0 and alone[0].score == 0
+
+
+def test_every_preceding_word_has_a_restaurant(spark):
+    # 200 words, each always followed by a word of its own: more contexts than any fixed number of frequent ones would hold.
+    rows = [(i, " ".join(f"a{(i * 7 + k) % 200} b{(i * 7 + k) % 200}" for k in range(40))) for i in range(120)] + [(1000 + i, "a150 b150 a199 b199") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = M.Model(docs)
+    got = model.predictive().collect()
+    unknown, back = model._constants()
+    train = [words_of(t) for i, t in rows if part(i)]
+    assert len(model.contexts) == len({w for t in train for w in ["", *t[:-1]]}) > 200
+    for k in range(len(model.contexts)):
+        total = float(np.mean(back[:, k] * unknown))
+        for r in got:
+            total += {p.k: p.p for p in r.seen}.get(k, float(np.mean(back[:, k] * np.array(r.root))))
+        assert total == pytest.approx(1)
+    at = {h: k for k, h in enumerate(model.contexts.tolist())}
+    seen = {r.w: {p.k: p.p for p in r.seen} for r in got}
+    for i in range(200):
+        assert seen[M._HASH(f"b{i}".encode())][at[M._HASH(f"a{i}".encode())]] > 0.5
