@@ -1,14 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words (Unicode lower case, split at white space) are hashed, each run of `k` words gets the
-hash of its words' hashes, and of every `window` runs in a row the least hash is chosen, the rightmost
-of equal ones. Chosen hashes keep their positions (the number of their first word). Two texts that
-share `window + k - 1` words in a row share a chosen hash; runs shorter than `k` are never compared.
+A text's code points (Unicode lower case, without white space) are taken in runs of `k`, every run is
+hashed, and of every `window` runs in a row the least one is chosen, the rightmost of equal ones. Runs
+are compared by 32 bits of their hash; the chosen ones keep the whole hash and their position (the
+number of their first code point). Two texts that share `window + k - 1` code points in a row share a
+chosen hash, in any script, with spaces or without; runs shorter than `k` are never compared.
 
-Window minima come by doubling: minima over 1, 2, 4, ... neighbours, each from two of the former,
-so a text costs a few passes over its words and no window function over exploded words.
+As every code point has four bytes in UTF-32, a run is cut out in constant time, so the cost grows with
+the length of a text. `with_marks` does the same over runs of whole words.
 
-Defined cases: a null text is an empty one; no words give no marks; fewer than k words give one run
+Defined cases: a null text is an empty one; no code points give no marks; fewer than k give one run
 of all of them, fewer than `window` runs one window; equal texts have equal fingerprints (as have
 texts that differ in case or white space only); likeness is the Jaccard index of the chosen hashes,
 1 for two texts without any; repeated rows stay; null ids come after all others; only the id and
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-K = 5
-WINDOW = 8
+K = 16
+WINDOW = 32
+_AT = (1 << 31) - 1
 
 
 def _lesser(a: str, step: int) -> Column:
@@ -32,8 +34,11 @@ def _lesser(a: str, step: int) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(a, F.lit(step + 1), n), lambda x, y: F.when(y["hash"] <= x["hash"], y).otherwise(x))
 
 
-def with_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """df with the column `to`: the chosen marks of the text, array<struct<hash: long, at: int>> by position."""
+def with_marks(df: DataFrame, text_col: str, to: str, k: int = 5, window: int = 8) -> DataFrame:
+    """df with the column `to`: the chosen marks of the text's words, array<struct<hash: long, at: int>> by position.
+
+    Window minima come by doubling: minima over 1, 2, 4, ... neighbours, each from two of the former.
+    """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
     words, hashes, runs, least = (f"__{to}_{x}" for x in ("words", "hashes", "runs", "least"))
@@ -53,6 +58,22 @@ def with_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int =
     return out.select(*df.columns, to)
 
 
+def with_point_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
+    """As with_marks, of the text's code points without white space."""
+    none = F.array().cast("array<struct<hash:bigint,at:int>>")
+    run = lambda p, at: F.xxhash64(F.substring(p, at * 4 + 1, F.lit(4 * k)))
+    at = lambda m: (_AT - m.bitwiseAND(_AT)).cast("int")
+    n = lambda p: F.greatest((F.octet_length(p) / 4).cast("int") - k + 1, F.lit(1))
+    # A value bound by a lambda over one element is computed once; a column would be put into the inner lambdas and computed for each run.
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    # The hash's 32 bits before the place from the end: the least number is the rightmost of the least hashes.
+    packed = lambda p: F.transform(F.sequence(F.lit(0), n(p) - 1), lambda i: F.shiftleft(run(p, i).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(_AT - i.cast("long")))
+    least = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(r, i, window)))
+    marks = lambda p: F.transform(F.array_distinct(bound(packed(p), least)), lambda m: F.struct(run(p, at(m)).alias("hash"), at(m).alias("at")))
+    points = F.encode(F.translate(F.lower(text_or_empty(text_col)), " \t\n\x0b\x0c\r", ""), "UTF-32")
+    return df.withColumn(to, bound(points, lambda p: F.when(F.octet_length(p) > 0, marks(p)).otherwise(none)))
+
+
 def digest(marks: str) -> Column:
     return F.sha2(F.array_join(F.transform(marks, lambda m: F.concat(F.hex(m["hash"]), F.lit(":"), m["at"])), ","), 256)
 
@@ -96,13 +117,13 @@ def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The edited text is the text with its last half replaced by as much of the next document's text.
     """
-    own = with_marks(with_next(docs, id_col, text_col), "text", "marks", k, window).withColumn("hashes", hashes("marks"))
+    own = with_point_marks(with_next(docs, id_col, text_col), "text", "marks", k, window).withColumn("hashes", hashes("marks"))
     in_order = Window.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     paired = own.select("*", F.lead("text").over(in_order).alias("next_text"), F.lead("hashes").over(in_order).alias("next_hashes")).where("NOT guest")
     n = F.char_length("text")
     edit = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
     both = paired.withColumn("n_chars", n.cast("long")).withColumn("edited", edit)
-    both = with_marks(both, "edited", "edited_marks", k, window).withColumn("edited_hashes", hashes("edited_marks"))
+    both = with_point_marks(both, "edited", "edited_marks", k, window).withColumn("edited_hashes", hashes("edited_marks"))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("marks").alias("fingerprint"), digest("edited_marks").alias("edited_fingerprint"),
         likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"), "marks", "edited_marks",

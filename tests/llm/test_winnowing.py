@@ -71,3 +71,29 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "q r s t u v")], "doc_id long, text string")
     got = sorted((r.doc_id, r.near_next) for r in W.report(W.edited_next(docs)).collect())
     assert got == [(1, 0.0), (1, 1.0), (2, 0.0)]
+
+
+def test_code_points_by_brute_force(spark):
+    rnd = random.Random(4)
+    texts = [None, "", " \t", "x", "Ab c", "漢" * 15, "漢" * 16, "😀é" * 40] + ["".join(rnd.choice("ab \n漢😀İΣ") for _ in range(n)) for n in (20, 47, 48, 49, 200, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for k, window in ((16, 32), (1, 3), (5, 1)):
+        got = {r.i: r.marks for r in W.with_point_marks(df, "text", "marks", k, window).collect()}
+        for i, t in enumerate(texts):
+            points = "".join((t or "").lower().split())
+            runs = [points[j : j + k] for j in range(len(points) - k + 1)] or ([points] if points else [])
+            flat = spark.createDataFrame([(x.encode("utf-32-be"),) for x in runs], "b binary").selectExpr("b", "xxhash64(b) h").collect() if runs else []
+            of = {bytes(r.b): r.h for r in flat}
+            hs = [of[x.encode("utf-32-be")] for x in runs]
+            want = marks_by_hand([h & 0xFFFFFFFF for h in hs], window)
+            assert [(m.hash, m.at) for m in got[i]] == [(hs[j], j) for j in want], (k, window, t)
+
+
+def test_texts_without_spaces(spark):
+    rnd = random.Random(5)
+    chinese = lambda n: "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    shared = chinese(47)
+    docs = spark.createDataFrame([(1, chinese(1000)), (2, chinese(700) + shared + chinese(80)), (3, chinese(11) + shared + chinese(300))], "doc_id long, text string")
+    got = {r.doc_id: r for r in W.report(W.edited_next(docs)).collect()}
+    assert 0.2 < got[1].near_edited < 0.5 and got[1].n_marks > 30
+    assert got[2].near_next > 0
