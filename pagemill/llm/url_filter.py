@@ -4,7 +4,8 @@ Rules decide the urls they fit. Hosts with ruled pages seed two personalised Pag
 edges between hosts: trust starts at allowed hosts and follows links, distrust starts at blocked
 hosts and follows links backwards. A host's seed is the share of its pages that rules allow (block),
 so seeds have the same scale at any number of hosts; a host without an edge keeps its seed. Pages
-without a rule are blocked if their host's distrust is at least `least` and greater than its trust.
+without a rule are blocked if their host's distrust is at least `least` and greater than its trust,
+where a host's own seed counts for both if it is greater: what walks on along links is not lost to it.
 
 Edges come from absolute links in the pages' html, one for each pair of hosts, weighted by links;
 links within a host are none. Both walks run as one table of scores, keyed by walk and host: a round
@@ -89,6 +90,7 @@ def filter_pages(pages: DataFrame, rules=RULES, least: float = 0.5, damping: flo
     share = lambda v: (F.count_if(F.col("verdict") == v) / F.count(F.lit(1))).alias(v)
     seeds = checkpointed(known.where("host != ''").groupBy("host").agg(share("allow"), share("block")))
     scores = checkpointed(propagate(seeds.select("host", F.col("allow").alias("allowed"), F.col("block").alias("blocked")), checkpointed(edges(pages)), damping, rounds))
-    both = known.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    method = F.when((F.col("distrust") >= least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    both = known.join(checkpointed(scores.join(seeds, "host", "left")), "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust", "allow", "block")})
+    good, bad = F.greatest("trust", "allow"), F.greatest("distrust", "block")
+    method = F.when((bad >= least) & (bad > good), "block").otherwise("allow")
     return both.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "trust", "distrust")

@@ -70,3 +70,12 @@ def test_rules_and_walks(spark):
         assert r.verdict == (by_rule.pop() if by_rule else "block" if d >= 0.5 and d > t else "allow")
     assert {r.verdict for r in got if r.host == "r.io"} == {"block"}
     assert U.filter_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("linkers", [0, 1, 10])
+def test_a_linked_host_keeps_its_seed(spark, linkers):
+    rows = [(i, f"http://spam.net/{i}", "") for i in range(3)] + [(9, "http://spam.net", "")]
+    rows += [(100 + i, f"http://l{i}.io/", "<a href='http://spam.net/0'>x</a>") for i in range(linkers)]
+    got = U.filter_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rounds=3).collect()
+    assert {r.verdict for r in got if r.host == "spam.net"} == {"block"}
+    assert {r.rule for r in got if r.page_id == 9} == {None}
