@@ -11,18 +11,23 @@ FONT_SUBTYPES = ("CIDFontType0C", "CIDFontType2", "Type1C", "OpenType")
 SIGNATURES = ("Sig", "DocTimeStamp")
 
 
-def companions(objects: DataFrame) -> DataFrame:
-    """References to alpha channels: what some object names as its mask."""
-    return objects.select(F.explode(F.array_compact(F.array("smask_ref", "mask_ref"))).alias("ref")).distinct()
+def companions(objects: DataFrame, file: str = "doc_id") -> DataFrame:
+    """References to alpha channels, for each file: what some object of it names as its mask."""
+    return objects.select(file, F.explode(F.array_compact(F.array("smask_ref", "mask_ref"))).alias("ref")).distinct()
 
 
-def image_candidates(objects: DataFrame) -> DataFrame:
-    return objects.where("subtype = 'Image'").join(companions(objects), "ref", "left_anti")
+def image_candidates(objects: DataFrame, file: str = "doc_id") -> DataFrame:
+    """References count inside their file only."""
+    return objects.where("subtype = 'Image'").join(companions(objects, file), [file, "ref"], "left_anti")
 
 
-def signature_contents(objects: DataFrame) -> DataFrame:
-    named = objects.where(F.col("type").isin(*SIGNATURES) & F.col("contents_ref").isNotNull()).select(F.col("contents_ref").alias("ref")).distinct()
-    return objects.join(named, "ref", "left_semi")
+def signed(objects: DataFrame, file: str = "doc_id") -> DataFrame:
+    """References to what some signature of the file names as its contents."""
+    return objects.where(F.col("type").isin(*SIGNATURES) & F.col("contents_ref").isNotNull()).select(file, F.col("contents_ref").alias("ref")).distinct()
+
+
+def signature_contents(objects: DataFrame, file: str = "doc_id") -> DataFrame:
+    return objects.join(signed(objects, file), [file, "ref"], "left_semi")
 
 
 def category(is_signature: Column) -> Column:
@@ -35,13 +40,26 @@ def category(is_signature: Column) -> Column:
     )
 
 
-def breakdown(objects: DataFrame) -> DataFrame:
-    """One row for each file: bytes and counts by kind; `other` is what no kind takes."""
-    named = objects.where(F.col("type").isin(*SIGNATURES)).select(F.col("contents_ref").alias("ref"), F.lit(True).alias("signed")).where("ref IS NOT NULL").distinct()
-    kind = objects.join(named, "ref", "left").withColumn("kind", category(F.coalesce("signed", F.lit(False))))
+def breakdown(objects: DataFrame, totals: DataFrame | None = None, file: str = "doc_id") -> DataFrame:
+    """One row for each file: bytes and counts by kind; `other` is what no kind takes of the file's size.
+
+    Only streams have a kind; signature dictionaries count with their own bytes, font dictionaries in the
+    number of fonts only. totals: (file, total) sizes of the files; without it the objects' sum.
+    Without a column `is_stream` all objects but signatures are streams.
+    """
+    if "is_stream" not in objects.columns:
+        objects = objects.withColumn("is_stream", ~F.coalesce(F.col("type").isin(*SIGNATURES), F.lit(False)))
+    flagged = objects.join(signed(objects, file).withColumn("signed", F.lit(True)), [file, "ref"], "left")
+    dictionary, signature = ~F.col("is_stream"), F.col("type").isin(*SIGNATURES)
+    kind = F.when(dictionary, F.when(signature, "signature")).otherwise(category(F.coalesce("signed", F.lit(False))))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("size_bytes"))), F.lit(0))
     kinds = ("image", "font", "signature", "content", "metadata")
-    out = kind.groupBy("doc_id").agg(F.sum("size_bytes").alias("total"), *(of(k).alias(k) for k in kinds), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "font").alias("fonts"), F.count_if(F.col("type").isin(*SIGNATURES)).alias("signatures"))
+    out = flagged.withColumn("kind", kind).groupBy(file).agg(
+        F.sum("size_bytes").alias("total"), *(of(k).alias(k) for k in kinds), F.count_if(F.col("kind") == "image").alias("images"),
+        F.count_if((F.col("kind") == "font") | (dictionary & (F.col("type") == "Font"))).alias("fonts"), F.count_if(dictionary & signature).alias("signatures"),
+    )
+    if totals is not None:
+        out = out.drop("total").join(totals.select(file, "total"), file)
     return out.withColumn("other", F.greatest(F.lit(0), F.col("total") - sum(F.col(k) for k in kinds)))
 
 

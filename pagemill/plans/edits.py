@@ -69,29 +69,47 @@ def edit_latest_state(spark: SparkSession, d: str) -> DataFrame:
     return E.latest(V.edit_log_of(V.read(spark, d, "events")), "session", "at_ms", "event_id").select("session", "event_id", "k", "at_ms", "value")
 
 
-@query()
+@query(f"""WITH {V.EDITS}, a AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY at_ms, event_id) AS seq, ['set', 'set', 'undo', 'set', 'redo', 'undo'][event_id % 6 + 1] AS action, CAST(event_id AS VARCHAR) AS value FROM edit_log),
+l AS (SELECT session, list({{'action': action, 'value': value, 'past': CAST([] AS VARCHAR[]), 'future': CAST([] AS VARCHAR[])}} ORDER BY seq) AS log FROM a GROUP BY session),
+r AS (SELECT session, list_reduce(log, lambda s, e: CASE WHEN e.action = 'set' AND e.value <> s.value THEN {{'action': '', 'value': e.value, 'past': list_concat(s.past, [s.value])[-200:], 'future': CAST([] AS VARCHAR[])}}
+    WHEN e.action = 'undo' AND len(s.past) > 0 THEN {{'action': '', 'value': s.past[-1], 'past': s.past[:-2], 'future': list_concat([s.value], s.future)}}
+    WHEN e.action = 'redo' AND len(s.future) > 0 THEN {{'action': '', 'value': s.future[1], 'past': list_concat(s.past, [s.value]), 'future': s.future[2:]}} ELSE s END,
+  {{'action': '', 'value': '', 'past': CAST([] AS VARCHAR[]), 'future': CAST([] AS VARCHAR[])}}) AS s FROM l)
+SELECT session, s.value AS value, CAST(len(s.past) AS BIGINT) AS undo, CAST(len(s.future) AS BIGINT) AS redo FROM r""")
 def undo_redo(spark: SparkSession, d: str) -> DataFrame:
-    """What sessions show after sets, undos and redos; compared with plain loops in the tests."""
+    """What sessions show after sets, undos and redos."""
     log = V.edit_log_of(V.read(spark, d, "events"))
     action = F.get(F.array(*map(F.lit, ("set", "set", "undo", "set", "redo", "undo"))), F.pmod("event_id", F.lit(6)).cast("int"))
     seq = F.row_number().over(Window.partitionBy("session").orderBy("at_ms", "event_id"))
     return E.replay(log.select("session", seq.alias("seq"), action.alias("action"), F.col("event_id").cast("string").alias("value")))
 
 
+@query("""WITH log AS (SELECT user_id AS doc_id, event_id // 4 AS edit_id, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'add' WHEN event_id % 9 = 2 THEN 'delete' ELSE 'patch' END AS action, CASE WHEN user_id % 3 = 0 THEN 'new' ELSE 'edit' END AS kind,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE event_type END AS text, CASE WHEN event_id % 7 < 5 THEN value END AS size FROM events),
+r AS (SELECT doc_id, edit_id, arg_max(action, seq) AS action, arg_min(kind, seq) AS kind, arg_max(text, seq) AS text, arg_max(size, seq) AS size FROM log GROUP BY ALL)
+SELECT doc_id, edit_id, kind, text, size FROM r WHERE action <> 'delete' AND NOT (kind = 'new' AND trim(coalesce(text, '')) = '')""")
+def edit_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Edits after adding, patching and deleting."""
+    i, u = F.col("event_id"), F.col("user_id")
+    action = F.when(i % 4 == 0, "add").when(i % 9 == 2, "delete").otherwise("patch")
+    text = F.when(i % 5 == 0, None).when(i % 5 == 1, "  ").otherwise(F.col("event_type"))
+    log = V.read(spark, d, "events").select(u.alias("doc_id"), F.floor(i / 4).alias("edit_id"), i.alias("seq"), action.alias("action"), F.when(u % 3 == 0, "new").otherwise("edit").alias("kind"), text.alias("text"), F.when(i % 7 < 5, F.col("value")).alias("size"))
+    return E.upsert(log, ["text", "size"])
+
+
 FONT = "CASE WHEN font_size > 12 THEN 'Head' || lang ELSE 'Body' || lang END"
 
 
 def _drawn(spark: SparkSession, d: str) -> DataFrame:
-    langs = V.read(spark, d, "documents").select("doc_id", "lang")
     font = F.concat(F.when(F.col("item_idx") % 5 == 3, "Alt").when(F.col("font_size") > 12, "Head").otherwise("Body"), "lang")
-    return V.items(spark, d).join(langs, "doc_id").withColumn("font", font)
+    return V.items(spark, d, "lang").withColumn("font", font)
 
 
 DRAWN = V.ITEMS + """,
 drawn AS (SELECT i.*, CASE WHEN item_idx % 5 = 3 THEN 'Alt' WHEN font_size > 12 THEN 'Head' ELSE 'Body' END || lang AS font FROM text_items i JOIN documents USING (doc_id))"""
 
 
-@query(f"WITH {DRAWN}, c AS (SELECT DISTINCT font, unnest(string_split(str, '')) AS c FROM drawn) SELECT font, string_agg(c, '' ORDER BY c) AS chars FROM c GROUP BY font")
+@query(f"WITH {DRAWN}, c AS (SELECT DISTINCT doc_id, font, unnest(string_split(str, '')) AS c FROM drawn) SELECT doc_id, font, string_agg(c, '' ORDER BY c) AS chars FROM c GROUP BY doc_id, font")
 def known_chars(spark: SparkSession, d: str) -> DataFrame:
     return E.known_chars(_drawn(spark, d))
 
@@ -103,7 +121,7 @@ def dominant_font(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DRAWN}, f AS (SELECT doc_id, page_number, line_no, font, left(font, 1) = 'H' AS style, CAST(sum(length(str)) AS BIGINT) AS chars, min(item_idx) AS first FROM drawn GROUP BY ALL),
-own AS (SELECT * FROM f WHERE line_no % 5 = 0), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, line_no ORDER BY chars DESC, first) AS n FROM own),
+own AS (SELECT * FROM f), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, line_no ORDER BY chars DESC, first) AS n FROM own),
 p AS (SELECT doc_id, page_number, font, style, CAST(sum(chars) AS BIGINT) AS chars, min(first) AS first FROM f GROUP BY ALL),
 others AS (SELECT m.doc_id, m.page_number, m.line_no, p.font, p.chars, p.first FROM m JOIN p USING (doc_id, page_number, style) WHERE m.n = 1 AND NOT EXISTS (SELECT 1 FROM own WHERE own.doc_id = m.doc_id AND own.page_number = m.page_number AND own.line_no = m.line_no AND own.font = p.font)),
 both_ AS (SELECT doc_id, page_number, line_no, font, true AS own, chars, first FROM own UNION ALL SELECT doc_id, page_number, line_no, font, false, chars, first FROM others)
@@ -111,7 +129,7 @@ SELECT doc_id, page_number, line_no, font, own, row_number() OVER (PARTITION BY
 def candidate_fonts(spark: SparkSession, d: str) -> DataFrame:
     key = ["doc_id", "page_number", "line_no"]
     drawn = _drawn(spark, d).groupBy(*key, "font").agg(F.sum(F.char_length("str")).alias("chars"), F.min("item_idx").alias("first")).withColumn("style", F.col("font").startswith("H"))
-    return E.candidate_fonts(drawn, drawn.where("line_no % 5 = 0").select(*key).distinct())
+    return E.candidate_fonts(drawn, drawn.select(*key).distinct())
 
 
 @query(f"""WITH {V.GLYPHS}, s AS (SELECT doc_id, page_number, color, count(*) AS n, min(item_idx * 1000 + p) AS first FROM glyphs GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY n DESC, first) AS k FROM s) SELECT doc_id, page_number, color FROM r WHERE k = 1""")
@@ -127,17 +145,59 @@ def nearest_glyph_color(spark: SparkSession, d: str) -> DataFrame:
     return near.select("doc_id", "page_number", "g.c", "g.color")
 
 
-@query("""WITH t AS (SELECT doc_id, left(text, 60) AS old, replace(left(text, 60), ' the', ' one') AS new FROM documents), b AS (SELECT *, regexp_replace(old, '\\s+', '', 'g') AS a, regexp_replace(new, '\\s+', '', 'g') AS b FROM t),
+@query(f"""WITH {EDITED}, t AS (SELECT doc_id, page_number, line_no, text AS old, replace(text, ' the', ' one') AS new FROM lines), b AS (SELECT *, regexp_replace(old, '\\s+', '', 'g') AS a, regexp_replace(new, '\\s+', '', 'g') AS b FROM t),
 p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) - 1, least(length(a), length(b))) AS prefix FROM b),
 s AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) - prefix + 1), lambda i: substr(a, length(a) - i + 1, 1) <> substr(b, length(b) - i + 1, 1))) - 1, least(length(a), length(b)) - prefix) AS suffix FROM p)
-SELECT doc_id, old = new AS noop, prefix, suffix, length(a) - prefix - suffix AS removed, substr(b, prefix + 1, length(b) - prefix - suffix) AS middle FROM s""")
+SELECT doc_id, page_number, line_no, old = new AS noop, prefix, suffix, length(a) - prefix - suffix AS removed, substr(b, prefix + 1, length(b) - prefix - suffix) AS middle FROM s""")
 def line_diff(spark: SparkSession, d: str) -> DataFrame:
-    old = F.left("text", F.lit(60))
-    docs = V.read(spark, d, "documents").select("doc_id", old.alias("old")).withColumn("new", F.replace("old", F.lit(" the"), F.lit(" one")))
-    return docs.withColumn("c", E.change(F.col("old"), F.col("new"))).select("doc_id", "c.*")
-
-
-@query()
+    lines = _lines(spark, d).withColumn("new", F.replace("text", F.lit(" the"), F.lit(" one")))
+    return lines.withColumn("c", E.change(F.col("text"), F.col("new"))).select("doc_id", "page_number", "line_no", "c.*")
+
+
+PLANNED = EDITED + """,
+t AS (SELECT doc_id, page_number, line_no, text AS old, CASE WHEN line_no % 5 = 4 THEN text ELSE replace(text, ' the', CASE line_no % 3 WHEN 0 THEN ' one more' WHEN 1 THEN '' ELSE ' a' END) END AS new FROM lines),
+i AS (SELECT *, list_filter(range(1, length(old) + 1), lambda i: substr(old, i, 1) <> ' ') AS ink, list_filter(range(1, length(new) + 1), lambda i: substr(new, i, 1) <> ' ') AS want FROM t),
+p AS (SELECT *, len(ink) AS n, len(want) AS m, coalesce(list_min(list_filter(range(1, least(len(ink), len(want)) + 1), lambda k: substr(old, ink[k], 1) <> substr(new, want[k], 1))) - 1, least(len(ink), len(want))) AS p FROM i),
+s AS (SELECT *, coalesce(list_min(list_filter(range(1, least(n, m) - p + 1), lambda k: substr(old, ink[n - k + 1], 1) <> substr(new, want[m - k + 1], 1))) - 1, least(n, m) - p) AS s FROM p),
+c AS (SELECT *, n - p - s AS gone, ink[p] AS before, ink[n - s] AS prior, CASE WHEN s > 0 THEN ink[n - s + 1] END AS head, substr(new, CASE WHEN p > 0 THEN want[p] + 1 ELSE 1 END, CASE WHEN s > 0 THEN want[m - s + 1] ELSE length(new) + 1 END - CASE WHEN p > 0 THEN want[p] + 1 ELSE 1 END) AS said FROM s),
+l AS (SELECT *, CASE WHEN gone > 0 AND p > 0 AND ink[p + 1] - before > 1 THEN ltrim(said) ELSE said END AS lefted, coalesce(head - prior > 1, false) AS parted FROM c),
+h AS (SELECT *, parted AND lefted LIKE '% ' AS held, 6e0 * (CASE WHEN gone > 0 THEN ink[p + 1] ELSE coalesce(before + 1, ink[1]) END - 1) AS start FROM l),
+w AS (SELECT *, CASE WHEN held THEN rtrim(lefted) ELSE lefted END AS middle, CASE WHEN held OR NOT parted THEN greatest(0, 6e0 * coalesce(head - prior - 1, 0)) ELSE 0 END AS after, CASE WHEN s > 0 THEN 6e0 * (ink[n] - head + 1) ELSE 0 END AS tail FROM h),
+q AS (SELECT *, 5e0 * length(middle) AS wide, 400 + 12 - start - CASE WHEN s > 0 THEN tail + after ELSE 0 END AS room FROM w),
+z AS (SELECT *, CASE WHEN wide > 0 AND wide > room THEN greatest(0.75e0, room / wide) ELSE 1 END AS squeeze FROM q),
+d AS (SELECT *, CASE WHEN s > 0 AND abs(start + wide * squeeze + after - 6e0 * (head - 1)) >= 0.05 THEN start + wide * squeeze + after - 6e0 * (head - 1) ELSE 0 END AS delta FROM z)"""
+
+
+@query(f"""WITH {PLANNED} SELECT doc_id, page_number, line_no, CASE WHEN p = n AND p = m THEN 'noop' ELSE 'change' END AS kind, CASE WHEN p = n AND p = m THEN '' ELSE middle END AS middle, CAST(CASE WHEN p = n AND p = m THEN 6e0 * (ink[1] - 1) ELSE start END AS DOUBLE) AS start,
+  CAST(floor(CASE WHEN p = n AND p = m THEN 0 ELSE delta END * 1e6 + 0.5) / 1e6 AS DOUBLE) AS delta, CAST(floor(CASE WHEN p = n AND p = m THEN 1 ELSE squeeze END * 1e6 + 0.5) / 1e6 AS DOUBLE) AS squeeze,
+  CAST(floor(CASE WHEN p = n AND p = m THEN 0 ELSE least(12, greatest(0, CASE WHEN s > 0 THEN 6e0 * ink[n] + delta ELSE start + wide * squeeze END - 400)) END * 1e6 + 0.5) / 1e6 AS DOUBLE) AS push,
+  CASE WHEN (p = n AND p = m) OR delta = 0 THEN '' ELSE substr(old, CASE WHEN held THEN prior + 1 ELSE head END) END AS tail,
+  CASE WHEN p = n AND p = m OR (gone = 0 AND delta = 0) THEN NULL ELSE floor((CASE WHEN gone > 0 THEN 6e0 * (ink[p + 1] - 1) WHEN held THEN 6e0 * prior ELSE 6e0 * (head - 1) END + 0.9) * 1e6 + 0.5) / 1e6 END AS gone_x
+FROM d""")
+def line_change_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Changed lines drawn again by what differs, new characters five points wide, old ones six."""
+    n = F.col("line_no")
+    new = F.when(n % 5 == 4, F.col("text")).otherwise(F.replace("text", F.lit(" the"), F.when(n % 3 == 0, " one more").when(n % 3 == 1, "").otherwise(" a")))
+    glyphs = F.transform(E.chars(F.col("text")), lambda c, i: F.struct(c.alias("c"), (6.0 * i).alias("x"), F.lit(6.0).alias("w")))
+    plan = E.line_plan(F.col("glyphs"), F.col("text"), F.col("new"), lambda t: 5.0 * F.char_length(t), F.lit(400.0), 12.0)
+    lines = _lines(spark, d).withColumns({"new": new, "glyphs": glyphs}).withColumn("plan", plan)
+    r6 = lambda c: (F.floor(F.col(f"plan.{c}") * 1e6 + 0.5) / 1e6).alias(c)
+    return lines.select("doc_id", "page_number", "line_no", F.when(F.col("plan.noop"), "noop").otherwise("change").alias("kind"), "plan.middle", "plan.start", r6("delta"), r6("squeeze"), r6("push"), F.array_join("plan.tail", "").alias("tail"), r6("gone_x"))
+
+
+SET = """WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+w AS (SELECT doc_id, k, regexp_extract_all(p, '\\s+|[ANYWHERE]|[^\\sANYWHERE]+') AS words FROM t),
+r AS (SELECT doc_id, k, list_reduce(list_transform(words, lambda t: {'done': CAST([] AS VARCHAR[]), 'line': t}), lambda s, x: CASE WHEN regexp_matches(x.line, '^\\s') THEN {'done': s.done, 'line': CASE WHEN s.line = '' THEN '' ELSE s.line || x.line END}
+    WHEN s.line = '' AND length(x.line) > 50 THEN {'done': list_concat(s.done, list_transform(range(0, (length(x.line) - 1) // 50), lambda j: substr(x.line, CAST(j * 50 + 1 AS BIGINT), 50))), 'line': substr(x.line, (length(x.line) - 1) // 50 * 50 + 1)}
+    WHEN s.line = '' OR length(s.line) + length(x.line) <= 50 THEN {'done': s.done, 'line': s.line || x.line} ELSE {'done': list_concat(s.done, [regexp_replace(s.line, '\\s+$', '')]), 'line': x.line} END, {'done': CAST([] AS VARCHAR[]), 'line': ''}) AS s FROM w),
+l AS (SELECT doc_id, k, list_concat(s.done, [regexp_replace(s.line, '\\s+$', '')]) AS lines FROM r),
+e AS (SELECT doc_id, k, unnest(lines) AS text, generate_subscripts(lines, 1) AS j, len(lines) AS n FROM l)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS BIGINT) AS line, text, CAST(6 * length(text) AS DOUBLE) AS width,
+  floor(CASE WHEN j < n AND regexp_matches(text, '\\s') AND length(text) < 50 THEN (300e0 - 6 * length(text)) / len(regexp_extract_all(text, '\\s+')) ELSE 0 END * 1e6 + 0.5) / 1e6 AS stretch FROM e""".replace("ANYWHERE", E.ANYWHERE)
+
+
+@query(SET)
 def typeset_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Texts set in 300 points; compared with hand-set lines in the tests."""
-    return E.typeset_lines(V.read(spark, d, "documents"), 300.0)
+    """Texts set and justified in 300 points."""
+    set_ = E.typeset_lines(V.read(spark, d, "documents"), 300.0, align="justify")
+    return set_.select("doc_id", "line", "text", "width", (F.floor(F.col("stretch") * 1e6 + 0.5) / 1e6).alias("stretch"))

@@ -22,12 +22,14 @@ def base_encoding(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.ITEMS}, c AS (SELECT doc_id, page_number, line_no, font_size, unnest(string_split(str, '')) AS ch FROM text_items)
-SELECT doc_id, page_number, line_no, sum(CASE WHEN ch IN ('e', 't', 'a') THEN 450 WHEN ch = 'i' THEN 250 ELSE 1000 END) * any_value(font_size) / 1000 AS width FROM c GROUP BY doc_id, page_number, line_no""")
+SELECT doc_id, page_number, line_no, sum(CASE WHEN ch IN ('e', 't', 'a') THEN 450 + doc_id % 5 * 10 WHEN ch = 'i' THEN 250 + doc_id % 3 ELSE 1000 END) * any_value(font_size) / 1000 AS width FROM c GROUP BY doc_id, page_number, line_no""")
 def text_width(spark: SparkSession, d: str) -> DataFrame:
+    """All files name their font alike, but its widths differ."""
     key = ["doc_id", "page_number", "line_no"]
     lines = V.items(spark, d).groupBy(*key).agg(F.array_join(L.in_order("str", "item_idx"), "").alias("text"), F.first("font_size").alias("size")).withColumn("font", F.lit("F"))
-    widths = spark.createDataFrame([("F", "e", 450), ("F", "t", 450), ("F", "a", 450), ("F", "i", 250)], "font string, char string, width int")
-    return O.text_width(lines, widths, key)
+    i = F.col("doc_id")
+    each = F.array(*(F.struct(F.lit("F").alias("font"), F.lit(c).alias("char"), (250 + i % 3 if c == "i" else 450 + i % 5 * 10).alias("width")) for c in "etai"))
+    return O.text_width(lines, V.read(spark, d, "documents").select("doc_id", F.inline(each)), key)
 
 
 @query(f"""WITH {V.ITEMS}, s AS (SELECT doc_id, page_number, sum(width) AS a, sum(length(str) * (3 + doc_id % 6)) AS n FROM text_items GROUP BY ALL)
@@ -37,15 +39,19 @@ def spacing_ratio(spark: SparkSession, d: str) -> DataFrame:
     return O.spacing_ratio(samples, ["doc_id", "page_number"])
 
 
-@query("""WITH w AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'ABCDEF+Serif' WHEN 1 THEN 'Serif' ELSE 'Sans' END AS font, left(text, 12) AS chars FROM documents),
-d(ref, name, enc, place) AS (VALUES ('1 0 R', 'ABCDEF+Serif', 'thea', 0), ('2 0 R', 'GHIJKL+Serif', 'theasordi', 1), ('3 0 R', 'Sans', 'x', 2)),
-s AS (SELECT id, ref, place, length(regexp_replace(chars, '[^' || enc || ']', '', 'g')) + CASE WHEN font = name THEN 0.5e0 ELSE 0 END AS score FROM w JOIN d ON regexp_replace(font, '^[A-Z]{6}\\+', '') = regexp_replace(name, '^[A-Z]{6}\\+', '')),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS k FROM s) SELECT id, ref, score FROM r WHERE k = 1""")
+@query("""WITH w AS (SELECT doc_id, doc_id * 10 AS id, CASE doc_id % 3 WHEN 0 THEN 'ABCDEF+Serif' WHEN 1 THEN 'Serif' ELSE 'Sans' END AS font, regexp_extract_all(text, '(?s).') AS chars FROM documents),
+d AS (SELECT doc_id, '1 0 R' AS ref, 'ABCDEF+Serif' AS name, list_filter(list_distinct(chars), lambda c: (unicode(c) + doc_id) % 2 = 0) AS enc, 0 AS place FROM w UNION ALL SELECT doc_id, '2 0 R', 'GHIJKL+Serif', list_filter(list_distinct(chars), lambda c: unicode(c) % 3 > 0), 1 FROM w UNION ALL SELECT doc_id, '3 0 R', 'Sans', list_filter(list_distinct(chars), lambda c: unicode(c) % 5 > doc_id % 4), 2 FROM w),
+s AS (SELECT doc_id, id, ref, place, len(list_filter(chars, lambda c: list_contains(enc, c))) + CASE WHEN font = name THEN 0.5e0 ELSE 0 END AS score FROM w JOIN d USING (doc_id) WHERE regexp_replace(font, '^[A-Z]{6}\\+', '') = regexp_replace(name, '^[A-Z]{6}\\+', '')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY score DESC, place) AS k FROM s) SELECT doc_id, id, ref, score FROM r WHERE k = 1""")
 def font_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Every file has fonts of the same names, each with other characters; whole texts are wanted."""
     i = F.col("doc_id")
     font = F.when(i % 3 == 0, "ABCDEF+Serif").when(i % 3 == 1, "Serif").otherwise("Sans")
-    wanted = V.read(spark, d, "documents").select(i.alias("id"), font.alias("font"), F.left("text", F.lit(12)).alias("chars"))
-    there = spark.createDataFrame([("1 0 R", "ABCDEF+Serif", list("thea"), 0), ("2 0 R", "GHIJKL+Serif", list("theasordi"), 1), ("3 0 R", "Sans", ["x"], 2)], "ref string, name string, encodable array<string>, place int")
+    docs = V.read(spark, d, "documents").where("text IS NOT NULL")
+    wanted = docs.select("doc_id", (i * 10).alias("id"), font.alias("font"), F.col("text").alias("chars"))
+    some = F.array_distinct(F.split("text", ""))
+    kinds = (("1 0 R", "ABCDEF+Serif", lambda c: (F.ascii(c) + i) % 2 == 0), ("2 0 R", "GHIJKL+Serif", lambda c: F.ascii(c) % 3 > 0), ("3 0 R", "Sans", lambda c: F.ascii(c) % 5 > i % 4))
+    there = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(r).alias("ref"), F.lit(n).alias("name"), F.filter(some, f).alias("encodable"), F.lit(k).alias("place")) for k, (r, n, f) in enumerate(kinds)))))
     return O.resolved(wanted, there)
 
 
@@ -58,11 +64,27 @@ def joined_fragments(spark: SparkSession, d: str) -> DataFrame:
     return O.joined(runs, ["doc_id", "page_number", "line_no"])
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(left(text, 80), '\\s+', ' ', 'g')), ' ') AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS text FROM t""")
+@query(f"""WITH {V.ITEMS}, p AS (SELECT *, CASE WHEN item_idx % 3 = 1 THEN '' ELSE ' ' END AS sep FROM text_items),
+l AS (SELECT doc_id, page_number, line_no, string_agg(CASE WHEN item_idx % 11 = 5 THEN '' ELSE sep || str END, '' ORDER BY item_idx) AS line FROM p GROUP BY ALL)
+SELECT doc_id, page_number, line_no, line, string_agg(str, '|' ORDER BY item_idx) AS words FROM p JOIN l USING (doc_id, page_number, line_no) GROUP BY ALL""")
+def words_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The input of `words_text`: lines whose own text runs some words together and lacks others."""
+    return _worded(spark, d).select("doc_id", "page_number", "line_no", "line", F.array_join("words", "|").alias("words"))
+
+
+def _worded(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("item_idx") % 11 == 5, "").otherwise(F.concat(F.when(F.col("item_idx") % 3 == 1, "").otherwise(" "), "str"))
+    return V.items(spark, d).groupBy("doc_id", "page_number", "line_no").agg(F.array_join(L.in_order(said, "item_idx"), "").alias("line"), L.in_order("str", "item_idx").alias("words"))
+
+
+@query(f"""WITH {V.ITEMS}, p AS (SELECT *, CASE WHEN item_idx % 3 = 1 THEN '' ELSE ' ' END AS sep FROM text_items),
+l AS (SELECT doc_id, page_number, line_no, string_agg(CASE WHEN item_idx % 11 = 5 THEN '' ELSE sep || str END, '' ORDER BY item_idx) AS line, list(str ORDER BY item_idx) AS words FROM p GROUP BY ALL),
+f AS (SELECT doc_id, page_number, line_no, list_reduce(words, lambda s, w: CASE WHEN instr(substr(line, s.at), w) > 0
+    THEN {{'out': CASE WHEN s.out = '' THEN w WHEN s.found AND NOT regexp_matches(substr(line, s.at, instr(substr(line, s.at), w) - 1), '\\s') THEN s.out || w ELSE s.out || ' ' || w END, 'at': s.at + instr(substr(line, s.at), w) - 1 + length(w), 'found': true}}
+    ELSE {{'out': CASE WHEN s.out = '' THEN w ELSE s.out || ' ' || w END, 'at': s.at, 'found': false}} END, {{'out': '', 'at': CAST(1 AS BIGINT), 'found': false}}) AS s FROM l)
+SELECT doc_id, page_number, line_no, s.out AS text FROM f""")
 def words_text(spark: SparkSession, d: str) -> DataFrame:
-    line = F.trim(F.regexp_replace(F.trim(F.left("text", F.lit(80))), r"\s+", " "))
-    docs = V.read(spark, d, "documents").select("doc_id", line.alias("line")).withColumn("words", F.split("line", " "))
-    return docs.select("doc_id", O.words_text(F.col("line"), F.col("words")).alias("text"))
+    return _worded(spark, d).select("doc_id", "page_number", "line_no", O.words_text(F.col("line"), F.col("words")).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' WHEN lang = 'de' THEN 'de' ELSE 'en,' || lang END AS first, CASE WHEN lang = 'de' THEN 'fr' WHEN lang = 'fr' THEN 'de' ELSE 'de,fr,' || lang END AS second FROM documents")
@@ -79,12 +101,12 @@ def line_gaps(spark: SparkSession, d: str) -> DataFrame:
     return O.line_gap(b).withColumn("gap", F.floor(F.col("gap") * 1e6 + 0.5) / 1e6)
 
 
-@query("SELECT doc_id, doc_id % 7 > 0 AND doc_id % 5 <> 1 AND doc_id % 3 = 0 AND doc_id % 2 = 0 AS change_only, octet_length(encode(left(text, 30))) AS bytes, lang <> 'en' AS unsaved FROM documents")
+@query("SELECT doc_id, doc_id % 7 > 0 AND doc_id % 5 <> 1 AND doc_id % 3 = 0 AND doc_id % 2 = 0 AS change_only, octet_length(encode(text)) AS bytes, lang <> 'en' AS unsaved FROM documents")
 def edit_eligible(spark: SparkSession, d: str) -> DataFrame:
     """Change-only edits, bytes of a data URL, and whether metadata differ from what was saved."""
     i = F.col("doc_id")
     ok = O.change_only(F.when(i % 7 > 0, "original").otherwise("sans"), F.lit("left"), (F.lit(12.0), F.when(i % 5 == 1, 12.5).otherwise(12.005)), (F.lit(1.0), F.lit(1.0)), (F.lit(True), i % 3 == 0), F.lit(1), i % 2 > 0)
-    url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(F.left("text", F.lit(30)), "UTF-8")))
+    url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))
     size = F.octet_length(F.unbase64(F.substring_index(url, ",", -1))).cast("long")
     saved = F.struct(F.lit("en").alias("lang"), F.col("source").alias("source"))
     return V.read(spark, d, "documents").select("doc_id", ok.alias("change_only"), size.alias("bytes"), (~F.struct("lang", "source").eqNullSafe(saved)).alias("unsaved"))

@@ -134,18 +134,44 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
     return L.fragments(runs).select("doc_id", "page_number", "item_idx", (F.col("along") + 0.5 * F.col("y")).alias("along_2"), "across", "size", "angle", "hs")
 
 
-@query()
+LAYER = V.ITEMS + """,
+drawn AS (SELECT doc_id, page_number, line_no, item_idx, str, x + CASE WHEN x >= 300 THEN 20 ELSE 0 END AS along, y AS across, width, font_size AS size, CASE WHEN item_idx % 5 = 3 THEN 'Alt' WHEN font_size > 12 THEN 'Head' ELSE 'Body' END AS font,
+  CASE WHEN item_idx % 2 = 0 THEN 1.1e0 ELSE 1 END AS hs, line_no % 5 = 4 AS turned FROM text_items WHERE item_idx % 13 <> 12),
+gaps AS (SELECT *, min(item_idx) OVER (PARTITION BY doc_id, page_number, turned) AS seen, along - lag(along + width) OVER (PARTITION BY doc_id, page_number, line_no ORDER BY along) AS gap FROM drawn),
+numbered AS (SELECT *, sum(CASE WHEN gap > 1.25 * size THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number, line_no ORDER BY along) AS run FROM gaps),
+by_font AS (SELECT doc_id, page_number, line_no, run, font, sum(length(regexp_replace(str, '[^\\p{L}\\p{N}]', '', 'g')) * 100 + length(str)) AS weight, min(along) AS first, string_agg(str, '' ORDER BY along) AS chars, sum(hs * length(str)) / sum(length(str)) AS hs FROM numbered GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, line_no, run ORDER BY weight DESC, first) AS place, CASE WHEN font = 'Head' THEN 'H' ELSE 'B' END AS base FROM by_font),
+bases AS (SELECT doc_id, page_number, line_no, run, base, min(ranked.place) AS top, any_value(base) || ':' || string_agg(chars, '' ORDER BY ranked.place) AS said FROM ranked GROUP BY doc_id, page_number, line_no, run, base),
+fonts AS (SELECT doc_id, page_number, line_no, run, string_agg(said, ';' ORDER BY top) AS fonts FROM bases GROUP BY ALL),
+layer AS (SELECT doc_id, page_number, line_no, run, turned, seen, string_agg(str, ' ' ORDER BY along) AS text, min(along) AS start, max(along + width) - min(along) AS width, arg_min(across, along) AS across, max(size) AS size FROM numbered GROUP BY ALL)"""
+
+
+@query(f"""WITH {LAYER} SELECT l.doc_id, l.page_number, row_number() OVER (PARTITION BY l.doc_id, l.page_number ORDER BY seen, line_no, run) - 1 AS line, text, CASE WHEN turned THEN -across ELSE start END AS x, CASE WHEN turned THEN start ELSE across END AS y, CAST(CASE WHEN turned THEN 90 ELSE 0 END AS DOUBLE) AS angle,
+  floor(l.width * 1e6 + 0.5) / 1e6 AS width, size, r.font, CAST(CASE WHEN abs(r.hs - 1) < 0.01 THEN 1 ELSE floor(r.hs * 1000 + 0.5) / 1000 END AS DOUBLE) AS h_scale, CASE WHEN r.font = 'Head' THEN 0.8e0 ELSE 0.9e0 END AS ascent, CASE WHEN r.font = 'Alt' THEN -0.2e0 ELSE -0.3e0 END AS descent, fonts
+FROM layer l JOIN ranked r USING (doc_id, page_number, line_no, run) JOIN fonts USING (doc_id, page_number, line_no, run) WHERE place = 1""")
 def layer_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy lines of fragments; compared with plain loops in the tests."""
-    size = F.col("font_size")
-    runs = V.items(spark, d).withColumn("t", F.array(size, F.lit(0.0), F.lit(0.0), size, "x", "y"))
-    font = F.when(size > 12, "Times-Bold").otherwise("Helvetica")
-    return L.layer_lines(L.fragments(runs.select("doc_id", "page_number", "item_idx", "str", "x", "y", "width", font.alias("font"), "t")))
+    """Lines of fragments. Every fifth line stands upright; words are drawn twice, followed by blanks, in vertical fonts, widened, and set apart from 300 points on."""
+    i, size = F.col("item_idx"), F.col("font_size")
+    along, turned = F.col("x") + F.when(F.col("x") >= 300, 20).otherwise(0), F.col("line_no") % 5 == 4
+    font = F.when(i % 13 == 12, "Vert").when(i % 5 == 3, "Alt").when(size > 12, "Head").otherwise("Body")
+    part = lambda k, str_, x, w: F.struct(F.lit(k).alias("k"), str_.alias("str"), x.alias("along"), w.alias("width"))
+    own = part(0, F.col("str"), along, F.col("width"))
+    twice = F.when(i % 7 == 0, part(1, F.col("str"), along + 0.5, F.col("width")))
+    blank = F.when(i % 3 == 1, part(2, F.lit("  "), along + F.col("width"), F.lit(6.0)))
+    runs = V.items(spark, d).select("doc_id", "page_number", i, "y", size, font.alias("font"), turned.alias("turned"), F.inline(F.array_compact(F.array(own, twice, blank))))
+    wide, none = size * F.when(i % 2 == 0, 1.1).otherwise(1.0), F.lit(0.0)
+    t = F.when(F.col("turned"), F.array(none, wide, -size, none, -F.col("y"), "along")).otherwise(F.array(wide, none, none, size, "along", "y"))
+    runs = runs.select("doc_id", "page_number", (i * 4 + F.col("k")).alias("item_idx"), "str", t[4].alias("x"), t[5].alias("y"), "width", "font", t.alias("t"))
+    each = [("Alt", "B", 0.9, -0.9, False), ("Body", "B", 0.9, -0.3, False), ("Head", "H", 9.9, -0.3, False), ("Vert", "V", 0.9, -0.3, True)]
+    fonts = V.read(spark, d, "documents").select("doc_id", F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("font", "base_font", "ascent", "descent", "vertical"), f, strict=True))) for f in each))))
+    lines = L.layer_lines(L.fragments(runs), fonts)
+    said = F.array_join(F.transform("fonts", lambda f: F.concat_ws(":", f["base_font"], f["chars"])), ";")
+    return lines.select("doc_id", "page_number", "line", "text", "x", "y", "angle", text.rounded(F.col("width"), 10**6).alias("width"), "size", "font", "h_scale", "ascent", "descent", said.alias("fonts"))
 
 
 @query()
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of line boxes; compared with hand-worked pages in the tests."""
+    """Paragraphs of line boxes; compared with hand-worked pages and plain loops in the tests."""
     boxes = V.boxes_of(V.items(spark, d))
     return L.paragraphs(boxes.select("doc_id", "page_number", F.col("yk").alias("line"), "x", "y", F.col("w").alias("width"), F.col("font_size").alias("size"), (F.col("font_size") > 16).alias("bold")))
 

@@ -16,12 +16,19 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 CANDIDATES = V.OBJECTS + """,
-candidates AS (SELECT * FROM pdf_objects WHERE subtype = 'Image' AND ref NOT IN (SELECT smask_ref FROM pdf_objects WHERE smask_ref IS NOT NULL))"""
+candidates AS (SELECT * FROM pdf_objects o WHERE subtype = 'Image' AND NOT EXISTS (SELECT 1 FROM pdf_objects m WHERE m.doc_id = o.doc_id AND (m.smask_ref = o.ref OR m.mask_ref = o.ref)))"""
 KINDS = V.OBJECTS + """,
-kinds AS (SELECT *, CASE WHEN subtype = 'Image' THEN 'image' WHEN type IN ('Font', 'FontDescriptor') OR subtype IN ('CIDFontType0C', 'CIDFontType2', 'Type1C', 'OpenType') THEN 'font' WHEN subtype = 'XML' OR type = 'Metadata' THEN 'metadata'
-  WHEN type = 'Sig' OR ref IN (SELECT contents_ref FROM pdf_objects WHERE type IN ('Sig', 'DocTimeStamp') AND contents_ref IS NOT NULL) THEN 'signature' WHEN subtype IS NULL AND type IS NULL THEN 'content' ELSE 'other' END AS kind FROM pdf_objects),
-broken AS (SELECT doc_id, CAST(sum(size_bytes) AS BIGINT) AS total, """ + ", ".join(f"CAST(coalesce(sum(size_bytes) FILTER (WHERE kind = '{k}'), 0) AS BIGINT) AS {k}" for k in ("image", "font", "signature", "content", "metadata", "other")) + """,
-  count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'font') AS fonts, count(*) FILTER (WHERE type IN ('Sig', 'DocTimeStamp')) AS signatures FROM kinds GROUP BY doc_id)"""
+kinds AS (SELECT *, CASE WHEN NOT is_stream THEN CASE WHEN type = 'Sig' THEN 'signature' END WHEN subtype = 'Image' THEN 'image' WHEN type IN ('Font', 'FontDescriptor') OR subtype IN ('CIDFontType0C', 'CIDFontType2', 'Type1C', 'OpenType') THEN 'font' WHEN subtype = 'XML' OR type = 'Metadata' THEN 'metadata'
+  WHEN type = 'Sig' OR EXISTS (SELECT 1 FROM pdf_objects s WHERE s.doc_id = o.doc_id AND s.contents_ref = o.ref AND s.type IN ('Sig', 'DocTimeStamp')) THEN 'signature' WHEN subtype IS NULL AND type IS NULL THEN 'content' END AS kind FROM pdf_objects o),
+sums AS (SELECT doc_id, CAST(sum(size_bytes) + 7000 AS BIGINT) AS total, """ + ", ".join(f"CAST(coalesce(sum(size_bytes) FILTER (WHERE kind = '{k}'), 0) AS BIGINT) AS {k}" for k in ("image", "font", "signature", "content", "metadata")) + """,
+  count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'font' OR NOT is_stream AND type = 'Font') AS fonts, count(*) FILTER (WHERE NOT is_stream AND type = 'Sig') AS signatures FROM kinds GROUP BY doc_id),
+broken AS (SELECT *, greatest(0, total - image - font - signature - content - metadata) AS other FROM sums)"""
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    """Files are 7000 bytes larger than their objects."""
+    objects = _objects(spark, d)
+    return O.breakdown(objects, objects.groupBy("doc_id").agg((F.sum("size_bytes") + 7000).alias("total")))
 
 
 @query(f"WITH {CANDIDATES} SELECT doc_id, obj_no, size_bytes FROM candidates")
@@ -29,20 +36,20 @@ def image_candidates_anti(spark: SparkSession, d: str) -> DataFrame:
     return O.image_candidates(_objects(spark, d)).select("doc_id", "obj_no", "size_bytes")
 
 
-@query(f"WITH {V.OBJECTS} SELECT doc_id, obj_no, size_bytes FROM pdf_objects WHERE ref IN (SELECT contents_ref FROM pdf_objects WHERE type = 'Sig')")
+@query(f"WITH {V.OBJECTS} SELECT doc_id, obj_no, size_bytes FROM pdf_objects o WHERE EXISTS (SELECT 1 FROM pdf_objects s WHERE s.doc_id = o.doc_id AND s.contents_ref = o.ref AND s.type = 'Sig')")
 def signature_semi(spark: SparkSession, d: str) -> DataFrame:
     return O.signature_contents(_objects(spark, d)).select("doc_id", "obj_no", "size_bytes")
 
 
 @query(f"WITH {KINDS} SELECT * FROM broken")
 def structure_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return O.breakdown(_objects(spark, d))
+    return _broken(spark, d)
 
 
 @query(f"""WITH {KINDS}, rows AS (SELECT doc_id, total, kind, bytes, CASE kind WHEN 'signature' THEN 0 WHEN 'font' THEN 1 WHEN 'image' THEN 2 WHEN 'content' THEN 3 WHEN 'metadata' THEN 4 ELSE 5 END AS i FROM broken UNPIVOT (bytes FOR kind IN (signature, font, image, content, metadata, other)))
 SELECT doc_id, kind, bytes, bytes / total AS share, row_number() OVER (PARTITION BY doc_id ORDER BY bytes DESC, i) AS place FROM rows WHERE bytes > 0""")
 def breakdown_share(spark: SparkSession, d: str) -> DataFrame:
-    return O.shares(O.breakdown(_objects(spark, d)))
+    return O.shares(_broken(spark, d))
 
 
 @query(f"""WITH {CANDIDATES}, n AS (SELECT *, size_bytes * (obj_no % 13) // 10 AS new_size, CASE last_filter WHEN 'DCTDecode' THEN 'jpeg' WHEN 'FlateDecode' THEN 'flate' ELSE 'other' END AS kind FROM candidates)
@@ -55,7 +62,7 @@ def recompress_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {KINDS} SELECT doc_id, CASE WHEN signature > total * 0.3 THEN 'signatures' WHEN font > total * 0.3 THEN 'fonts' ELSE 'other' END AS reason, (total - image * 0.5) / total > 0.8 AS poor FROM broken")
 def poor_result_reason(spark: SparkSession, d: str) -> DataFrame:
-    b = O.breakdown(_objects(spark, d))
+    b = _broken(spark, d)
     return b.select("doc_id", O.reason(F.col("total"), F.col("signature"), F.col("font")).alias("reason"), ((F.col("total") - F.col("image") * 0.5) / F.col("total") > 0.8).alias("poor"))
 
 

@@ -29,10 +29,13 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return X.otsu(_pixels(spark, d)).withColumn("threshold", F.col("threshold").cast("long"))
 
 
-@query(f"""WITH {V.PIXELS}, m AS (SELECT *, min(v) OVER p AS lo, max(v) OVER p AS hi FROM pixels WINDOW p AS (PARTITION BY doc_id))
-SELECT doc_id, px, v, CASE WHEN hi - lo < 4 THEN v ELSE CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS BIGINT) END AS out FROM m""")
+@query(f"""WITH {V.PIXELS}, m AS (SELECT *, min(v) OVER p AS lo, max(v) OVER p AS hi FROM pixels WINDOW p AS (PARTITION BY doc_id)),
+o AS (SELECT doc_id, px, v, CASE WHEN hi - lo < 4 THEN v ELSE CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS BIGINT) END AS out FROM m)
+SELECT doc_id, v, out, count(*) AS n, CAST(sum(px) AS BIGINT) AS places FROM o GROUP BY doc_id, v, out""")
 def contrast_stretch(spark: SparkSession, d: str) -> DataFrame:
-    return X.stretched(_pixels(spark, d)).select("doc_id", "px", "v", "out")
+    """Every pixel stretched; for each old and new value their number and the sum of their places."""
+    out = X.stretched(V.rasters_of(V.read(spark, d, "documents"))).select("doc_id", F.posexplode(F.arrays_zip("data", "out")).alias("px", "z"))
+    return out.groupBy("doc_id", F.col("z.data").alias("v"), F.col("z.out").alias("out")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("px").cast("long")).alias("places"))
 
 
 @query(f"WITH {V.PIXELS}, i AS (SELECT doc_id, px % 16 AS x, v > 110 AS ink FROM pixels) SELECT doc_id, x, count(*) FILTER (WHERE ink) AS ink, count(*) AS n FROM i GROUP BY doc_id, x HAVING count(*) FILTER (WHERE ink) > 0.7 * count(*)")
@@ -44,38 +47,103 @@ def ink_projection(spark: SparkSession, d: str) -> DataFrame:
 RGB = "(SELECT doc_id, px, v AS r, (v * 7) % 256 AS g, (v * 13) % 256 AS b FROM pixels)"
 
 
-@query(f"WITH {V.PIXELS} SELECT doc_id, px, floor((0.299e0 * r + 0.587e0 * g + 0.114e0 * b) * 1000 + 0.5) / 1000 AS gray FROM {RGB}")
+@query(f"WITH {V.PIXELS} SELECT doc_id, floor((0.299e0 * r + 0.587e0 * g + 0.114e0 * b) * 1000 + 0.5) / 1000 AS gray, count(*) AS n, CAST(sum(px) AS BIGINT) AS places FROM {RGB} GROUP BY ALL")
 def grayscale(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")
-    level = X.gray(v, v * 7 % 256, v * 13 % 256)
-    return _pixels(spark, d).select("doc_id", "px", (F.floor(level * 1000 + 0.5) / 1000).alias("gray"))
+    level = F.floor(X.gray(v, v * 7 % 256, v * 13 % 256) * 1000 + 0.5) / 1000
+    return _pixels(spark, d).groupBy("doc_id", level.alias("gray")).agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("places"))
 
 
-@query(f"""WITH {V.PIXELS} SELECT doc_id, px, '#' || lower(lpad(hex(r), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(b), 2, '0')) AS hex, greatest(r, g, b) - least(r, g, b) AS chroma, greatest(r, g, b) < 22 AND greatest(r, g, b) - least(r, g, b) < 10 AS black,
-  least(r, g, b) > 246 AND greatest(r, g, b) - least(r, g, b) < 6 AS white, g AS back FROM {RGB}""")
+@query(f"""WITH {V.PIXELS} SELECT doc_id, '#' || lower(lpad(hex(r), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(b), 2, '0')) AS hex, greatest(r, g, b) - least(r, g, b) AS chroma, greatest(r, g, b) < 22 AND greatest(r, g, b) - least(r, g, b) < 10 AS black,
+  least(r, g, b) > 246 AND greatest(r, g, b) - least(r, g, b) < 6 AS white, g AS back, count(*) AS n FROM {RGB} GROUP BY ALL""")
 def colors(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark, d).select("doc_id", "px", F.col("v").alias("r"), (F.col("v") * 7 % 256).alias("g"), (F.col("v") * 13 % 256).alias("b"))
+    p = _pixels(spark, d).groupBy("doc_id", F.col("v").alias("r")).agg(F.count(F.lit(1)).alias("n")).withColumns({"g": F.col("r") * 7 % 256, "b": F.col("r") * 13 % 256})
     c = [F.col(k) for k in "rgb"]
     said = geometry.rgb_hex(*c)
-    return p.select("doc_id", "px", said.alias("hex"), geometry.chroma(*c).alias("chroma"), geometry.is_black(*c).alias("black"), geometry.is_white(*c).alias("white"), geometry.hex_rgb(said)[1].alias("back"))
+    return p.select("doc_id", said.alias("hex"), geometry.chroma(*c).alias("chroma"), geometry.is_black(*c).alias("black"), geometry.is_white(*c).alias("white"), geometry.hex_rgb(said)[1].alias("back"), "n")
+
+
+#: Rasters 64 wide, made of the characters of a document in reading order; a last row that isn't full is left out, as are texts of less than two rows.
+SHEET = V.PIXELS + """,
+sheets AS (SELECT doc_id, count(*) // 64 AS high FROM pixels GROUP BY doc_id HAVING count(*) >= 128),
+sheet AS (SELECT doc_id, high, px % 64 AS x, px // 64 AS y, v FROM pixels JOIN sheets USING (doc_id) WHERE px < high * 64)"""
+
+
+def _sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (doc_id, wide, high, gray)."""
+    rows = V.rasters_of(V.read(spark, d, "documents")).where(F.size("data") >= 128)
+    high = F.floor(F.size("data") / 64).cast("int")
+    return rows.select("doc_id", F.lit(64).alias("wide"), high.alias("high"), F.slice("data", F.lit(1), 64 * high).alias("gray"))
+
+
+@query(f"""WITH {SHEET}, m AS (SELECT *, v > 110 AS ink FROM sheet), r AS (SELECT doc_id, y FROM m GROUP BY doc_id, y HAVING count(*) FILTER (WHERE ink) > 0.7 * 64),
+m2 AS (SELECT m.doc_id, high, x, m.y, ink AND r.y IS NULL AS ink FROM m LEFT JOIN r ON m.doc_id = r.doc_id AND m.y = r.y), c AS (SELECT doc_id, x FROM m2 GROUP BY doc_id, x HAVING count(*) FILTER (WHERE ink) > 0.7 * any_value(high))
+SELECT m2.doc_id, count(*) FILTER (WHERE ink) AS rows_left, count(*) FILTER (WHERE ink AND c.x IS NULL) AS ink FROM m2 LEFT JOIN c ON m2.doc_id = c.doc_id AND m2.x = c.x GROUP BY m2.doc_id""")
+def ink_unruled(spark: SparkSession, d: str) -> DataFrame:
+    """Ink that is left without full rows, and without full columns besides."""
+    inked = _sheets(spark, d).withColumn("mask", F.transform("gray", lambda v: v > 110))
+    count = lambda m: F.size(F.filter(m, lambda v: v)).cast("long")
+    rows = X.erased(inked.select("doc_id", F.posexplode("mask").alias("px", "on")).withColumn("y", F.floor(F.col("px") / 64)), "doc_id", "y")
+    gone = rows.groupBy("doc_id").agg(F.sum("ink").alias("gone"))
+    total = inked.select("doc_id", count("mask").alias("all"))
+    left = total.join(gone, "doc_id", "left").select("doc_id", (F.col("all") - F.coalesce("gone", F.lit(0))).alias("rows_left"))
+    return X.unruled(inked).select("doc_id", count("mask").alias("ink")).join(left, "doc_id")
+
+
+@query(f"""WITH {SHEET}, m AS (SELECT *, v > 110 AS ink, lag(v > 110) OVER (PARTITION BY doc_id, y ORDER BY x) AS west, lag(v > 110) OVER (PARTITION BY doc_id, x ORDER BY y) AS north FROM sheet),
+s AS (SELECT doc_id, count(*) FILTER (WHERE ink) AS area, count(*) FILTER (WHERE ink <> west) + count(*) FILTER (WHERE ink <> north) AS edges FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN edges = 0 THEN 0 ELSE floor(2 * area / edges * 1e9 + 0.5) / 1e9 END AS stroke FROM s""")
+def stroke_width(spark: SparkSession, d: str) -> DataFrame:
+    inked = _sheets(spark, d).withColumn("mask", F.transform("gray", lambda v: v > 110))
+    return X.stroke_width(inked).select("doc_id", (F.floor(F.col("stroke") * 1e9 + 0.5) / 1e9).alias("stroke"))
+
+
+REGIONS = SHEET + """,
+colour AS (SELECT doc_id, high, x, y, v AS r, (v * 7) % 256 AS g, (v * 13) % 256 AS b FROM sheet),
+asked(key, l, t, w, h, pad) AS (VALUES (0, 8.5, 1.2, 30.0, 4.5, 3), (1, 40.0, -1.0, 40.0, 3.0, 1), (2, 0.0, 0.0, 64.0, 400.0, 4), (3, 70.0, 0.0, 5.0, 5.0, 2)),
+box AS (SELECT doc_id, key, greatest(0, floor(l)) AS x0, greatest(0, floor(t)) AS y0, least(64, ceil(l + w)) AS x1, least(high, ceil(t + h)) AS y1, greatest(0, floor(l - greatest(2, pad))) AS ox0, greatest(0, floor(t - greatest(2, pad))) AS oy0,
+  least(64, ceil(l + w + greatest(2, pad))) AS ox1, least(high, ceil(t + h + greatest(2, pad))) AS oy1 FROM sheets, asked),
+near AS (SELECT b.doc_id, key, r, g, c.b AS bl, x >= x0 AND x < x1 AND y >= y0 AND y < y1 AS inside, (y1 - y0) AS h, (x1 - x0) AS w, x, y, x0, y0 FROM box b JOIN colour c ON b.doc_id = c.doc_id AND x >= ox0 AND x < ox1 AND y >= oy0 AND y < oy1),
+ground AS (SELECT b.doc_id, b.key, coalesce(list_sort(list(r) FILTER (WHERE NOT inside))[len(list(r) FILTER (WHERE NOT inside)) // 2 + 1], 255) AS gr, coalesce(list_sort(list(g) FILTER (WHERE NOT inside))[len(list(r) FILTER (WHERE NOT inside)) // 2 + 1], 255) AS gg,
+  coalesce(list_sort(list(bl) FILTER (WHERE NOT inside))[len(list(r) FILTER (WHERE NOT inside)) // 2 + 1], 255) AS gb FROM box b LEFT JOIN near n ON b.doc_id = n.doc_id AND b.key = n.key GROUP BY ALL),
+far AS (SELECT *, sqrt((r - gr) * (r - gr) + (g - gg) * (g - gg) + (bl - gb) * (bl - gb)) AS d FROM near JOIN ground USING (doc_id, key)),
+m AS (SELECT doc_id, key, coalesce(list_sort(list(d) FILTER (WHERE NOT inside))[CAST(floor(len(list(d) FILTER (WHERE NOT inside)) * 0.75) AS BIGINT) + 1], 0) AS spread, coalesce(list_sort(list(d) FILTER (WHERE inside))[CAST(floor(len(list(d) FILTER (WHERE inside)) * 0.985) AS BIGINT) + 1], 0) AS most FROM far GROUP BY ALL),
+k AS (SELECT *, greatest(36, 2.5 * spread, 0.45 * most) AS cut FROM m),
+i AS (SELECT doc_id, key, list_sort(list(r) FILTER (WHERE d >= most * 0.82)) AS rs, list_sort(list(g) FILTER (WHERE d >= most * 0.82)) AS gs, list_sort(list(bl) FILTER (WHERE d >= most * 0.82)) AS bs, count(*) FILTER (WHERE d > cut) / count(*) AS share FROM far JOIN k USING (doc_id, key) WHERE inside AND most >= cut GROUP BY ALL),
+e AS (SELECT doc_id, key, rs[len(rs) // 2 + 1] AS r, gs[len(gs) // 2 + 1] AS g, bs[len(bs) // 2 + 1] AS b, share FROM i)
+SELECT g.doc_id, CAST(g.key AS INT) AS key, CASE WHEN least(gr, gg, gb) > 246 AND greatest(gr, gg, gb) - least(gr, gg, gb) < 6 THEN '255,255,255' ELSE gr || ',' || gg || ',' || gb END AS ground, floor(coalesce(k.spread, 0) * 1e6 + 0.5) / 1e6 AS spread,
+  CASE WHEN e.r IS NOT NULL THEN CASE WHEN greatest(e.r, e.g, e.b) < 22 AND greatest(e.r, e.g, e.b) - least(e.r, e.g, e.b) < 10 THEN '0,0,0' ELSE e.r || ',' || e.g || ',' || e.b END END AS ink, floor(coalesce(e.share, 0) * 1e9 + 0.5) / 1e9 AS ink_share
+FROM ground g LEFT JOIN k USING (doc_id, key) LEFT JOIN e USING (doc_id, key)"""
+
+
+@query(f"WITH {REGIONS}")
+def region_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Four boxes of each sheet: in its middle, over two edges, over the whole, and beside it."""
+    boxes = ((0, 8.5, 1.2, 30.0, 4.5, 3), (1, 40.0, -1.0, 40.0, 3.0, 1), (2, 0.0, 0.0, 64.0, 400.0, 4), (3, 70.0, 0.0, 5.0, 5.0, 2))
+    colour = lambda v: (F.shiftleft(v.cast("int"), 16) + F.shiftleft((v * 7 % 256).cast("int"), 8) + (v * 13 % 256).cast("int")).cast("int")
+    sheets = _sheets(spark, d).withColumn("data", F.transform("gray", colour)).drop("gray")
+    asked = sheets.select("doc_id", F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for v, k in zip(b, ("key", "left", "top", "width", "height", "pad"), strict=True))) for b in boxes))))
+    said = lambda c: F.concat_ws(",", F.col(c)[0], F.col(c)[1], F.col(c)[2])
+    r = lambda c, n: (F.floor(F.col(c) * n + 0.5) / n).alias(c)
+    return X.regions(sheets, asked).select("doc_id", "key", said("ground").alias("ground"), r("spread", 1e6), F.when(F.col("ink").isNotNull(), said("ink")).alias("ink"), r("ink_share", 1e9))
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    """A picture of 96 by 60 for each document, with a dark bar as wide as its number tells."""
-    w, h = 96, 60
-    bar = F.repeat(F.lit("00" * 3), (F.pmod("doc_id", F.lit(30)) + 60).cast("int"))
-    row = F.concat(bar, F.repeat(F.lit("ff" * 3), (w - 60 - F.pmod("doc_id", F.lit(30))).cast("int")))
+    """A picture of 120 by 90 for each document, with two dark bars as wide and high as its text and number tell; some touch."""
+    w, h = 120, 90
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    bar = lambda wide, left: F.concat(F.repeat(F.lit("ff" * 3), left), F.repeat(F.lit("20" * 3), wide), F.repeat(F.lit("ff" * 3), w - wide - left))
+    one, two = bar((n % 50 + 40).cast("int"), F.lit(0)), bar((F.pmod("doc_id", F.lit(30)) + 55).cast("int"), F.lit(24))
     light = F.lit("ff" * 3 * w)
-    data = F.concat(F.repeat(light, F.lit(12)), F.repeat(row, F.lit(24)), F.repeat(light, F.lit(h - 36)))
+    gap = F.pmod("doc_id", F.lit(2)).cast("int") * 12
+    data = F.concat(F.repeat(light, F.lit(12)), F.repeat(one, F.lit(24)), F.repeat(light, gap), F.repeat(two, F.lit(24)), F.repeat(light, h - 60 - gap))
     return V.read(spark, d, "documents").select("doc_id", F.lit(w).alias("width"), F.lit(h).alias("height"), F.unhex(data).alias("data"))
 
 
-@query("""SELECT doc_id, CAST(0 AS BIGINT) AS "left", CAST(12 AS BIGINT) AS top, CAST((SELECT count(*) FROM range(0, 16) c(k) WHERE k * 6 + 4 < doc_id % 30 + 60) * 6 AS BIGINT) AS width, CAST(24 AS BIGINT) AS height
-FROM documents""")
+@query("""WITH b AS (SELECT doc_id, length(coalesce(text, '')) % 50 + 40 AS one, doc_id % 30 + 55 AS two, doc_id % 2 = 0 AS touch FROM documents),
+c AS (SELECT *, (SELECT count(*) FROM range(0, 20) c(k) WHERE k * 6 + 4 < one) AS n1, (SELECT count(*) FROM range(0, 20) c(k) WHERE k >= 4 AND k * 6 + 4 < 24 + two) AS n2 FROM b)
+SELECT doc_id, CAST(0 AS BIGINT) AS "left", CAST(12 AS BIGINT) AS top, CAST(6 * CASE WHEN touch THEN greatest(n1, 4 + n2) ELSE n1 END AS BIGINT) AS width, CAST(CASE WHEN touch THEN 48 ELSE 24 END AS BIGINT) AS height FROM c
+  WHERE CASE WHEN touch THEN (n1 + n2) * 4 > 0.55 * 8 * greatest(n1, 4 + n2) AND greatest(n1, 4 + n2) * 6 >= 60 AND 6 * greatest(n1, 4 + n2) * 48 < 0.5 * 10800 ELSE n1 * 6 >= 60 END
+UNION ALL SELECT doc_id, 24, 48, 6 * n2, 24 FROM c WHERE NOT touch AND n2 * 6 >= 60""")
 def dark_regions(spark: SparkSession, d: str) -> DataFrame:
     return X.on_rasters(_images(spark, d), X.dark_regions, "left long, top long, width long, height long")
-
-
-@query("SELECT doc_id, CAST((doc_id % 30 + 60) * 24 / (96 * 60e0) AS DOUBLE) AS ink_share FROM documents")
-def region_stats(spark: SparkSession, d: str) -> DataFrame:
-    return X.on_rasters(_images(spark, d), lambda r: [(X.region(r, 0, 0, 96, 60, 2)["ink_share"],)], "ink_share double")

@@ -5,7 +5,7 @@ Coordinates are multiples of a quarter, so both engines compute them exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES_A_PAGE = 8
@@ -15,25 +15,26 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def items_of(documents: DataFrame) -> DataFrame:
-    """One row for each word of each line: where it stands on its page, in stream order `item_idx`.
+def items_of(documents: DataFrame, *keep: str) -> DataFrame:
+    """One row for each word of each line: where it stands on its page, in stream order `item_idx`. `keep`: columns to carry along.
 
-    All windows are inside one document, so the words of a document are shuffled once.
+    Words are numbered and placed by array functions inside their document's row, so nothing is shuffled. A
+    word's place on its line is the number of characters before it, as words are parted by one space each.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "str")).where("str != ''")
-    page = F.floor(F.col("line_no") / LINES_A_PAGE)
-    in_page = Window.partitionBy("doc_id", "page_number").orderBy("line_no", "word_no")
-    in_line = Window.partitionBy("doc_id", "page_number", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = F.split("text", "\n")
+    before = lambda n, i: F.aggregate(F.slice(n, i - i % LINES_A_PAGE + 1, i % LINES_A_PAGE), F.lit(0), lambda a, c: a + c)
+    counted = documents.select("doc_id", *keep, lines.alias("lines"), F.transform(lines, lambda l: F.regexp_count(l, F.lit("[^ ]+"))).alias("words"))
+    rows = F.zip_with("lines", F.transform("words", lambda c, i: before(F.col("words"), i)), lambda l, first: F.struct(l.alias("line"), first.alias("first")))
+    placed = counted.select("doc_id", *keep, F.posexplode(rows).alias("line_no", "l")).select("doc_id", *keep, "line_no", "l.line", "l.first", F.split("l.line", "").alias("chars"))
+    starts = F.filter(F.transform("chars", lambda c, i: F.when((c != " ") & ((i == 0) | (F.get("chars", i - 1) == " ")), i)), lambda i: i.isNotNull())
+    said = F.filter(F.transform(F.split("line", " "), lambda w, i: F.struct(i.alias("word_no"), w.alias("str"))), lambda w: w["str"] != "")
     size = F.pmod(F.col("doc_id") * 7 + F.col("line_no") * 13, F.lit(20))
     size = F.when(size == 0, 20.0).when(size == 1, 16.0).otherwise(12.0)
-    n = F.char_length("str")
-    placed = words.withColumn("page_number", page + 1)
-    return placed.select(
-        "doc_id", "page_number", F.col("line_no").cast("long").alias("line_no"), (F.row_number().over(in_page) - 1).cast("long").alias("item_idx"), "str",
-        (72 + 6 * (F.col("word_no") + F.coalesce(F.sum(n).over(in_line), F.lit(0)))).cast("double").alias("x"),
-        (720 - 16 * (F.col("line_no") % LINES_A_PAGE) + 0.25 * (F.col("word_no") % 2)).cast("double").alias("y"),
-        (6 * n).cast("double").alias("width"), size.alias("height"), size.alias("font_size"),
+    words = placed.select("doc_id", *keep, F.col("line_no").cast("long").alias("line_no"), "first", size.alias("font_size"), F.posexplode(F.arrays_zip(said.alias("w"), starts.alias("at"))).alias("k", "z"))
+    return words.select(
+        "doc_id", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).alias("page_number"), "line_no", (F.col("first") + F.col("k")).cast("long").alias("item_idx"), F.col("z.w.str").alias("str"),
+        (72 + 6 * F.col("z.at")).cast("double").alias("x"), (720 - 16 * (F.col("line_no") % LINES_A_PAGE) + 0.25 * (F.col("z.w.word_no") % 2)).cast("double").alias("y"),
+        (6 * F.char_length("z.w.str")).cast("double").alias("width"), F.col("font_size").alias("height"), "font_size", *keep,
     )
 
 
@@ -50,15 +51,16 @@ text_items AS (
 
 
 def objects_of(part: DataFrame) -> DataFrame:
-    """Stored objects of five files, from parts."""
-    k = F.col("p_partkey").cast("long")
+    """Stored objects of twenty files, from parts. Every file counts its objects from 1, so references repeat over files."""
+    key, at = F.col("p_partkey").cast("long"), F.floor(F.col("p_partkey") / 20)
+    k = at + F.pmod(key, F.lit(20))
     ref = lambda c: F.concat(c.cast("string"), F.lit(" 0 R"))
     by = lambda m, pairs: _case(F.pmod(k, F.lit(m)), pairs)
     return part.select(
-        F.pmod(k, F.lit(5)).alias("doc_id"), k.alias("obj_no"), ref(k).alias("ref"),
-        by(8, {0: "Image", 1: "Image", 2: "CIDFontType0C", 3: "XML", 6: "Form"}).alias("subtype"), by(8, {4: "Sig", 6: "XObject"}).alias("type"),
-        F.when(k % 24 == 0, ref(k + 1)).alias("smask_ref"), F.lit(None).cast("string").alias("mask_ref"), F.when(k % 8 == 4, ref(k + 1)).alias("contents_ref"),
-        by(3, {0: "DCTDecode", 1: "FlateDecode", 2: "JPXDecode"}).alias("last_filter"), (F.col("p_size").cast("long") * 1000 + k % 997).alias("size_bytes"),
+        F.pmod(key, F.lit(20)).alias("doc_id"), (at + 1).alias("obj_no"), ref(at + 1).alias("ref"),
+        by(8, {0: "Image", 1: "Image", 2: "CIDFontType0C", 3: "XML", 6: "Form"}).alias("subtype"), by(8, {4: "Sig", 6: "XObject", 7: "Font"}).alias("type"),
+        F.when(k % 24 == 0, ref(at + 2)).alias("smask_ref"), F.when(k % 24 == 9, ref(at + 3)).alias("mask_ref"), F.when(k % 8 == 4, ref(at + 2)).alias("contents_ref"),
+        by(3, {0: "DCTDecode", 1: "FlateDecode", 2: "JPXDecode"}).alias("last_filter"), (F.col("p_size").cast("long") * 1000 + key % 997).alias("size_bytes"), (~(k % 8).isin(4, 7)).alias("is_stream"),
     )
 
 
@@ -70,25 +72,29 @@ def _case(key: Column, pairs: dict[int, str]) -> Column:
 
 
 OBJECTS = """
+numbered AS (SELECT *, p_partkey % 20 AS f, p_partkey // 20 AS o, p_partkey // 20 + p_partkey % 20 AS k FROM part),
 pdf_objects AS (
-  SELECT p_partkey % 5 AS doc_id, CAST(p_partkey AS BIGINT) AS obj_no, p_partkey || ' 0 R' AS ref,
-    CASE p_partkey % 8 WHEN 0 THEN 'Image' WHEN 1 THEN 'Image' WHEN 2 THEN 'CIDFontType0C' WHEN 3 THEN 'XML' WHEN 6 THEN 'Form' END AS subtype,
-    CASE p_partkey % 8 WHEN 4 THEN 'Sig' WHEN 6 THEN 'XObject' END AS type,
-    CASE WHEN p_partkey % 24 = 0 THEN (p_partkey + 1) || ' 0 R' END AS smask_ref, CASE WHEN p_partkey % 8 = 4 THEN (p_partkey + 1) || ' 0 R' END AS contents_ref,
-    CASE p_partkey % 3 WHEN 0 THEN 'DCTDecode' WHEN 1 THEN 'FlateDecode' ELSE 'JPXDecode' END AS last_filter,
-    CAST(p_size AS BIGINT) * 1000 + p_partkey % 997 AS size_bytes
-  FROM part)"""
+  SELECT f AS doc_id, CAST(o + 1 AS BIGINT) AS obj_no, (o + 1) || ' 0 R' AS ref,
+    CASE k % 8 WHEN 0 THEN 'Image' WHEN 1 THEN 'Image' WHEN 2 THEN 'CIDFontType0C' WHEN 3 THEN 'XML' WHEN 6 THEN 'Form' END AS subtype,
+    CASE k % 8 WHEN 4 THEN 'Sig' WHEN 6 THEN 'XObject' WHEN 7 THEN 'Font' END AS type,
+    CASE WHEN k % 24 = 0 THEN (o + 2) || ' 0 R' END AS smask_ref, CASE WHEN k % 24 = 9 THEN (o + 3) || ' 0 R' END AS mask_ref, CASE WHEN k % 8 = 4 THEN (o + 2) || ' 0 R' END AS contents_ref,
+    CASE k % 3 WHEN 0 THEN 'DCTDecode' WHEN 1 THEN 'FlateDecode' ELSE 'JPXDecode' END AS last_filter,
+    CAST(p_size AS BIGINT) * 1000 + p_partkey % 997 AS size_bytes, k % 8 NOT IN (4, 7) AS is_stream
+  FROM numbered)"""
 
 
-def pixels_of(documents: DataFrame, most: int = 256) -> DataFrame:
-    """A gray row of at most 256 pixels for each document: code points modulo 256."""
-    chars = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.char_length("text"))), lambda i: F.ascii(F.substring("text", i, F.lit(1))) % 256)
-    return documents.where(F.char_length("text") > 0).select("doc_id", F.posexplode(chars).alias("px", "v")).select("doc_id", F.col("px").cast("long").alias("px"), F.col("v").cast("long").alias("v"))
+def rasters_of(documents: DataFrame) -> DataFrame:
+    """A gray row of pixels for each document that isn't empty, one for each character of the whole text: code points modulo 256."""
+    return documents.where(F.char_length("text") > 0).select("doc_id", F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 256).cast("long")).alias("data"))
+
+
+def pixels_of(documents: DataFrame) -> DataFrame:
+    return rasters_of(documents).select("doc_id", F.posexplode("data").alias("px", "v")).withColumn("px", F.col("px").cast("long"))
 
 
 PIXELS = """
-pixels AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS px, CAST(unicode(substr(text, CAST(i AS BIGINT), 1)) % 256 AS BIGINT) AS v
-  FROM (SELECT doc_id, text, unnest(range(1, least(256, length(text)) + 1)) AS i FROM documents))"""
+pixels AS (SELECT doc_id, CAST(px AS BIGINT) AS px, CAST(unicode(c) % 256 AS BIGINT) AS v
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) - 1 AS px FROM documents))"""
 
 
 def ocr_words_of(items: DataFrame) -> DataFrame:
@@ -137,5 +143,5 @@ EDITS = """
 edit_log AS (SELECT user_id AS session, event_id, event_type AS k, epoch_us(ts) // 1000 AS at_ms, value FROM events)"""
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    return items_of(read(spark, d, "documents"))
+def items(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return items_of(read(spark, d, "documents"), *keep)

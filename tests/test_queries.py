@@ -57,6 +57,79 @@ def test_layer_lines_of_fragments(spark):
     assert got == [("Hello world", 10.0, 63.0, "A"), ("far", 120.0, 18.0, "A"), ("漢字", 10.0, 20.0, "A")]
 
 
+def test_lines_with_blanks_scripts_and_angles(spark):
+    frag = lambda i, s, x, y, w, angle=0.0, size=10.0: (1, 1, i, s, float(x), float(y), float(w), "A", size, angle, float(x), float(y), 1.0)
+    rows = [frag(0, "up", 10, 50, 12, 90.0), frag(1, "Name", 10, 100, 24), frag(2, "   ", 34, 100, 80), frag(3, "Date", 114, 100, 24), frag(4, " ", 5, 100, 3)]  # a wide blank doesn't join cells
+    rows += [frag(5, "漢", 10, 80, 10), frag(6, "字", 25, 80, 10)]  # no space between ideographs
+    rows += [frag(7, "a", 10, 60, 6), frag(8, "a", 10.9, 60, 6), frag(9, "a", 11.5, 60, 6)]  # both compared with the one kept
+    rows += [frag(10, "wide", 100, 40, 100), frag(11, "back", 110, 40, 20)]  # far behind the line's end
+    schema = "doc_id long, page_number long, item_idx long, str string, x double, y double, width double, font string, size double, angle double, along double, across double, hs double"
+    got = [(r.line, r.text, r.angle) for r in L.layer_lines(spark.createDataFrame(rows, schema)).orderBy("line").collect()]
+    assert got == [(0, "up", 90.0), (1, "Name", 0.0), (2, "Date", 0.0), (3, "漢字", 0.0), (4, "aa", 0.0), (5, "wide", 0.0), (6, "back", 0.0)]
+
+
+def test_paragraphs_by_plain_loops(spark):
+    """Every line of random pages goes where a search over all open paragraphs puts it."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for page in range(30):
+        y = 700.0
+        for k in range(14):
+            size = rng.choice([10.0, 10.0, 10.0, 11.0, 16.0])
+            rows.append((1, page, k, rng.choice([60.0, 60.0, 66.0, 80.0, 300.0]), y, rng.choice([200.0, 240.0, 60.0]), size, rng.random() < 0.1, rng.choice(["layer"] * 9 + ["ocr"]), 5.0 if rng.random() < 0.05 else 0.0))
+            y -= rng.choice([0.0, 12.0, 12.0, 14.0, 30.0])
+
+    def fits(own, gap, r):
+        a, em = own[-1], r["size"]
+        d = a["y"] - r["y"]
+        body = a["x"] if len(own) == 1 else min(o["x"] for o in own[1:])
+        left = abs(r["x"] - body) <= 1.5 * em or (len(own) == 1 and abs(r["x"] - a["x"]) <= 3 * em and r["x"] <= a["x"] + 0.2 * em)
+        side = abs(r["x"] + r["end"] - a["x"] - a["end"]) <= 2 * em or abs(r["end"] - a["end"]) <= em
+        ended = len(own) > 1 and not side and a["end"] - body < 0.6 * (max(o["end"] for o in own) - body)
+        alike = a["bold"] == r["bold"] and a["origin"] == r["origin"] and abs(a["size"] - em) <= 0.12 * max(a["size"], em)
+        return alike and 0.9 * em <= d <= 2.3 * em and (len(own) == 1 or abs(d - gap) <= 0.2 * em) and min(a["end"], r["end"]) > max(a["x"], r["x"]) and (left or side) and not ended
+
+    names = ["doc_id", "page_number", "line", "x", "y", "width", "size", "bold", "origin", "angle"]
+    want = set()
+    for page in range(30):
+        lines = [dict(zip(names, r, strict=True)) | {"end": r[3] + r[5]} for r in rows if r[1] == page]
+        drafts = [[o] for o in lines if o["angle"]]
+        for r in sorted((o for o in lines if not o["angle"]), key=lambda o: (-o["y"], o["x"], o["line"])):
+            near = [(d[-1]["y"] - r["y"], k) for k, d in enumerate(drafts) if not d[0]["angle"] and fits(d, d[0]["y"] - d[1]["y"] if len(d) > 1 else 0, r)]
+            if near:
+                drafts[min(near)[1]].append(r)
+            else:
+                drafts.append([r])
+        want |= {(page, tuple(o["line"] for o in d)) for d in drafts}
+    df = spark.createDataFrame(rows, "doc_id long, page_number long, line long, x double, y double, width double, size double, bold boolean, origin string, angle double")
+    got = L.paragraphs(df).collect()
+    assert {(r.page_number, tuple(r.lines)) for r in got} == want and len(got) == len(want)
+    assert {r.align for r in got} >= {"left", "justify"}
+
+
+def test_objects_of_two_files(spark):
+    from pagemill.operators import objects as O
+
+    schema = "doc_id long, ref string, obj_no long, subtype string, type string, smask_ref string, mask_ref string, contents_ref string, last_filter string, size_bytes long, is_stream boolean"
+    rows = [(1, "1 0 R", 1, "Image", None, "2 0 R", None, None, None, 10, True), (1, "2 0 R", 2, "Image", None, None, None, None, None, 20, True), (2, "2 0 R", 2, "Image", None, None, None, None, None, 30, True)]
+    rows += [(1, "3 0 R", 3, None, "Sig", None, None, "4 0 R", None, 5, False), (1, "4 0 R", 4, None, None, None, None, None, None, 7, True), (2, "4 0 R", 4, None, None, None, None, None, None, 50, True), (2, "5 0 R", 5, None, "Font", None, None, None, None, 9, False)]
+    o = spark.createDataFrame(rows, schema)
+    assert sorted((r.doc_id, r.obj_no) for r in O.image_candidates(o).collect()) == [(1, 1), (2, 2)]
+    assert [(r.doc_id, r.obj_no) for r in O.signature_contents(o).collect()] == [(1, 4)]
+    b = {r.doc_id: r for r in O.breakdown(o).collect()}
+    assert (b[1].signature, b[1].content, b[1].signatures) == (12, 0, 1) and (b[2].content, b[2].signature, b[2].fonts, b[2].other) == (50, 0, 1, 9)
+
+
+def test_fonts_of_two_files(spark):
+    from pagemill.operators import fonts as O
+
+    wanted = spark.createDataFrame([(1, 1, "A", "xyz"), (2, 2, "A", "xyz")], "doc_id long, id long, font string, chars string")
+    there = spark.createDataFrame([(1, "1 0 R", "A", ["x"], 0), (2, "1 0 R", "A", ["x", "y"], 0), (2, "2 0 R", "ABCDEF+A", ["x", "y", "z"], 1)], "doc_id long, ref string, name string, encodable array<string>, place int")
+    assert sorted(tuple(r) for r in O.resolved(wanted, there).collect()) == [(1, 1, "1 0 R", 1.5), (2, 2, "2 0 R", 3.0)]
+
+
 def test_anchors_are_not_gaps(spark):
     from pyspark.sql import functions as F
 
@@ -71,25 +144,50 @@ def test_replay(spark):
     assert got == {1: ("", 0, 2), 2: ("y", 0, 0)}
 
 
-def test_typesetting():
-    width = lambda s: 6 * len(s)
-    assert E.typeset("one two three", 42, width) == ["one two", "three"]
-    assert E.typeset("abcdefghij x\n\nend ", 24, width) == ["abcd", "efgh", "ij x", "", "end"]
-    assert E.typeset("漢字漢字漢", 12, width, lambda c: c > "　") == ["漢字", "漢字", "漢"]
-    for line in E.typeset("the quick brown fox jumps over the lazy dog " * 5, 100, width):
-        assert width(line) <= 100
+def test_typesetting(spark):
+    from pyspark.sql import functions as F
+
+    def lines(text, width, **kw):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        return [r.text for r in E.typeset_lines(df, width, **kw).orderBy("line").collect()]
+
+    assert lines("one two three", 42.0) == ["one two", "three"]
+    assert lines("abcdefghij x\n\nend ", 24.0) == ["abcd", "efgh", "ij x", "", "end"]
+    assert lines("a abcdefghij", 24.0) == ["a", "abcdefghij"]  # only a word that starts a line is cut
+    assert lines("漢字漢字漢", 12.0) == ["漢字", "漢字", "漢"]
+    assert lines("abcdefgh", 24.0, indent=12.0) == ["ab", "cdef", "gh"]
+    for line in lines("the quick brown fox jumps over the lazy dog " * 5, 100.0):
+        assert 6 * len(line) <= 100
+    rows = E.typeset_lines(spark.createDataFrame([(1, "aa bb cc dd"), (2, None), (3, "")], "doc_id long, text string"), 50.0, align="center").collect()
+    assert sorted((r.doc_id, r.text, r.x, r.width) for r in rows) == [(1, "aa bb cc", 1.0, 48.0), (1, "dd", 19.0, 12.0), (3, "", 25.0, 0.0)]
+    scale = spark.createDataFrame([("abcdefghij",), ("abc",), ("x" * 100,)], "t string").select(E.condensed(F.col("t"), F.lit(54.0), 6.0)).collect()
+    assert [r[0] for r in scale] == [0.9, 1.0, 0.8]
 
 
-def test_change_plans():
-    glyphs = [(c, 10.0 + 6 * i, 6.0) for i, c in enumerate("Total: 100 EUR")]
-    width = lambda s: 6.0 * len(s)
-    assert E.plan_line(glyphs, "Total: 100  EUR", width, 200) == {"noop": True}
-    p = E.plan_line(glyphs, "Total: 2500 EUR", width, 200)
-    assert (p["middle"], p["start"], p["delta"], p["squeeze"], p["push"]) == ("25", 52.0, 6.0, 1.0, 0.0)
-    assert E.plan_line(glyphs, "Total: 25000000 EUR", width, 110)["squeeze"] == 0.75
-    assert E.plan_line([], "x", width, 10) is None
-    end = E.plan_line(glyphs, "Total: 100 USD", width, 200)
-    assert end["middle"].strip() == "USD" and end["delta"] == 0.0
+def test_change_plans(spark):
+    from pyspark.sql import functions as F
+
+    def plan(old, new, right, push=0.0, glyphs=None):
+        glyphs = [(c, 10.0 + 6 * i, 6.0) for i, c in enumerate(old)] if glyphs is None else glyphs
+        df = spark.createDataFrame([(glyphs, old, new)], "g array<struct<c:string,x:double,w:double>>, old string, new string")
+        got = df.select(E.line_plan(F.col("g"), F.col("old"), F.col("new"), lambda t: 6.0 * F.char_length(t), F.lit(right), push).alias("p")).first().p
+        return got and got.asDict()
+
+    old = "Total: 100 EUR"
+    assert plan(old, "Total: 100  EUR", 200.0)["noop"]
+    p = plan(old, "Total: 2500 EUR", 200.0)
+    assert (p["middle"], p["start"], p["delta"], p["squeeze"], p["push"], p["tail"]) == ("25", 52.0, 6.0, 1.0, 0.0, list("00 EUR"))
+    assert (p["gone_x"], p["gone_w"]) == (52.9, pytest.approx(93.1 - 52.9))
+    assert plan(old, "Total: 25000000 EUR", 110.0)["squeeze"] == 0.75
+    pushed = plan(old, "Total: 2500 EUR", 97.0, 10.0)
+    assert (pushed["squeeze"], pushed["push"]) == (1.0, 3.0)
+    assert plan("", "x", 10.0) is None
+    assert plan("ab", "x", 10.0, glyphs=[("q", 0.0, 6.0)]) is None  # the glyphs say something else
+    assert plan("ab", "a b", 99.0) is None  # nothing but spacing changed
+    end = plan(old, "Total: 100 USD", 200.0)
+    assert end["middle"].strip() == "USD" and end["delta"] == 0.0 and end["tail"] == []
+    gone = plan("one two three", "one three", 200.0)
+    assert (gone["middle"].strip(), gone["delta"]) == ("", -24.0)
 
 
 def test_predictors():
@@ -108,20 +206,37 @@ def test_predictors():
     assert X.unfilter(out[:4], 4, 2, 1) == b""
 
 
+def test_regions_and_strokes(spark):
+    from pyspark.sql import functions as F
+
+    white, ink = 0xFFFFFF, 0x0A0A0A
+    data = [ink if 15 <= y < 20 and 20 <= x < 30 else white - 0x050505 for y in range(40) for x in range(60)]
+    images = spark.createDataFrame([(1, 60, 40, data)], "doc_id long, wide int, high int, data array<int>")
+    boxes = spark.createDataFrame([(1, 0, 18.0, 13.0, 14.0, 9.0, 3), (1, 1, 0.0, 0.0, 60.0, 40.0, 3), (1, 2, 90.0, 0.0, 5.0, 5.0, 3)], "doc_id long, key int, left double, top double, width double, height double, pad int")
+    got = {r.key: r for r in X.regions(images, boxes).collect()}
+    assert (got[0].ground, got[0].spread, got[0].ink, got[0].ink_share) == ([255] * 3, 0.0, [0] * 3, 50 / 126)
+    assert got[1].ground == [255] * 3 and got[1].ink_share == 50 / 2400  # no ring: white
+    assert (got[2].ink, got[2].ink_share) == (None, 0.0)
+    mask = [3 < y < 6 and 4 <= x < 34 for y in range(10) for x in range(38)]
+    ruled = [y == 2 or x == 3 or (y, x) == (5, 5) for y in range(10) for x in range(8)]
+    m = spark.createDataFrame([(1, 38, mask), (2, 8, ruled), (3, 1, [True, True])], "doc_id long, wide int, mask array<boolean>")
+    assert {r.doc_id: r.stroke for r in X.stroke_width(m).collect()}[1] == 2 * 60 / 64
+    left = {r.doc_id: r.n for r in X.unruled(m).select("doc_id", F.size(F.filter("mask", lambda v: v)).alias("n")).collect()}
+    assert left == {1: 0, 2: 1, 3: 0}
+
+
 def test_inpainting():
     import numpy as np
 
     flat = np.full((40, 60, 3), 250, np.uint8)
     flat[15:20, 20:30] = 0
-    stats = X.region(flat, 18, 13, 14, 9, 3)
-    assert stats["ink"] == [0.0, 0.0, 0.0] and stats["bg"] == [255.0] * 3
+    stats = {"bg": [255.0] * 3, "spread": 0.0}
     patch = X.inpaint(flat, 18, 13, 14, 9, stats)
     assert patch["uniform"] and patch["pixels"].shape == (9, 14, 3) and (patch["pixels"] == 250).all()
     ramp = np.repeat(np.arange(60)[None, :, None] * 4, 40, 0).repeat(3, 2).astype(np.uint8)
     px = X.inpaint(ramp, 20, 10, 10, 10, {"bg": [98.0] * 3, "spread": 60.0})["pixels"].astype(int)
     assert abs(px[5, :, 0] - np.arange(20, 30) * 4).max() <= 12
     assert X.inpaint(flat, 0, 0, 60, 40, {"bg": [1.0, 2.0, 3.0], "spread": 0.0})["color"] == [1.0, 2.0, 3.0]
-    assert X.stroke(np.pad(np.ones((2, 30), bool), 4)) == 2 * 60 / 64
 
 
 def test_character_maps():
