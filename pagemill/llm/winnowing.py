@@ -9,6 +9,8 @@ chosen hash, in any script, with spaces or without; runs shorter than `k` are ne
 As every code point has four bytes in UTF-32, a run is cut out in constant time, so the cost grows with
 the length of a text. `with_marks` does the same over runs of whole words.
 
+Window minima come by doubling (`_window_minima`), so a text costs the same few passes whatever the window.
+
 Defined cases: a null text is an empty one; no code points give no marks; fewer than k give one run
 of all of them, fewer than `window` runs one window; equal texts have equal fingerprints (as have
 texts that differ in case or white space only); likeness is the Jaccard index of the chosen hashes,
@@ -58,20 +60,37 @@ def with_marks(df: DataFrame, text_col: str, to: str, k: int = 5, window: int =
     return out.select(*df.columns, to)
 
 
+def _bound(x: Column, f) -> Column:
+    """f of a value that is computed once. A column would be put into the inner lambdas and computed for each run."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _window_minima(r: Column, window: int) -> Column:
+    """The least number of every `window` neighbours: minima over 1, 2, 4, ... neighbours, each from two of the former, and at last from two that overlap; of a shorter array its least number."""
+    def lesser(step: int):
+        n = lambda a: F.greatest(F.size(a) - step, F.lit(0))
+        return lambda a: F.zip_with(F.slice(a, F.lit(1), n(a)), F.slice(a, F.lit(step + 1), n(a)), lambda x, y: F.least(x, y))
+
+    out, wide = r, 1
+    while wide < window:
+        step = min(wide, window - wide)
+        out = _bound(out, lesser(step))
+        wide += step
+    return F.when(F.size(r) >= window, out).otherwise(F.array(F.array_min(r)))
+
+
 def with_point_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """As with_marks, of the text's code points without white space."""
     none = F.array().cast("array<struct<hash:bigint,at:int>>")
     run = lambda p, at: F.xxhash64(F.substring(p, at * 4 + 1, F.lit(4 * k)))
     at = lambda m: (_AT - m.bitwiseAND(_AT)).cast("int")
-    n = lambda p: F.greatest((F.octet_length(p) / 4).cast("int") - k + 1, F.lit(1))
-    # A value bound by a lambda over one element is computed once; a column would be put into the inner lambdas and computed for each run.
-    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    last = lambda p: F.greatest((F.octet_length(p) / 4).cast("int") - k, F.lit(0))
     # The hash's 32 bits before the place from the end: the least number is the rightmost of the least hashes.
-    packed = lambda p: F.transform(F.sequence(F.lit(0), n(p) - 1), lambda i: F.shiftleft(run(p, i).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(_AT - i.cast("long")))
-    least = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(r, i, window)))
-    marks = lambda p: F.transform(F.array_distinct(bound(packed(p), least)), lambda m: F.struct(run(p, at(m)).alias("hash"), at(m).alias("at")))
+    packed = lambda p: F.transform(F.sequence(F.lit(_AT), _AT - last(p), F.lit(-1)), lambda i: F.shiftleft(run(p, _AT - i).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(i.cast("long")))
+    chosen = lambda p: F.array_distinct(_bound(packed(p), lambda r: _window_minima(r, window)))
+    marks = lambda p: F.transform(chosen(p), lambda m: F.struct(run(p, at(m)).alias("hash"), at(m).alias("at")))
     points = F.encode(F.translate(F.lower(text_or_empty(text_col)), " \t\n\x0b\x0c\r", ""), "UTF-32")
-    return df.withColumn(to, bound(points, lambda p: F.when(F.octet_length(p) > 0, marks(p)).otherwise(none)))
+    return df.withColumn(to, _bound(points, lambda p: F.when(F.octet_length(p) > 0, marks(p)).otherwise(none)))
 
 
 def digest(marks: str) -> Column:
