@@ -9,7 +9,9 @@ chosen hash, in any script, with spaces or without; runs shorter than `k` are ne
 As every code point has four bytes in UTF-32, a run is cut out in constant time, so the cost grows with
 the length of a text. `with_marks` does the same over runs of whole words.
 
-Window minima come by doubling (`_window_minima`), so a text costs the same few passes whatever the window.
+Window minima come by doubling (`_window_minima`), so a text costs the same few passes whatever the
+window. A text made of the beginnings of two others takes their marks over (`joined_marks`): only the
+windows over the seam are hashed anew.
 
 Defined cases: a null text is an empty one; no code points give no marks; fewer than k give one run
 of all of them, fewer than `window` runs one window; equal texts have equal fingerprints (as have
@@ -79,18 +81,62 @@ def _window_minima(r: Column, window: int) -> Column:
     return F.when(F.size(r) >= window, out).otherwise(F.array(F.array_min(r)))
 
 
+def _points(text: Column) -> Column:
+    """Code points of a text, four bytes each."""
+    return F.encode(F.translate(F.lower(text), " \t\n\x0b\x0c\r", ""), "UTF-32")
+
+
+def _marks(points: Column, k: int, window: int) -> Column:
+    """The marks of code points: array of (hash, at, since), `since` the first window that chose it."""
+    none = F.array().cast("array<struct<hash:bigint,at:int,since:int>>")
+    # Runs are known by the place of their first byte, 1, 5, 9, ...; the 32 bits of the hash stand before that place, reversed: the least number is the rightmost of the least hashes.
+    run = lambda p, j: F.xxhash64(F.substring(p, j, F.lit(4 * k)))
+    place = lambda m: m.bitwiseAND(_AT).bitwiseXOR(_AT).cast("int")
+    last = lambda p: F.greatest(F.octet_length(p) - (4 * k - 1), F.lit(1))
+    packed = lambda p: F.transform(F.sequence(F.lit(1), last(p), F.lit(4)), lambda j: F.shiftleft(run(p, j).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(j.cast("long").bitwiseXOR(F.lit(_AT).cast("long"))))
+    chosen = lambda p: F.array_distinct(_bound(packed(p), lambda r: _window_minima(r, window)))
+
+    def told(p: Column, c: Column) -> Column:
+        at = lambda m: ((place(m) - 1) / 4).cast("int")
+        # A lesser hash is chosen when it comes into the window; else the one before has left it.
+        since = lambda m, i: F.when(i == 0, 0).when(m < F.get(c, i - 1), at(m) - window + 1).otherwise(at(F.get(c, i - 1)) + 1)
+        return F.transform(c, lambda m, i: F.struct(run(p, place(m)).alias("hash"), at(m).alias("at"), since(m, i).cast("int").alias("since")))
+
+    return _bound(points, lambda p: F.when(F.octet_length(p) > 0, _bound(chosen(p), lambda c: told(p, c))).otherwise(none))
+
+
+def _plain(marks: Column) -> Column:
+    return F.transform(marks, lambda m: F.struct(m["hash"].alias("hash"), m["at"].alias("at")))
+
+
 def with_point_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """As with_marks, of the text's code points without white space."""
-    none = F.array().cast("array<struct<hash:bigint,at:int>>")
-    run = lambda p, at: F.xxhash64(F.substring(p, at * 4 + 1, F.lit(4 * k)))
-    at = lambda m: (_AT - m.bitwiseAND(_AT)).cast("int")
-    last = lambda p: F.greatest((F.octet_length(p) / 4).cast("int") - k, F.lit(0))
-    # The hash's 32 bits before the place from the end: the least number is the rightmost of the least hashes.
-    packed = lambda p: F.transform(F.sequence(F.lit(_AT), _AT - last(p), F.lit(-1)), lambda i: F.shiftleft(run(p, _AT - i).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(i.cast("long")))
-    chosen = lambda p: F.array_distinct(_bound(packed(p), lambda r: _window_minima(r, window)))
-    marks = lambda p: F.transform(chosen(p), lambda m: F.struct(run(p, at(m)).alias("hash"), at(m).alias("at")))
-    points = F.encode(F.translate(F.lower(text_or_empty(text_col)), " \t\n\x0b\x0c\r", ""), "UTF-32")
-    return df.withColumn(to, _bound(points, lambda p: F.when(F.octet_length(p) > 0, marks(p)).otherwise(none)))
+    return df.withColumn(to, _plain(_marks(_points(text_or_empty(text_col)), k, window)))
+
+
+def joined_marks(a: Column, b: Column, left: Column, right: Column, a_marks: Column, b_marks: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The marks of the points a + b, where a begins the points `left` and b begins `right`, whose marks are known.
+
+    A window's choice depends on its own window + k - 1 points only: windows inside a are those of `left`, windows inside
+    b those of `right`, further on; only those over the seam are looked at anew. Else, and where a + b holds no full
+    window (or, as by case rules that look at neighbours, isn't made of such beginnings), all is.
+    """
+    reach = window + k - 1
+    size = lambda p: F.floor(F.octet_length(p) / 4).cast("int")
+    cut = lambda p, start, n: F.substring(p, 4 * start + 1, 4 * n)
+    starts = lambda p, of: F.substring(of, F.lit(1), F.octet_length(p)) == p
+    whole = lambda marks, n: F.filter(marks, lambda m: m["since"] <= n - reach)
+    moved = lambda marks, by: F.transform(marks, lambda m: F.struct(m["hash"].alias("hash"), (m["at"] + by).alias("at")))
+
+    def told(s: Column) -> Column:
+        n, m = s["n"], s["m"]
+        back, on = F.least(n, F.lit(reach - 1)), F.least(m, F.lit(reach - 1))
+        seam = F.concat(cut(a, n - back, back), cut(b, F.lit(0), on))
+        over = F.when(back + on >= reach, moved(_marks(seam, k, window), n - back)).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
+        return F.array_distinct(F.concat(moved(whole(a_marks, n), F.lit(0)), over, moved(whole(b_marks, m), n)))
+
+    known = (size(a) + size(b) >= reach) & starts(a, left) & starts(b, right)
+    return F.when(known, _bound(F.struct(size(a).alias("n"), size(b).alias("m")), told)).otherwise(_plain(_marks(F.concat(a, b), k, window)))
 
 
 def digest(marks: str) -> Column:
@@ -136,13 +182,18 @@ def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The edited text is the text with its last half replaced by as much of the next document's text.
     """
-    own = with_point_marks(with_next(docs, id_col, text_col), "text", "marks", k, window).withColumn("hashes", hashes("marks"))
+    own = with_next(docs, id_col, text_col).withColumn("points", _points(F.col("text"))).withColumn("full", _marks(F.col("points"), k, window))
+    own = own.withColumns({"marks": _plain(F.col("full")), "hashes": hashes("full")})
     in_order = Window.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    paired = own.select("*", F.lead("text").over(in_order).alias("next_text"), F.lead("hashes").over(in_order).alias("next_hashes")).where("NOT guest")
-    n = F.char_length("text")
-    edit = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
-    both = paired.withColumn("n_chars", n.cast("long")).withColumn("edited", edit)
-    both = with_point_marks(both, "edited", "edited_marks", k, window).withColumn("edited_hashes", hashes("edited_marks"))
+    paired = own.select("*", *(F.lead(c).over(in_order).alias(f"next_{c}") for c in ("text", "points", "full", "hashes"))).where("NOT guest")
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    both = paired.withColumn("n_chars", F.char_length("text").cast("long"))
+    both = both.withColumns({"head": F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), "tail": F.substring("next_text", F.lit(1), half)})
+    both = both.withColumns({"edited": F.concat("head", "tail"), "a": _points(F.col("head")), "b": _points(F.col("tail"))})
+    # Case rules may look over the seam: then the points are those of the edited text itself.
+    whole = _points(F.col("edited")) == F.concat("a", "b")
+    edited = F.when(whole, joined_marks(F.col("a"), F.col("b"), F.col("points"), F.col("next_points"), F.col("full"), F.col("next_full"), k, window)).otherwise(_plain(_marks(_points(F.col("edited")), k, window)))
+    both = both.withColumn("edited_marks", edited).withColumn("edited_hashes", hashes("edited_marks"))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("marks").alias("fingerprint"), digest("edited_marks").alias("edited_fingerprint"),
         likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"), "marks", "edited_marks",

@@ -97,3 +97,19 @@ def test_texts_without_spaces(spark):
     got = {r.doc_id: r for r in W.report(W.edited_next(docs)).collect()}
     assert 0.2 < got[1].near_edited < 0.5 and got[1].n_marks > 30
     assert got[2].near_next > 0
+
+
+def test_likeness_and_edited_marks_by_brute_force(spark):
+    """Marks of edited texts, put together from two texts' marks, are those of the text itself; both likenesses are Jaccard indices of the hashes."""
+    rnd = random.Random(7)
+    texts = ["", " ", "x", "abc" * 5, "ΑΣ", "ΑΣ b"] + ["".join(rnd.choice("ab \nΣİ漢😀cdefgh") for _ in range(rnd.choice([3, 20, 46, 47, 48, 93, 94, 95, 200, 1000]))) for _ in range(60)] + ["z" * 500, "z" * 500, "ab" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, window in ((16, 32), (3, 5)):
+        got = {r.doc_id: r for r in W.edited_next(docs, k=k, window=window).collect()}
+        edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:] + texts[:1])]
+        plain = {r.i: ([(m.hash, m.at) for m in r.x], [(m.hash, m.at) for m in r.y]) for r in W.with_point_marks(W.with_point_marks(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts, edited))], "i int, a string, b string"), "a", "x", k, window), "b", "y", k, window).collect()}
+        like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        for i, r in got.items():
+            own, new, after = (({h for h, _ in m}) for m in (*plain[i], plain[(i + 1) % len(texts)][0]))
+            assert [(m.hash, m.at) for m in r.marks] == plain[i][0] and [(m.hash, m.at) for m in r.edited_marks] == plain[i][1], (i, k, texts[i])
+            assert r.near_edited == pytest.approx(like(own, new)) and r.near_next == pytest.approx(like(own, after))
