@@ -6,12 +6,14 @@ and slot j takes the block at place j of the source's pseudorandom index permuta
 each pass over the source). Blocks and slots are joined by source and index.
 
 The shards' counts are multinomial draws given the sources' totals: a binary tree over the shards
-splits the totals by multivariate hypergeometric draws, seeded by the node, so each shard finds its
-own counts and first slots by one walk from the root, and all shards together take each total
-exactly. (Over 5e8 slots a node is split by expected counts, rounded; numpy draws no further.)
-
-Prefix sums give each document its place: a source is dealt by hash to `chunks` groups, sums of
-groups are run up per source, then places inside a group, so a hot source never meets in one task.
+splits the totals by draws without replacement, seeded by the node, so each shard finds its own
+counts and first slots by one walk from the root, and all shards together take each total exactly.
+A draw is exact at any size: every slot is taken by a coin, then as many as are too many or too few
+are put back or taken, each slot as likely as any other.
+
+Prefix sums give each document its place: a source is dealt by hash to groups of about `chunk_rows`
+documents, sums of groups are run up per source, then places inside a group, so a hot source never
+meets in one task.
 The driver holds one row for each source, at most `max_sources`; more is an error.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, the
@@ -36,7 +38,6 @@ SHARE = 1.5
 MOST = 2
 BLOCK = 64
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_DRAWN = 500_000_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -73,20 +74,39 @@ def permuted(index: np.ndarray, n: int, seed: int | list[int]) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def shard_slots(shard: int, shards: int, totals: np.ndarray, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """First slot and number of slots that a shard takes of each source; `slots` a shard, the last takes the rest."""
+def drawn(rng: np.random.Generator, counts: np.ndarray, m: int) -> np.ndarray:
+    """How many of each kind are among m things drawn without replacement; exact for any counts.
+
+    Things are taken by coins of probability m / n. The surplus, about the root of n, is put back (what lacks is
+    taken): different places in the line of all things taken (left), which makes all sets of m equally likely.
+    """
+    n = int(counts.sum())
+    if not n:
+        return np.zeros_like(counts)
+    taken = rng.binomial(counts, m / n)
+    over = int(taken.sum()) - m
+    pool = taken if over > 0 else counts - taken
+    places = np.zeros(0, np.int64)
+    while len(places) < abs(over):
+        places = np.concatenate([places, rng.integers(0, int(pool.sum()), abs(over) - len(places))])
+        _, first = np.unique(places, return_index=True)
+        places = places[np.sort(first)]
+    moved = np.bincount(np.searchsorted(np.cumsum(pool), places, "right"), minlength=len(counts))
+    return taken - moved if over > 0 else taken + moved
+
+
+def shard_slots(shard: int, shards: int, totals: np.ndarray, slots: int, seed: int, nodes: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First slot and number of slots that a shard takes of each source; `slots` a shard, the last takes the rest. nodes: keeps the draws of the path to the last shard."""
     lo, hi, first, own = 0, shards, np.zeros(len(totals), np.int64), totals.astype(np.int64)
     everything = int(own.sum())
+    nodes = {} if nodes is None else nodes
+    for k in [k for k in nodes if not k[0] <= shard < k[1]]:
+        del nodes[k]
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        m = min(mid * slots, everything) - lo * slots
-        rng = np.random.default_rng([seed, lo, hi])
-        if (n := int(own.sum())) > _DRAWN:
-            part = own * (m / n)
-            left = np.floor(part).astype(np.int64)
-            left[np.argsort(left - part, kind="stable")[: m - int(left.sum())]] += 1
-        else:
-            left = rng.multivariate_hypergeometric(own, m, method="marginals")
+        if (lo, hi) not in nodes:
+            nodes[lo, hi] = drawn(np.random.default_rng([seed, lo, hi]), own, min(mid * slots, everything) - lo * slots)
+        left = nodes[lo, hi]
         if shard < mid:
             hi, own = mid, left
         else:
@@ -103,10 +123,10 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 class Mix:
     """The draw of one mix; `takes` has a row for each document, `blocks` one for each part of it in a block."""
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, shard: int = 16_384, chunks: int = 1024, max_sources: int = 100_000, seed: int = 7, **columns: str):
+    def __init__(self, docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, shard: int = 16_384, chunk_rows: int = 20_000, max_sources: int = 100_000, seed: int = 7, **columns: str):
         spark = docs.sparkSession
         self.documents = checkpointed(sized(docs, **columns))
-        found = self.documents.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+        found = self.documents.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
         if len(found) > max_sources:
             raise ValueError(f"over {max_sources} sources")
         found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
@@ -116,7 +136,7 @@ class Mix:
         rows = [(k, r.source, r.n, t) for k, (r, t) in enumerate(zip(found, goal, strict=True))]
         self.sources = spark.createDataFrame(rows, "number int, source string, source_size long, target double")
         self.slots = self._slots(spark, quota, blocks, shard, seed)
-        self.blocks = self._blocks(block, chunks)
+        self.blocks = self._blocks(block, max((-(-r.rows // chunk_rows) for r in found), default=1))
 
     @staticmethod
     def _slots(spark, quota: np.ndarray, blocks: np.ndarray, shard: int, seed: int) -> DataFrame:
@@ -124,9 +144,10 @@ class Mix:
         shards = max(1, -(-int(quota.sum()) // shard))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nodes: dict = {}
             for b in batches:
                 for k in b["id"].tolist():
-                    first, own = shard_slots(k, shards, quota, shard, seed)
+                    first, own = shard_slots(k, shards, quota, shard, seed, nodes)
                     for s in np.flatnonzero(own).tolist():
                         j = np.arange(first[s], first[s] + own[s])
                         for turn in np.unique(j // blocks[s]).tolist():
@@ -178,10 +199,10 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     """The mix as documents: for each turn in which words of a document were drawn, its row with the text of those words. Columns stay."""
     mix = Mix(docs, **kw)
     part = F.struct("first", "words", "times")
-    drawn = mix.blocks.join(mix.slots, ["number", "block"]).groupBy("number", "doc_id", "text_hash", "place").agg(F.collect_list(part).alias("parts"))
+    drawn = mix.blocks.join(mix.slots, ["number", "block"]).groupBy("number", "doc_id", "text_hash", "place").agg(F.collect_list(part).alias("__parts"))
     # Rows that repeat a document hold the same text: the first of their places goes with the first of the rows.
     order = Window.partitionBy("__id", "__hash").orderBy("place")
-    drawn = drawn.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "place", "parts").select("__id", "__hash", "parts", F.row_number().over(order).alias("__copy"))
+    drawn = drawn.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "place", "__parts").select("__id", "__hash", "__parts", F.row_number().over(order).alias("__copy"))
     own = docs.select("*", F.xxhash64(text_or_empty("text")).alias("__own"), F.col("source").alias("__source"))
     there = own.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.col("source").asc_nulls_last())))
     joined = there.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")) & (F.col("__nth") == F.col("__copy")))
@@ -194,4 +215,4 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
 
         return pd.Series([one(t, ps) for t, ps in zip(text, parts, strict=True)])
 
-    return joined.withColumn("text", F.explode(turns("text", "parts"))).select(*docs.columns)
+    return joined.withColumn("text", F.explode(turns("text", "__parts"))).select(*docs.columns)

@@ -21,17 +21,28 @@ def test_permutations(n):
     assert sorted(M.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
-def test_shards_take_each_total_once(monkeypatch):
+def test_shards_take_each_total_once():
     totals = np.array([0, 5, 1000, 313])
-    for drawn in (10**9, 50):
-        monkeypatch.setattr(M, "_DRAWN", drawn)
-        at = np.zeros(4, int)
-        shards = -(-1318 // 100)
-        for k in range(shards):
-            first, own = M.shard_slots(k, shards, totals, 100, 3)
-            assert (first == at).all() and own.sum() == min(100, 1318 - 100 * k)
-            at += own
-        assert (at == totals).all()
+    at, nodes = np.zeros(4, int), {}
+    shards = -(-1318 // 100)
+    for k in range(shards):
+        first, own = M.shard_slots(k, shards, totals, 100, 3, nodes)
+        assert (first == at).all() and own.sum() == min(100, 1318 - 100 * k) and (own >= 0).all()
+        assert all((x == y).all() for x, y in zip(M.shard_slots(k, shards, totals, 100, 3), (first, own)))
+        at += own
+    assert (at == totals).all()
+
+
+def test_draws_without_replacement():
+    counts, m = np.array([40, 0, 7, 13]), 25
+    ours = np.array([M.drawn(np.random.default_rng(k), counts, m) for k in range(4000)])
+    theirs = np.random.default_rng(0).multivariate_hypergeometric(counts, m, 4000)
+    assert (ours.sum(1) == m).all() and (ours >= 0).all() and (ours <= counts).all()
+    assert abs(ours.mean(0) - theirs.mean(0)).max() < 0.15 and abs(ours.var(0) / np.maximum(theirs.var(0), 1e-9) - 1)[[0, 2, 3]].max() < 0.12
+    for m in (0, 1, 59, 60):
+        assert M.drawn(np.random.default_rng(1), counts, m).sum() == m
+    big = M.drawn(np.random.default_rng(2), np.array([7 * 10**11, 3 * 10**11]), 5 * 10**11)
+    assert big.sum() == 5 * 10**11 and abs(big[0] - 35 * 10**10) < 10**7
 
 
 def docs_of(spark):
@@ -43,8 +54,8 @@ def docs_of(spark):
 
 def test_takes(spark):
     rows, docs = docs_of(spark)
-    got = M.Mix(docs, block=16, shard=500, chunks=8).takes().collect()
-    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, M.Mix(docs, block=16, shard=500, chunks=8).takes().collect()))
+    got = M.Mix(docs, block=16, shard=500, chunk_rows=20).takes().collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, M.Mix(docs, block=16, shard=500, chunk_rows=20).takes().collect()))
     sizes = {}
     for _, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
@@ -65,7 +76,8 @@ def test_takes(spark):
 
 def test_mixed_holds_the_words_taken(spark):
     rows, docs = docs_of(spark)
-    kw = {"block": 16, "shard": 500, "chunks": 8}
+    docs = docs.withColumnRenamed("target", "parts")
+    kw = {"block": 16, "shard": 500, "chunk_rows": 20}
     out = M.mixed(docs, **kw)
     assert out.columns == docs.columns
     words, want = {}, {}
