@@ -4,8 +4,8 @@ A text's UTF-8 bytes are cut into segments. Two gated recurrent units, one in ea
 segment; their states together give every position a probability for each language, and a document's
 probabilities are the mean over all its positions. The network is trained here in numpy by
 backpropagation through time, on a sample of labelled documents: at most about `per_language`
-documents of each language, chosen by a hash, with `segments` segments from anywhere in each. The
-sample is all that the driver sees of the texts.
+documents of each language, chosen by a hash, as whole texts. A step draws documents of all languages
+alike, and a segment from anywhere in each. The sample is all that the driver sees of the texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is everything if
 nothing can be learned; a null doc_id is neither held out nor learned from; repeated rows stay; ties
@@ -103,16 +103,17 @@ class Network:
         return loss, g
 
 
-def train(x: np.ndarray, length: np.ndarray, y: np.ndarray, languages: int, hidden: int = 8, steps: int = 400, rows: int = 128, rate: float = 0.02, seed: int = 0) -> Network:
-    """Adam over batches with each language equally often. x: segments (rows, time), padded; length: their real bytes."""
+def train(x: np.ndarray, length: np.ndarray, of: np.ndarray, y: np.ndarray, languages: int, hidden: int = 8, steps: int = 400, rows: int = 128, rate: float = 0.02, seed: int = 0) -> Network:
+    """Adam over batches with each language, and each document of it, equally often. x: segments (rows, time) of all documents in order, padded; length: their real bytes; of: their documents; y: the documents' languages."""
     net, rng = Network(hidden, languages, seed), np.random.default_rng(seed + 1)
-    of = [np.flatnonzero(y == k) for k in range(languages)]
+    own, first = [np.flatnonzero(y == k) for k in range(languages)], np.searchsorted(of, np.arange(len(y) + 1))
     mean = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     square = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     for step in range(1, steps + 1):
-        pick = np.array([rng.choice(of[k % languages]) for k in range(rows)])
+        docs = np.array([rng.choice(own[k % languages]) for k in range(rows)])
+        pick = rng.integers(first[docs], first[docs + 1])
         batch = x[pick].T
-        _, g = net.gradients(batch, np.arange(len(batch))[:, None] < length[pick][None], y[pick])
+        _, g = net.gradients(batch, np.arange(len(batch))[:, None] < length[pick][None], y[docs])
         now = rate * min(1, 2 * (1 - step / (steps + 1)))
         for k in net.NAMES:
             mean[k] += 0.1 * (g[k] - mean[k])
@@ -147,7 +148,7 @@ def held_out(mod: int, rest: int, id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod)) == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 1000, segments_each: int = 4, max_languages: int = 200, min_bytes: int = 12, seed: int = 11, **kw) -> tuple[list[str], Network | None]:
+def fit(docs: DataFrame, per_language: int = 1000, max_languages: int = 200, min_bytes: int = 12, seed: int = 11, **kw) -> tuple[list[str], Network | None]:
     """The languages (sorted) and the network, learned from documents that aren't held out."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(4, 2) & (F.octet_length("text") >= min_bytes)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("bytes"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().limit(max_languages + 1).collect()}
@@ -157,15 +158,13 @@ def fit(docs: DataFrame, per_language: int = 1000, segments_each: int = 4, max_l
         return [], None
     rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
     share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    place = lambda i: 1 + F.pmod(F.xxhash64(F.lit(i), "h"), F.greatest(F.lit(1), F.octet_length("bytes") - (SEGMENT - 1))).cast("int")
-    parts = F.array(*(F.substring("bytes", place(i), SEGMENT) for i in range(segments_each)))
-    got = usable.where(share < rate[F.col("lang")]).select("h", "lang", parts.alias("parts")).limit(2 * per_language * len(counts)).collect()
-    rows = sorted((r.h, r.lang, bytes(p)) for r in got for p in r.parts)
+    got = usable.where(share < rate[F.col("lang")]).select("h", "lang", "bytes").limit(2 * per_language * len(counts)).collect()
+    rows = sorted((r.h, r.lang, bytes(r.bytes)) for r in got)
     languages = sorted({lang for _, lang, _ in rows})
     if not rows:
         return [], None
-    data, length, _ = segments([p for _, _, p in rows])
-    return languages, train(data, length, np.array([languages.index(lang) for _, lang, _ in rows]), len(languages), **kw)
+    data, length, of = segments([p for _, _, p in rows])
+    return languages, train(data, length, of, np.array([languages.index(lang) for _, lang, _ in rows]), len(languages), **kw)
 
 
 def predict(docs: DataFrame, languages: list[str], net: Network | None) -> DataFrame:
@@ -191,16 +190,18 @@ def identify(docs: DataFrame, **kw) -> DataFrame:
     return predict(docs, *fit(docs, **kw))
 
 
-def keep_known(docs: DataFrame, least: float = 0.35, **kw) -> DataFrame:
-    """docs without those that have no language, or whose language has a score below `least`. Columns stay as they are."""
+def keep_known(docs: DataFrame, least: float = 0.15, **kw) -> DataFrame:
+    """docs without those that have no language, or whose best probability is less than `least` of the way from even chances to certainty. Columns and repeated rows stay as they are; an empty table, or one without labels to learn from, gives an empty result."""
     languages, net = fit(docs, **kw)
+    even = 1 / max(1, len(languages))
+    bar = even + least * (1 - even)
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
         out = pd.Series(False, index=text.index)
         there = text.map(lambda t: net is not None and t is not None and any(map(str.isalpha, t)))
         if there.any():
-            out[there] = document_probabilities(net, [t.encode("utf-8", "surrogatepass") for t in text[there]]).max(1) >= least
+            out[there] = document_probabilities(net, [t.encode("utf-8", "surrogatepass") for t in text[there]]).max(1) >= bar
         return out
 
     return docs.where(known("text"))
