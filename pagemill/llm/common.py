@@ -58,6 +58,19 @@ def repeat(df: DataFrame, copies: str) -> DataFrame:
     return df.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop(copies)
 
 
+def attached(rows: DataFrame, values: DataFrame, key: str, copies: str, most: int = 4096) -> DataFrame:
+    """rows, many for a key, joined with values, one for each key with its number of rows in `copies` (which goes).
+
+    A key with over 1/most of all rows would meet in one task. There are fewer than `most` such keys, so their values
+    are broadcast; the others are joined by shuffles. Both tables should be stored ones, as they are read twice.
+    """
+    total = values.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    hot = F.col(copies) * most > total
+    many = F.broadcast(values.where(hot).drop(copies))
+    few = rows.join(F.broadcast(values.where(hot).select(key)), key, "left_anti").join(values.where(~hot).drop(copies), key)
+    return rows.join(many, key).unionByName(few)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Exact connected components of undirected edges (a, b: long): rows (node, root), root the smallest node reachable.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, text_or_empty
+from .common import attached, checkpointed, components, text_or_empty
 
 SEED = 42
 SETS = [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
@@ -83,10 +83,11 @@ def local_stars(lists: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
     while len(here := here[here < len(fps) - step]) and len(here := here[lists[here] == lists[here + step]]):
         other = here + step
         x = fps[here] ^ fps[other]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        hit = (tally >= need) & (np.bitwise_count(x) <= bits) & (parent[here] != parent[other])
-        if hit.any():
-            for i, j in zip(here[hit].tolist(), other[hit].tolist(), strict=True):
+        # The count filter first; only pairs that share enough bytes in place are verified.
+        near = np.flatnonzero((x.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= need)
+        near = near[(np.bitwise_count(x[near]) <= bits) & (parent[here[near]] != parent[other[near]])]
+        if len(near):
+            for i, j in zip(here[near].tolist(), other[near].tolist(), strict=True):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
             while (up := parent[parent]).tobytes() != parent.tobytes():
@@ -137,12 +138,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows (doc_id, text_hash, fp, component_id, first): each document, its fingerprint, the smallest doc_id reachable by links,
     and the component's first document (doc_id, text_hash)."""
     by_doc = checkpointed(fingerprints(docs, id_col, text_col, width))
-    each = by_doc.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    each = by_doc.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"))
     roots = components(links(each, bits, block)).withColumnRenamed("node", "fp")
     rooted = checkpointed(each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     first = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("first")))
-    named = checkpointed(rooted.select("fp", "root").join(first, "root").select("fp", "first"))
-    return by_doc.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), "first")
+    named = checkpointed(rooted.select("fp", "root", "copies").join(first, "root").select("fp", "first", "copies"))
+    return attached(by_doc, named, "fp", "copies").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -157,5 +158,5 @@ def keep_first(docs: DataFrame, **kw) -> DataFrame:
     there = docs.select("*", own).join(checkpointed(firsts), same, "left_semi")
     repeated = checkpointed(docs.groupBy(F.col("doc_id").alias("__id"), own.alias("__hash")).count().where("count > 1").select("__id", "__hash"))
     once = there.join(repeated, same, "left_anti").select(*docs.columns)
-    again = there.join(repeated, same, "left_semi").groupBy("doc_id", "__own").agg(F.min(F.struct(*docs.columns)).alias("w")).select("w.*")
+    again = there.join(repeated, same, "left_semi").groupBy("doc_id", "__own").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("w")).select("w.*")
     return once.unionByName(again)
