@@ -33,7 +33,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.report(winnowing.edited_next(table(spark, sf_dir, "documents")))
+    return winnowing.report(winnowing.edited_next(table(spark, sf_dir, "documents"), with_marks=False))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

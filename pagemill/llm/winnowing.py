@@ -1,19 +1,21 @@
-"""Document fingerprints by winnowing, in DataFrame functions only.
+"""Document fingerprints by winnowing.
 
-A text's code points (Unicode lower case, without white space) are taken in runs of `k`, every run is
-hashed, and of every `window` runs in a row the least one is chosen, the rightmost of equal ones. Runs
-are compared by 32 bits of their hash; the chosen ones keep the whole hash and their position (the
-number of their first code point). Two texts that share `window + k - 1` code points in a row share a
-chosen hash, in any script, with spaces or without; runs shorter than `k` are never compared.
+A text's code points (lower case, without white space) are taken in runs of `k`, every run is hashed by
+a rolling polynomial, and of every `window` runs in a row the least hash is chosen, the rightmost of
+equal ones. The chosen ones keep their position (the number of their first code point). Two texts that
+share `window + k - 1` code points in a row share a chosen hash, in any script, with spaces or without;
+runs shorter than `k` are never compared.
 
-As every code point has four bytes in UTF-32, a run is cut out in constant time, so the cost grows with
-the length of a text. `with_marks` does the same over runs of whole words.
+The main path is numpy inside `mapInArrow`: DataFrame functions alone (`with_point_marks`, and
+`with_marks` over runs of whole words) are several times over the limit of time; the README has the
+figures. A rolling hash is the difference of two prefix sums, times a power of the base, so all runs of
+many texts are hashed at once; window minima come by doubling. Texts are cut into pieces of bounded
+length that overlap by one window, so memory doesn't grow with a text.
 
-Window minima come by doubling (`_window_minima`), so a text costs the same few passes whatever the
-window. A text made of the beginnings of two others takes their marks over (`joined_marks`): only the
-windows over the seam are hashed anew.
+Rows are dealt by ranges of ids, every range with the first document of the next one as a guest, so that
+each document meets the next in its own task.
 
-Defined cases: a null text is an empty one; no code points give no marks; fewer than k give one run
+Defined cases: a null text is an empty one; no code points give no marks; fewer than `k` give one run
 of all of them, fewer than `window` runs one window; equal texts have equal fingerprints (as have
 texts that differ in case or white space only); likeness is the Jaccard index of the chosen hashes,
 1 for two texts without any; repeated rows stay; null ids come after all others; only the id and
@@ -22,7 +24,12 @@ text columns are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -30,6 +37,94 @@ from .common import text_or_empty
 K = 16
 WINDOW = 32
 _AT = (1 << 31) - 1
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 1 << 19
+_NO_SPACE = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def points(text: str | None) -> np.ndarray:
+    """Lower-case code points without white space."""
+    return np.frombuffer((text or "").lower().translate(_NO_SPACE).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Winnower:
+    """Chooses marks of many texts at once."""
+
+    def __init__(self, k: int = K, window: int = WINDOW):
+        self.k, self.window = k, window
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse (modulo 2^64)."""
+        if len(self.up) <= n:
+            n = max(n, 2 * len(self.up))
+            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b)])) for b in (_BASE, inverse))
+        return self.up, self.down
+
+    def hashes(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all runs of k points."""
+        up, down = self._powers(len(x))
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_mixed(x.astype(np.uint64) + np.uint64(1)) * down[: len(x)], out=sums[1:])
+        return _mixed((sums[k:] - sums[:-k]) * up[k - 1 : len(x)])
+
+    def _minima(self, h: np.ndarray, window: int) -> np.ndarray:
+        """For every window the place of its least hash, the rightmost of equal ones. Hashes are compared by 33 bits; the place, reversed, breaks ties."""
+        m, wide = (h & ~np.uint64(_AT)) | np.arange(_AT, _AT - len(h), -1).astype(np.uint64), 1
+        while wide < window:
+            step = min(wide, window - wide)
+            m = np.minimum(m[:-step], m[step:])
+            wide += step
+        return _AT - (m & np.uint64(_AT)).astype(np.int64)
+
+    def __call__(self, texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hashes (signed) and places of the marks of each text's points."""
+        reach = self.k + self.window - 1
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+        block: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+        for i, x in enumerate(texts):
+            if len(x) < reach:
+                found[i].append(self._short(x))
+                continue
+            for a in range(0, len(x) - reach + 1, _PIECE):
+                block.append((i, a, x[a : a + _PIECE + reach - 1]))
+                size += len(block[-1][2])
+                if size >= _PIECE:
+                    self._block(block, found)
+                    block, size = [], 0
+        if block:
+            self._block(block, found)
+        out = []
+        for f in found:
+            h, at = (np.concatenate([p[j] for p in f]) for j in (0, 1)) if f else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] != at[:-1]
+            out.append((h[new], at[new]))
+        return out
+
+    def _short(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(x):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = self.hashes(x, min(self.k, len(x)))
+        at = self._minima(h, len(h))
+        return h[at].view(np.int64), at
+
+    def _block(self, block: list[tuple[int, int, np.ndarray]], found: list) -> None:
+        h = self.hashes(np.concatenate([x for _, _, x in block]), self.k)
+        least, start, reach = self._minima(h, self.window), 0, self.k + self.window - 1
+        for i, a, x in block:
+            own = least[start : start + len(x) - reach + 1]
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            found[i].append((h[own].view(np.int64), own - start + a))
+            start += len(x)
 
 
 def _lesser(a: str, step: int) -> Column:
@@ -81,76 +176,28 @@ def _window_minima(r: Column, window: int) -> Column:
     return F.when(F.size(r) >= window, out).otherwise(F.array(F.array_min(r)))
 
 
-def _points(text: Column) -> Column:
-    """Code points of a text, four bytes each."""
-    return F.encode(F.translate(F.lower(text), " \t\n\x0b\x0c\r", ""), "UTF-32")
-
-
-def _marks(points: Column, k: int, window: int) -> Column:
-    """The marks of code points: array of (hash, at, since), `since` the first window that chose it."""
-    none = F.array().cast("array<struct<hash:bigint,at:int,since:int>>")
-    # Runs are known by the place of their first byte, 1, 5, 9, ...; the 32 bits of the hash stand before that place, reversed: the least number is the rightmost of the least hashes.
-    run = lambda p, j: F.xxhash64(F.substring(p, j, F.lit(4 * k)))
-    place = lambda m: m.bitwiseAND(_AT).bitwiseXOR(_AT).cast("int")
-    last = lambda p: F.greatest(F.octet_length(p) - (4 * k - 1), F.lit(1))
-    packed = lambda p: F.transform(F.sequence(F.lit(1), last(p), F.lit(4)), lambda j: F.shiftleft(run(p, j).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(j.cast("long").bitwiseXOR(F.lit(_AT).cast("long"))))
-    chosen = lambda p: F.array_distinct(_bound(packed(p), lambda r: _window_minima(r, window)))
-
-    def told(p: Column, c: Column) -> Column:
-        at = lambda m: ((place(m) - 1) / 4).cast("int")
-        # A lesser hash is chosen when it comes into the window; else the one before has left it.
-        since = lambda m, i: F.when(i == 0, 0).when(m < F.get(c, i - 1), at(m) - window + 1).otherwise(at(F.get(c, i - 1)) + 1)
-        return F.transform(c, lambda m, i: F.struct(run(p, place(m)).alias("hash"), at(m).alias("at"), since(m, i).cast("int").alias("since")))
-
-    return _bound(points, lambda p: F.when(F.octet_length(p) > 0, _bound(chosen(p), lambda c: told(p, c))).otherwise(none))
-
-
-def _plain(marks: Column) -> Column:
-    return F.transform(marks, lambda m: F.struct(m["hash"].alias("hash"), m["at"].alias("at")))
-
-
 def with_point_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """As with_marks, of the text's code points without white space."""
-    return df.withColumn(to, _plain(_marks(_points(text_or_empty(text_col)), k, window)))
-
-
-def joined_marks(a: Column, b: Column, left: Column, right: Column, a_marks: Column, b_marks: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The marks of the points a + b, where a begins the points `left` and b begins `right`, whose marks are known.
-
-    A window's choice depends on its own window + k - 1 points only: windows inside a are those of `left`, windows inside
-    b those of `right`, further on; only those over the seam are looked at anew. Else, and where a + b holds no full
-    window (or, as by case rules that look at neighbours, isn't made of such beginnings), all is.
-    """
-    reach = window + k - 1
-    size = lambda p: F.floor(F.octet_length(p) / 4).cast("int")
-    cut = lambda p, start, n: F.substring(p, 4 * start + 1, 4 * n)
-    starts = lambda p, of: F.substring(of, F.lit(1), F.octet_length(p)) == p
-    whole = lambda marks, n: F.filter(marks, lambda m: m["since"] <= n - reach)
-    moved = lambda marks, by: F.transform(marks, lambda m: F.struct(m["hash"].alias("hash"), (m["at"] + by).alias("at")))
-
-    def told(s: Column) -> Column:
-        n, m = s["n"], s["m"]
-        back, on = F.least(n, F.lit(reach - 1)), F.least(m, F.lit(reach - 1))
-        seam = F.concat(cut(a, n - back, back), cut(b, F.lit(0), on))
-        over = F.when(back + on >= reach, moved(_marks(seam, k, window), n - back)).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
-        return F.array_distinct(F.concat(moved(whole(a_marks, n), F.lit(0)), over, moved(whole(b_marks, m), n)))
-
-    known = (size(a) + size(b) >= reach) & starts(a, left) & starts(b, right)
-    return F.when(known, _bound(F.struct(size(a).alias("n"), size(b).alias("m")), told)).otherwise(_plain(_marks(F.concat(a, b), k, window)))
-
-
-def digest(marks: str) -> Column:
-    return F.sha2(F.array_join(F.transform(marks, lambda m: F.concat(F.hex(m["hash"]), F.lit(":"), m["at"])), ","), 256)
+    none = F.array().cast("array<struct<hash:bigint,at:int>>")
+    run = lambda p, at: F.xxhash64(F.substring(p, at * 4 + 1, F.lit(4 * k)))
+    at = lambda m: (_AT - m.bitwiseAND(_AT)).cast("int")
+    last = lambda p: F.greatest((F.octet_length(p) / 4).cast("int") - k, F.lit(0))
+    # The hash's 32 bits before the place from the end: the least number is the rightmost of the least hashes.
+    packed = lambda p: F.transform(F.sequence(F.lit(_AT), _AT - last(p), F.lit(-1)), lambda i: F.shiftleft(run(p, _AT - i).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(i.cast("long")))
+    chosen = lambda p: F.array_distinct(_bound(packed(p), lambda r: _window_minima(r, window)))
+    marks = lambda p: F.transform(chosen(p), lambda m: F.struct(run(p, at(m)).alias("hash"), at(m).alias("at")))
+    points = F.encode(F.translate(F.lower(text_or_empty(text_col)), " \t\n\x0b\x0c\r", ""), "UTF-32")
+    return df.withColumn(to, _bound(points, lambda p: F.when(F.octet_length(p) > 0, marks(p)).otherwise(none)))
 
 
-def hashes(marks: str) -> Column:
-    return F.array_distinct(F.transform(marks, lambda m: m["hash"]))
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of two sorted arrays of different hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard index of two arrays of different hashes."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+def digest(marks: tuple[np.ndarray, np.ndarray]) -> str:
+    return hashlib.sha256(marks[0].astype("<i8").tobytes() + marks[1].astype("<i8").tobytes()).hexdigest()
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
@@ -177,28 +224,58 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return there.select("doc_id", "text", F.inline(F.when(F.col("to").isNull(), F.array(place(False, chunk))).otherwise(F.array(place(False, chunk), place(True, F.col("to")))))).repartition("chunk")
 
 
-def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, marks, edited_marks).
+#: The columns of `edited_next`.
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long, marks array<struct<hash:long,at:long>>, edited_marks array<struct<hash:long,at:long>>"
+
 
-    The edited text is the text with its last half replaced by as much of the next document's text.
+def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, with_marks: bool = True) -> DataFrame:
+    """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_marks, marks, edited_marks).
+
+    The edited text is the text with its last half replaced by as much of the next document's text. Without
+    with_marks the last two columns are null.
     """
-    own = with_next(docs, id_col, text_col).withColumn("points", _points(F.col("text"))).withColumn("full", _marks(F.col("points"), k, window))
-    own = own.withColumns({"marks": _plain(F.col("full")), "hashes": hashes("full")})
-    in_order = Window.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    paired = own.select("*", *(F.lead(c).over(in_order).alias(f"next_{c}") for c in ("text", "points", "full", "hashes"))).where("NOT guest")
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    both = paired.withColumn("n_chars", F.char_length("text").cast("long"))
-    both = both.withColumns({"head": F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), "tail": F.substring("next_text", F.lit(1), half)})
-    both = both.withColumns({"edited": F.concat("head", "tail"), "a": _points(F.col("head")), "b": _points(F.col("tail"))})
-    # Case rules may look over the seam: then the points are those of the edited text itself.
-    whole = _points(F.col("edited")) == F.concat("a", "b")
-    edited = F.when(whole, joined_marks(F.col("a"), F.col("b"), F.col("points"), F.col("next_points"), F.col("full"), F.col("next_full"), k, window)).otherwise(_plain(_marks(_points(F.col("edited")), k, window)))
-    both = both.withColumn("edited_marks", edited).withColumn("edited_hashes", hashes("edited_marks"))
-    return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("marks").alias("fingerprint"), digest("edited_marks").alias("edited_fingerprint"),
-        likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"), "marks", "edited_marks",
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        winnow = Winnower(k, window)
+        mark = pa.struct([("hash", pa.int64()), ("at", pa.int64())])
+
+        def told(own: list[tuple]) -> pa.RecordBatch:
+            """own: (doc_id, text, text of the next document), each the next of the one before."""
+            edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in own]
+            texts = [points(t) for t in edited] + [points(t) for _, t, _ in own] + [points(n) for _, _, n in own[-1:]]
+            marks = winnow(texts)
+            new, old, last = marks[: len(own)], marks[len(own) : 2 * len(own)], marks[2 * len(own) :]
+            kinds = [np.unique(h) for h, _ in old] + [np.unique(h) for h, _ in last]
+            cols = [
+                pa.array([r[0] for r in own], pa.int64()), pa.array([len(r[1]) for r in own], pa.int64()), pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
+                pa.array(map(digest, old), pa.string()), pa.array(map(digest, new), pa.string()),
+                pa.array([likeness(a, np.unique(h)) for a, (h, _) in zip(kinds, new, strict=False)], pa.float64()), pa.array(map(likeness, kinds, kinds[1:]), pa.float64()), pa.array([len(at) for _, at in old], pa.int64()),
+            ]
+            for group in (old, new):
+                ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in group])]).astype(np.int32)
+                flat = [np.concatenate([m[j] for m in group]) if group else np.zeros(0, np.int64) for j in (0, 1)]
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in flat], ["hash", "at"])) if with_marks else pa.nulls(len(own), pa.list_(mark)))
+            return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
+
+        held: tuple | None = None
+        for b in batches:
+            rows, size = [], 0
+            for i, text, guest in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("guest").to_pylist(), strict=True):
+                text = text.as_py()
+                if held is not None and not held[2]:
+                    rows.append((held[0], held[1], text))
+                    size += len(held[1])
+                # A guest ends a range: what comes next doesn't follow it.
+                if rows and (guest or size >= _PIECE):
+                    yield told(rows)
+                    rows, size = [], 0
+                held = (i, text, guest)
+            if rows:
+                yield told(rows)
+
+    dealt = with_next(docs, id_col, text_col).sortWithinPartitions("chunk", "guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return dealt.select("doc_id", "text", "guest").mapInArrow(run, SCHEMA)
 
 
 def report(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("marks").cast("long").alias("n_marks"))
+    return found.drop("marks", "edited_marks")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from pagemill.llm import winnowing as W
@@ -99,17 +100,40 @@ def test_texts_without_spaces(spark):
     assert got[2].near_next > 0
 
 
-def test_likeness_and_edited_marks_by_brute_force(spark):
-    """Marks of edited texts, put together from two texts' marks, are those of the text itself; both likenesses are Jaccard indices of the hashes."""
+def chosen_by_hand(text, k, window):
+    """Runs and places that a plain loop over windows chooses, by the hash of each run alone."""
+    points = [ord(c) for c in text.lower() if c not in " \t\n\x0b\x0c\r"]
+    winnow = W.Winnower(k, window)
+    runs = [points[j : j + k] for j in range(len(points) - k + 1)] or ([points] if points else [])
+    hs = [int(winnow.hashes(np.array(r, np.uint32), len(r))[0]) for r in runs]
+    return [(np.uint64(hs[j]).view(np.int64), j) for j in marks_by_hand([h >> 31 for h in hs], window)]
+
+
+def test_rolling_hashes_and_edited_marks_by_brute_force(spark, monkeypatch):
+    """A run's hash is that of the run alone, wherever it rolls by; marks, edited texts' marks and both likenesses are those of plain loops, in pieces of any length."""
     rnd = random.Random(7)
-    texts = ["", " ", "x", "abc" * 5, "ΑΣ", "ΑΣ b"] + ["".join(rnd.choice("ab \nΣİ漢😀cdefgh") for _ in range(rnd.choice([3, 20, 46, 47, 48, 93, 94, 95, 200, 1000]))) for _ in range(60)] + ["z" * 500, "z" * 500, "ab" * 300]
+    texts = ["", " ", "x", "abc" * 5, "ΑΣ", "ΑΣ b"] + ["".join(rnd.choice("ab \nΣİ漢😀cdefgh") for _ in range(rnd.choice([3, 20, 46, 47, 48, 93, 94, 95, 200, 1000]))) for _ in range(40)] + ["z" * 500, "z" * 500, "ab" * 300]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for k, window in ((16, 32), (3, 5)):
-        got = {r.doc_id: r for r in W.edited_next(docs, k=k, window=window).collect()}
-        edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:] + texts[:1])]
-        plain = {r.i: ([(m.hash, m.at) for m in r.x], [(m.hash, m.at) for m in r.y]) for r in W.with_point_marks(W.with_point_marks(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts, edited))], "i int, a string, b string"), "a", "x", k, window), "b", "y", k, window).collect()}
+    edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:] + texts[:1])]
+    for k, window in ((16, 32), (3, 5), (1, 1)):
+        plain = [(chosen_by_hand(t, k, window), chosen_by_hand(e, k, window)) for t, e in zip(texts, edited)]
         like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        got = {r.doc_id: r for r in W.edited_next(docs, k=k, window=window).collect()}
         for i, r in got.items():
             own, new, after = (({h for h, _ in m}) for m in (*plain[i], plain[(i + 1) % len(texts)][0]))
             assert [(m.hash, m.at) for m in r.marks] == plain[i][0] and [(m.hash, m.at) for m in r.edited_marks] == plain[i][1], (i, k, texts[i])
-            assert r.near_edited == pytest.approx(like(own, new)) and r.near_next == pytest.approx(like(own, after))
+            assert r.near_edited == pytest.approx(like(own, new)) and r.near_next == pytest.approx(like(own, after)) and r.n_marks == len(plain[i][0])
+        monkeypatch.setattr(W, "_PIECE", 7)
+        for (h, at), (want, _) in zip(W.Winnower(k, window)([W.points(t) for t in texts]), plain):
+            assert list(zip(h, at)) == want
+        monkeypatch.undo()
+
+
+def test_shared_passages_share_a_mark():
+    rnd = random.Random(8)
+    winnow = W.Winnower()
+    for _ in range(50):
+        shared = "".join(rnd.choice("abcdef") for _ in range(47))
+        a, b = ("".join(rnd.choice("ghijk") for _ in range(rnd.randrange(300))) for _ in range(2))
+        one, two = winnow([W.points(a + shared + b), W.points(b + shared + a)])
+        assert set(one[0]) & set(two[0])
