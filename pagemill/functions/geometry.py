@@ -27,15 +27,19 @@ def band(x: Column, y: Column, angle: Column, length: Column, bottom: Column, to
     return F.struct(left.alias("x"), low.alias("y"), (F.greatest(*xs) - left).alias("w"), (F.greatest(*ys) - low).alias("h"))
 
 
+#: Fixed values, in ems: the removed middle of a line's glyphs (inset at the ends, bottom, top), and how far a cover reaches beyond them.
+MIDDLE, COVER = (0.08, 0.18, 0.52), 0.12
+
+
 def removal_band(x: Column, y: Column, angle: Column, width: Column, size: Column) -> Column:
     """The middle of a line's glyphs, kept clear of the lines above and below."""
-    inset = F.when(width > size * 0.5, size * 0.08).otherwise(0.0)
-    return band(x + F.cos(F.radians(angle)) * inset, y + F.sin(F.radians(angle)) * inset, angle, F.greatest(F.lit(0.5), width - inset * 2), size * 0.18, size * 0.52)
+    inset = F.when(width > size * 0.5, size * MIDDLE[0]).otherwise(0.0)
+    return band(x + F.cos(F.radians(angle)) * inset, y + F.sin(F.radians(angle)) * inset, angle, F.greatest(F.lit(0.5), width - inset * 2), size * MIDDLE[1], size * MIDDLE[2])
 
 
 def cover_band(x: Column, y: Column, angle: Column, width: Column, size: Column, ascent: Column, descent: Column) -> Column:
     """What is painted over where the glyphs are pixels."""
-    pad = size * 0.12
+    pad = size * COVER
     return band(x - F.cos(F.radians(angle)) * pad, y - F.sin(F.radians(angle)) * pad, angle, width + pad * 2, descent * size - pad, ascent * size + pad)
 
 
@@ -116,9 +120,61 @@ def distance(r: Column, g: Column, b: Column, to: tuple[int, int, int]) -> Colum
     return F.sqrt((r - to[0]) * (r - to[0]) + (g - to[1]) * (g - to[1]) + (b - to[2]) * (b - to[2]))
 
 
+#: Fixed values: (level, chroma) below which ink is black, and from which on paper is white.
+INK, PAPER = (22, 10), (246, 6)
+
+
 def is_black(r: Column, g: Column, b: Column) -> Column:
-    return (F.greatest(r, g, b) < 22) & (chroma(r, g, b) < 10)
+    return (F.greatest(r, g, b) < INK[0]) & (chroma(r, g, b) < INK[1])
 
 
 def is_white(r: Column, g: Column, b: Column) -> Column:
-    return (F.least(r, g, b) > 246) & (chroma(r, g, b) < 6)
+    return (F.least(r, g, b) > PAPER[0]) & (chroma(r, g, b) < PAPER[1])
+
+
+def as_rgb(color: Column) -> Column:
+    """Red, green and blue (0 to 1) of a colour given as gray, RGB or CMYK by its number of components; black for others."""
+    ink = lambda k: (1 - color[k]) * (1 - color[3])
+    return (
+        F.when(F.size(color) == 1, F.array(color[0], color[0], color[0])).when(F.size(color) == 3, color)
+        .when(F.size(color) == 4, F.array(ink(0), ink(1), ink(2))).otherwise(F.array(*[F.lit(0.0)] * 3))
+    )
+
+
+def color_key(rgb: Column) -> Column:
+    return F.array_join(F.transform(rgb, lambda v: rounded(v * 255).cast("string")), ",")
+
+
+def union_of(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The rectangle around all rectangles of a group."""
+    left, low = F.min(x), F.min(y)
+    return F.struct(left.alias("x"), low.alias("y"), (F.max(x + w) - left).alias("w"), (F.max(y + h) - low).alias("h"))
+
+
+def expanded(r: Column, by: float) -> Column:
+    return F.struct((r["x"] - by).alias("x"), (r["y"] - by).alias("y"), (r["w"] + 2 * by).alias("w"), (r["h"] + 2 * by).alias("h"))
+
+
+def text_frame(m: Column, x: Column, y: Column, angle: Column) -> Column:
+    """Where a text that starts at a page's point lands on the device, and its turn there, clockwise."""
+    left, top = applied(m, x, y)
+    rad = F.radians(angle)
+    dx, dy = m[0] * F.cos(rad) + m[2] * F.sin(rad), m[1] * F.cos(rad) + m[3] * F.sin(rad)
+    return F.struct(left.alias("left"), top.alias("top"), F.degrees(F.atan2(dy, dx)).alias("rotation"))
+
+
+def moved_on_page(m: Column, dx: Column, dy: Column) -> Column:
+    """How far a move on the device moves a thing on the page."""
+    inv = inverted(m)
+    (x0, y0), (x1, y1) = applied(inv, F.lit(0.0), F.lit(0.0)), applied(inv, dx, dy)
+    return F.struct((x1 - x0).alias("x"), (y1 - y0).alias("y"))
+
+
+def thumbnail(w: Column, h: Column, most_w: int, most_h: int) -> Column:
+    """Width and height in whole pixels of a page scaled into a box."""
+    scale = F.least(F.lit(most_w) / w, F.lit(most_h) / h)
+    return F.struct(F.ceil(w * scale).alias("w"), F.ceil(h * scale).alias("h"))
+
+
+def centred(w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
+    return F.struct(((page_w - w) / 2).alias("x"), ((page_h - h) / 2).alias("y"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as a CJK character, a Hangul syllable, and Hangul or CJK of any kind.
 CJK = "[぀-ヿ㐀-鿿豈-﫿]"
 HANGUL = "[가-힣]"
 HANGUL_OR_CJK = "[ᄀ-ᇿ㄰-㆏가-힣぀-ヿ㐀-鿿豈-﫿]"
 LETTER = r"[\p{L}\p{N}]"
+#: Characters that the Windows encoding has besides Latin-1.
+WINDOWS_EXTRA = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 #: Patterns of font names.
 SERIF = "(times|serif|roman|georgia|garamond|minion|cambria|book ?antiqua|palatino|batang|myeong|mincho|song|ming|바탕|명조|궁서|gungs|hymj|h2mj|mjre|hcr ?batang|함초롬바탕)"
 MONO = "(courier|mono|consol|code|d2coding|menlo|fixed)"
@@ -56,12 +60,40 @@ def strip_subset_tag(name: Column) -> Column:
     return F.regexp_replace(name, r"^[A-Z]{6}\+", "")
 
 
-def describe_font(base: Column) -> Column:
-    """Family, weight and slant that a font's name tells."""
+def describe_font(base: Column, bold: Column | bool = False, italic: Column | bool = False, css: Column | None = None) -> Column:
+    """Family, weight and slant that a font's name, its flags and its style's family tell."""
     shown = strip_subset_tag(F.coalesce(base, F.lit("")))
     is_ = lambda p: shown.rlike("(?i)" + p)
-    family = F.when(is_(MONO), "mono").when(~is_("sans") & is_(SERIF), "serif").otherwise("sans")
-    return F.struct(F.coalesce(base, F.lit("")).alias("base_font"), F.when(shown == "", "—").otherwise(shown).alias("display_name"), family.alias("family"), is_(BOLD).alias("bold"), is_(ITALIC).alias("italic"))
+    set_ = lambda c: F.coalesce(F.lit(c) if isinstance(c, bool) else c, F.lit(False))
+    css = F.lit("") if css is None else F.coalesce(css, F.lit(""))
+    family = F.when(is_(MONO) | (css == "monospace"), "mono").when((~is_("sans") & is_(SERIF)) | (css == "serif"), "serif").otherwise("sans")
+    return F.struct(F.coalesce(base, F.lit("")).alias("base_font"), F.when(shown == "", "—").otherwise(shown).alias("display_name"), family.alias("family"), (set_(bold) | is_(BOLD)).alias("bold"), (set_(italic) | is_(ITALIC)).alias("italic"))
+
+
+@F.pandas_udf(StringType())
+def repaired_name(name: pd.Series) -> pd.Series:
+    """Font names whose EUC-KR bytes were read as Latin-1, read as what they are; others, and those without Hangul in them, stay."""
+
+    def one(n: str | None) -> str | None:
+        if n is None or n.isascii() or any(c > "\xff" for c in n):
+            return n
+        try:
+            said = n.encode("latin-1").decode("euc-kr")
+        except UnicodeDecodeError:
+            return n
+        return said if any("가" <= c <= "힣" for c in said) else n
+
+    return name.map(one)
+
+
+def run_size(t: Column) -> Column:
+    """The size of a text item from its transform: its height, or its width where that is 0."""
+    return F.coalesce(F.nullif(F.abs(t[3]), F.lit(0.0)), F.abs(t[0]))
+
+
+def all_windows(text: Column) -> Column:
+    """Whether a text has characters of the Windows encoding only."""
+    return ~text.rlike(f"[^\\x20-\\x7e\\xa0-\\xff{WINDOWS_EXTRA}]")
 
 
 def letters(text: Column) -> Column:
@@ -73,6 +105,22 @@ def hangul_share(text: Column) -> Column:
     return F.when(n > 0, F.regexp_count(text, F.lit(HANGUL)) / n).otherwise(0.0)
 
 
+def mostly_hangul(hangul: Column, all_letters: Column) -> Column:
+    """Whether over a quarter of a page's letters are Hangul."""
+    return (all_letters > 0) & (hangul / F.nullif(all_letters, F.lit(0)) > 0.25)
+
+
+#: Languages of recognition with their labels, modes of page segmentation in order, and the languages that an interface language starts with.
+OCR_LANGUAGES = {"eng": "English", "kor": "한국어", "jpn": "日本語", "chi_sim": "简中", "chi_tra": "繁中", "spa": "Español", "fra": "Français", "deu": "Deutsch", "ita": "Italiano", "por": "Português", "rus": "Русский", "ara": "العربية"}
+SEGMENTATION = ("3", "1", "4", "6", "7", "8", "11", "12", "13")
+FIRST_LANGUAGES = {"ko": ["kor", "eng"], "es": ["spa"], "": ["eng"]}
+
+
+def first_languages(ui: Column) -> Column:
+    said = lambda k: F.array(*map(F.lit, FIRST_LANGUAGES[k]))
+    return F.when(ui == "ko", said("ko")).when(ui == "es", said("es")).otherwise(said(""))
+
+
 def prefers_korean(text: Column, font: Column, korean_page: Column) -> Column:
     return text.rlike(HANGUL_OR_CJK) | F.coalesce(font.rlike("(?i)" + KOREAN_FONT), F.lit(False)) | F.coalesce(korean_page, F.lit(False))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hangul_share, letters
+from .spatial import not_covered
 
 #: Confidence tiers, glyphs that are table rules, and stroke ratios of bold text.
 LOW, FAIR, GOOD = 60, 60, 80
@@ -14,10 +15,11 @@ BOLD_RATIO, BOLD_RATIO_HANGUL = 0.128, 0.092
 LINE = ("doc_id", "page_number", "line_no")
 
 
-def accepted(text: Column, confidence: Column, width: Column, height: Column) -> Column:
-    """Segments worth keeping: confident enough for the letters they hold, and of some size."""
+def accepted(text: Column, confidence: Column, width: Column, height: Column, points: Column | None = None) -> Column:
+    """Segments worth keeping: confident enough for the letters they hold, and of some size. points: the size of the text; what is under five must be three letters at least, and sure."""
     n = letters(text)
-    return (F.trim(text) != "") & (confidence >= 45) & ~((confidence < 65) & (n <= 1)) & (n > 0) & (width >= 3) & (height >= 4)
+    sharp = F.lit(True) if points is None else ~((points < 5) & ((confidence < 80) | (n <= 2)))
+    return sharp & (F.trim(text) != "") & (confidence >= 45) & ~((confidence < 65) & (n <= 1)) & (n > 0) & (width >= 3) & (height >= 4)
 
 
 def tier(confidence: Column) -> Column:
@@ -74,3 +76,32 @@ def weights(lines: DataFrame) -> DataFrame:
     factor = F.when(F.col("size") >= F.col("body") * 1.5, 1.25).otherwise(1.4)
     relative = F.when(F.col("m") > 0, F.greatest(F.col("m") * factor, F.lit(0.085))).otherwise(absolute)
     return at.withColumn("bold", enough & (F.col("stroke") > F.least(absolute, relative))).drop("m", "body")
+
+
+def legible_on_dark(luminance: Column, confidence: Column) -> Column:
+    """Lines read in dark regions that are worth keeping."""
+    return (luminance < 110) & (confidence >= 55)
+
+
+def without_dark(lines: DataFrame, dark: DataFrame) -> DataFrame:
+    """lines and dark: (doc_id, page_number, group, line, x, y, w, h, ...). Ordinary lines that no line read in a dark region covers, and those lines, in groups after the others."""
+    left = not_covered(lines, dark, of_smaller=True)
+    return left.withColumn("dark", F.lit(False)).unionByName(dark.withColumn("dark", F.lit(True)))
+
+
+def beside_layer(layer: DataFrame, read: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A page's own lines with what recognition adds to them: lines it read (`line`, in boxes) that no own line covers.
+
+    paragraphs: (doc_id, page_number, paragraph, lines) of the lines read. They keep the lines that are left, in order;
+    one without any goes. Rows of lines carry `origin`; lines of an earlier reading (origin ocr) are replaced.
+    """
+    own = layer.where("origin != 'ocr'")
+    new = not_covered(read, own).withColumn("origin", F.lit("ocr"))
+    flat = paragraphs.select("doc_id", "page_number", "paragraph", F.posexplode("lines").alias("pos", "line")).join(new.select("doc_id", "page_number", "line"), ["doc_id", "page_number", "line"], "left_semi")
+    kept = flat.groupBy("doc_id", "page_number", "paragraph").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]).alias("lines"))
+    return own.unionByName(new), kept
+
+
+def latest_states(log: DataFrame) -> DataFrame:
+    """log: (doc_id, page_number, at_ms, event_id, state). The state that each page's recognition is in."""
+    return log.groupBy("doc_id", "page_number").agg(F.max_by("state", F.struct("at_ms", "event_id")).alias("state"), F.max("at_ms").alias("at_ms"))

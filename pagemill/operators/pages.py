@@ -9,9 +9,17 @@ from ..functions.text import page_range
 
 
 def merge(pages: DataFrame, ordinal: str = "doc_id", group: str = "merged") -> DataFrame:
-    """Pages of the files of each group, file after file, numbered anew."""
-    order = Window.partitionBy(group).orderBy(ordinal, "page_number")
-    return pages.withColumn("new_page", F.row_number().over(order).cast("long"))
+    """Pages of the files of each group, file after file, numbered anew.
+
+    Files' numbers of pages are summed up before their pages are numbered, so a group of many files meets as one row
+    for each file only.
+    """
+    file = (group, ordinal)
+    files = pages.groupBy(*file).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(*file, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy(*file).orderBy("page_number"))
+    return pages.withColumn("__own", own).join(starts, list(file)).withColumn("new_page", (F.col("__start") + F.col("__own")).cast("long")).drop("__start", "__own")
 
 
 def split_every(files: DataFrame, every: int) -> DataFrame:
@@ -54,3 +62,27 @@ def keyword_list(keywords: Column) -> Column:
 
 def accepted(name: Column, mime: Column, extension: str = ".pdf", kind: str = "application/pdf") -> Column:
     return F.coalesce(mime == kind, F.lit(False)) | F.lower(name).endswith(extension)
+
+
+def written_metadata(files: DataFrame, now: Column | None = None) -> DataFrame:
+    """Files with keywords as a list (trimmed; none of an empty text) and the time of writing as their modification."""
+    return files.withColumns({"keywords": keyword_list(F.coalesce("keywords", F.lit(""))), "modified": F.current_timestamp() if now is None else now})
+
+
+def kept_order(pages: DataFrame) -> DataFrame:
+    """pages: (doc_id, page_number, place, removed). Rows (doc_id, new_order) of the pages that stay, by place; a file must keep one at least, or it is left out."""
+    left = pages.where("NOT removed").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "page_number"))), lambda s: s["page_number"]).alias("new_order"))
+    return left.where(F.size("new_order") > 0)
+
+
+def swapped(order: Column, at: Column, by: int) -> Column:
+    """A list with the element at a place (from 0) moved by one; as it is at its ends."""
+    to = at + by
+    inside = (at >= 0) & (at < F.size(order)) & (to >= 0) & (to < F.size(order))
+    return F.when(inside, F.transform(order, lambda v, i: F.when(i == at, F.get(order, to)).when(i == to, F.get(order, at)).otherwise(v))).otherwise(order)
+
+
+def grouped(rows: DataFrame, category: str, value: str, order: list[str]) -> DataFrame:
+    """Rows (category, values, place): values by category in the order they come (by `value`), categories in a fixed order, unknown ones left out."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(category))
+    return rows.where(place > 0).groupBy(category).agg(F.sort_array(F.collect_list(value)).alias("values")).select(F.col(category).alias("category"), "values", place.alias("place"))

@@ -19,9 +19,9 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.OCR}, n AS (SELECT *, {LETTERS} AS letters FROM ocr_words)
-SELECT doc_id, page_number, item_idx FROM n WHERE trim(text) <> '' AND confidence >= 45 AND NOT (confidence < 65 AND letters <= 1) AND letters > 0 AND x1 - x0 >= 3 AND y1 - y0 >= 4""")
+SELECT doc_id, page_number, item_idx FROM n WHERE trim(text) <> '' AND confidence >= 45 AND NOT (confidence < 65 AND letters <= 1) AND letters > 0 AND x1 - x0 >= 3 AND y1 - y0 >= 4 AND NOT (item_idx % 9 < 5 AND (confidence < 80 OR letters <= 2))""")
 def ocr_accept(spark: SparkSession, d: str) -> DataFrame:
-    ok = O.accepted(F.col("text"), F.col("confidence"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    ok = O.accepted(F.col("text"), F.col("confidence"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("item_idx") % 9)
     return _words(spark, d).where(ok).select("doc_id", "page_number", "item_idx")
 
 
