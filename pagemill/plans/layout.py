@@ -61,10 +61,18 @@ def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
     return L.markdown(V.items(spark, d))
 
 
-@query(f"""WITH {MARKDOWN}, pages_md AS (SELECT doc_id, page_number, '## Page ' || page_number || chr(10) || chr(10) || string_agg(md || chr(10) || chr(10), '' ORDER BY seq) AS md FROM md GROUP BY doc_id, page_number)
+@query(f"""WITH {MARKDOWN}, {V.SHEETS}, lines_md AS (SELECT doc_id, page_number, string_agg(md || chr(10) || chr(10), '' ORDER BY seq) AS md FROM md GROUP BY doc_id, page_number),
+pages_md AS (SELECT doc_id, page_number, '## Page ' || page_number || chr(10) || chr(10) || coalesce(md, '_(empty)_' || chr(10) || chr(10)) AS md FROM all_pages LEFT JOIN lines_md USING (doc_id, page_number))
 SELECT doc_id, '# doc' || doc_id || chr(10) || chr(10) || string_agg(md, '' ORDER BY page_number) AS md FROM pages_md GROUP BY doc_id""")
 def markdown_docs(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.markdown_docs(L.markdown(V.items(spark, d)))
+    return sinks.markdown_docs(L.markdown(V.items(spark, d)), V.pages_of(V.read(spark, d, "documents")))
+
+
+@query(f"WITH {V.ITEMS}, {V.SHEETS} SELECT doc_id, page_number FROM all_pages WHERE (doc_id, page_number) NOT IN (SELECT (doc_id, page_number) FROM text_items)")
+def blank_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets of pages without items."""
+    cells = sinks.sheet_cells(L.table_cells(V.items(spark, d)), V.pages_of(V.read(spark, d, "documents")))
+    return cells.where("value = '(empty page)'").select("doc_id", "page_number")
 
 
 @query(f"""WITH {LINES}, body AS (SELECT doc_id, page_number, yk, {KIND} AS kind, trim(text) AS text FROM lines JOIN medians USING (doc_id, page_number) WHERE trim(text) <> ''),
@@ -77,9 +85,9 @@ def docx_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return sinks.docx_paragraphs(L.page_lines(V.items(spark, d)))
 
 
-@query(f"WITH {V.ITEMS} SELECT doc_id, count(DISTINCT page_number) AS pages FROM text_items GROUP BY doc_id")
+@query(f"WITH {V.SHEETS} SELECT doc_id, count(*) AS pages FROM all_pages GROUP BY doc_id")
 def page_count(spark: SparkSession, d: str) -> DataFrame:
-    return V.items(spark, d).groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"))
+    return V.pages_of(V.read(spark, d, "documents")).groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"))
 
 
 GRID = LINES + """,

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports every module of queries."""
-    from .plans import edits, fonts, layout, merging, objects, ocr, pages, pixels, spatial, streams, values  # noqa: F401
+    from .plans import edits, files, fonts, layout, merging, objects, ocr, pages, pixels, spatial, streams, values  # noqa: F401

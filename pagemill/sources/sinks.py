@@ -25,11 +25,22 @@ def plain_text(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     return full.groupBy("doc_id").agg(F.array_join(L.in_order("text", "page_number"), separator).alias("text"))
 
 
-def markdown_docs(md: DataFrame) -> DataFrame:
-    pages = md.groupBy("doc_id", "page_number").agg(F.concat(F.lit("## Page "), F.col("page_number"), F.lit("\n\n"), F.array_join(L.in_order(F.concat("md", F.lit("\n\n")), "seq"), "")).alias("md"))
+def markdown_docs(md: DataFrame, every_page: DataFrame | None = None) -> DataFrame:
+    """every_page: (doc_id, page_number); pages of it without a line say so."""
+    pages = md.groupBy("doc_id", "page_number").agg(F.array_join(L.in_order(F.concat("md", F.lit("\n\n")), "seq"), "").alias("md"))
+    if every_page is not None:
+        pages = every_page.join(pages, ["doc_id", "page_number"], "left")
+    pages = pages.select("doc_id", "page_number", F.concat(F.lit("## Page "), F.col("page_number"), F.lit("\n\n"), F.coalesce("md", F.lit("_(empty)_\n\n"))).alias("md"))
     return pages.groupBy("doc_id").agg(F.concat(F.lit("# doc"), F.col("doc_id"), F.lit("\n\n"), F.array_join(L.in_order("md", "page_number"), "")).alias("md"))
 
 
+def sheet_cells(cells: DataFrame, every_page: DataFrame) -> DataFrame:
+    """Cells of all pages' sheets; a page without items has one that says so."""
+    blank = every_page.join(cells.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+    zero = F.lit(0).cast("long")
+    return cells.unionByName(blank.select("doc_id", "page_number", zero.alias("row"), zero.alias("col"), F.lit("(empty page)").alias("value")))
+
+
 def docx_paragraphs(lines: DataFrame) -> DataFrame:
     """Rows (doc_id, seq, kind, text) of a Word document: title, then for each page a break (but the first), its number, and its lines."""
     body = lines.withColumn("text", F.trim("text")).where("text != ''").select("doc_id", "page_number", "yk", L.heading(F.col("size"), F.col("median")).alias("kind"), "text")

@@ -50,6 +50,16 @@ text_items AS (
   FROM words0 WHERE str <> '')"""
 
 
+def pages_of(documents: DataFrame) -> DataFrame:
+    """All pages of files, blank ones too; every third file ends with one."""
+    n = F.ceil(F.size(F.split("text", "\n")) / LINES_A_PAGE) + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    return documents.where("text IS NOT NULL").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("page_number"))
+
+
+SHEETS = """
+all_pages AS (SELECT doc_id, unnest(range(1, CAST(ceil(len(string_split(text, chr(10))) / 8e0) AS BIGINT) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END)) AS page_number FROM documents WHERE text IS NOT NULL)"""
+
+
 def objects_of(part: DataFrame) -> DataFrame:
     """Stored objects of twenty files, from parts. Every file counts its objects from 1, so references repeat over files."""
     key, at = F.col("p_partkey").cast("long"), F.floor(F.col("p_partkey") / 20)

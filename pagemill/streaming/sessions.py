@@ -40,7 +40,11 @@ def edit_steps(events: DataFrame, gap_ms: int) -> DataFrame:
     return ready.groupBy("session").applyInPandasWithState(run, schema, "k string, started long, ended long, changes long", "append", "EventTimeTimeout")
 
 
-def page_progress(pages: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """pages: streaming (doc_id, page_number, at). Pages done and seen so far for each document, each page once."""
-    once = pages.withWatermark("at", delay).dropDuplicatesWithinWatermark(["doc_id", "page_number"])
-    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("done"), F.max("page_number").alias("last_page"))
+def pages_done(pages: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """pages: streaming (doc_id, page_number, at). Each page once, as soon as it comes; what is remembered goes with the watermark."""
+    return pages.withWatermark("at", delay).dropDuplicatesWithinWatermark(["doc_id", "page_number"])
+
+
+def progress(done: DataFrame) -> DataFrame:
+    """Pages done and the last one seen of each document."""
+    return done.groupBy("doc_id").agg(F.count(F.lit(1)).alias("done"), F.max("page_number").alias("last_page"))
