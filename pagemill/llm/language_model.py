@@ -10,9 +10,9 @@ The corpus is counted whole, as pairs of a word and the one before it: words are
 per task before they are shuffled. Words, restaurants and pairs are three tables; a sweep joins the pairs
 with the root's word by one key and with the restaurant's total by the other, and reseats them in
 parallel by the totals of the sweep before. Pairs seen once have one seating only and are left out of
-the sweeps. Customers of a dish are seated one by one up to 16, then in blocks of a sixteenth, with the
-block's expected number of new tables rounded at random; all draws are hashes of word, restaurant and
-sweep. After `burn` sweeps the predictive probabilities of `samples` sweeps are averaged.
+the sweeps. A step takes all customers of a dish in a restaurant away and seats them one by one anew,
+given the tables of all other dishes (as they were in the sweep before), exactly at any number of
+customers (`seat`); all draws are hashes of word, restaurant and sweep. After `burn` sweeps the predictive probabilities of `samples` sweeps are averaged.
 
 Scoring: the `dense` most frequent pairs are broadcast with their probabilities. Other pairs of a text
 are summed per document and pair and joined with the model by a 64-bit hash of the pair.
@@ -144,17 +144,65 @@ def uniform(*keys: np.ndarray | int) -> np.ndarray:
     return (x >> np.uint64(11)) * (1 / (1 << 53))
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys) -> np.ndarray:
-    """Tables of dishes after all their customers are seated. new: the weight of a new table (concentration and tables, times the parent's probability)."""
+def _lgamma(z: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers, by Stirling's series after a shift."""
+    small = z < 8
+    shift, x = np.zeros_like(z), np.array(z, np.float64)
+    for _ in range(8):
+        shift = np.where(small, shift + np.log(x), shift)
+        x = np.where(small, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
+
+
+def _seated(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, *keys) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of dishes after all their customers are seated one by one, and the logarithms of the products of what each choice was divided by.
+
+    With i customers at t tables, the next one opens a table by a / (i - d t + a), a = new + grow t. The place of the
+    next opening is drawn at once, from the product of the chances of none before (a ratio of gamma functions), so a
+    dish costs its tables rather than its customers, at any number of them.
+    """
     tables = np.minimum(customers, 1).astype(np.float64)
-    act, n = np.flatnonzero(customers > 1), 1
+    at, weight, step = tables.copy(), np.zeros(len(customers)), 0
+    act = np.flatnonzero(customers > at)
     while len(act):
-        block = np.minimum(max(1, n // 16), customers[act] - n)
-        p = new[act] / (new[act] + n - discount * tables[act])
-        u = uniform(n, *(k[act] if isinstance(k, np.ndarray) else k for k in keys))
-        tables[act] += np.floor(block * p + u)
-        n += max(1, n // 16)
-        act = act[customers[act] > n]
+        step += 1
+        t, i, n = tables[act], at[act], customers[act].astype(np.float64)
+        low = -discount * t
+        c = low + new[act] + grow[act] * t
+        none = lambda j: _lgamma(j + low) - _lgamma(j + c)  # noqa: E731, B023
+        start = none(i)
+        with np.errstate(divide="ignore"):
+            least = np.log(uniform(step, *(k[act] if isinstance(k, np.ndarray) else k for k in keys)))
+        opens = none(n) - start < least
+        # Where a table is opened: the last number of customers without one is in [lo, hi).
+        lo, hi = i.copy(), np.where(opens, n, i + 1)
+        while (wide := hi - lo > 1).any():
+            mid = np.where(wide, np.floor((lo + hi) / 2), lo)
+            still = none(mid) - start >= least
+            lo, hi = np.where(wide & still, mid, lo), np.where(wide & ~still, mid, hi)
+        end = np.where(opens, lo + 1, n)
+        weight[act] += _lgamma(end + c) - _lgamma(i + c)
+        tables[act] += opens
+        at[act] = end
+        act = act[end < n]
+    return tables, weight
+
+
+def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys, grow: np.ndarray | float = 0.0, tries: int = 3) -> np.ndarray:
+    """A Gibbs step for each dish: all its customers leave and are seated anew, given everything else.
+
+    new: the weight of a first table of the dish (concentration and others' tables, times the parent's probability); grow:
+    by how much it rises with each table. Seating customers one after another draws arrangements by chances that are
+    each divided by their sum; the products of these sums decide, by Metropolis and Hastings, whether the next of
+    `tries` seatings takes the place of the one before, so that the arrangement's own probability is what is drawn from.
+    """
+    grow = np.broadcast_to(np.asarray(grow, np.float64), customers.shape)
+    tables, weight = _seated(customers, new, grow, discount, 1 << 40, *keys)
+    for k in range(1, tries):
+        other, its = _seated(customers, new, grow, discount, (1 << 40) + k, *keys)
+        with np.errstate(divide="ignore"):
+            better = np.log(uniform((1 << 41) + k, *keys)) < its - weight
+        tables, weight = np.where(better, other, tables), np.where(better, its, weight)
     return tables.astype(np.int64)
 
 
@@ -163,18 +211,21 @@ def _reseat(sweep: int, discount: float, keep: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, w, n, ts, p0, weight = (b.column(x).to_numpy() for x in ("u", "w", "n", "ts", "p0", "weight"))
-            t = seat(n, weight * p0, discount, w, u, sweep)
+            u, w, n, t, ts, p0, weight = (b.column(x).to_numpy() for x in ("u", "w", "n", "t", "ts", "p0", "weight"))
+            t = seat(n, (weight - discount * t) * p0, discount, w, u, sweep, grow=discount * p0)
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("w"), b.column("n"), b.column("m"), pa.array(t), pa.array(ts + t if keep else ts)], ["u", "w", "n", "m", "t", "ts"])
 
     return run
 
 
-def _reseat_root(sweep: int, discount: float, new: float):
+def _reseat_root(sweep: int, discount: float, new: float, base: float):
+    """As _reseat, in the root: new is its concentration and tables, base its parent's probability of any word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, c0 = b.column("w").to_numpy(), b.column("c0").to_numpy()
-            t0 = seat(c0, np.full(len(w), new), discount, w, 1 << 20, sweep)
+            before = b.column("t0").to_numpy()
+            t0 = seat(c0, (new - discount * before) * base, discount, w, 1 << 20, sweep, grow=discount * base)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(t0)], b.schema.names)
 
     return run
@@ -201,7 +252,7 @@ class Model:
         room = self.rooms.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
         self.n, self.v = int(said[0]), int(said[1])
         self.d0, self.d1 = discount(said[2], said[3]), discount(room[0], room[1])
-        self._sweep(burn, train.where(inner & (n > 1)).select("*", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")))
+        self._sweep(burn, train.where(inner & (n > 1)).select("*", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")))
 
     def _root(self) -> tuple[int, int]:
         got = self.words.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
@@ -219,9 +270,10 @@ class Model:
             p0 = self.words.where("more > 0").select("w", root(root_c, root_t).alias("p0"))
             weight = self.rooms.where("more > 0").select("u", (theta + d1 * F.col("t")).alias("weight"))
             self.seated = stored(self.seated.join(p0, "w").join(weight, "u").mapInArrow(_reseat(sweep, d1, sample >= 0), "u long, w long, n long, m long, t long, ts long"))
-            new = self.words.drop("c0", "t0").join(self.seated.groupBy("w").agg(F.sum("t").alias("s")), "w", "left").withColumn("c0", F.col("fixed") + F.coalesce("s", F.lit(0))).drop("s")
+            new = self.words.drop("c0").join(self.seated.groupBy("w").agg(F.sum("t").alias("s")), "w", "left").withColumn("c0", F.col("fixed") + F.coalesce("s", F.lit(0))).drop("s")
             # Tables of the root are customers of nobody: they need the root's totals only.
-            words = stored(new.withColumn("t0", F.lit(0).cast("long")).mapInArrow(_reseat_root(sweep, d0, (theta + d0 * root_t) * base), new.withColumn("t0", F.lit(0).cast("long")).schema))
+            new = new.select(*(c for c in new.columns if c != "t0"), "t0")
+            words = stored(new.mapInArrow(_reseat_root(sweep, d0, theta + d0 * root_t, base), new.schema))
             self.words = words
             rooms = self.rooms.drop("t").join(self.seated.groupBy("u").agg(F.sum("t").alias("s")), "u", "left").withColumn("t", F.col("once") + F.coalesce("s", F.lit(0))).drop("s")
             root_c, root_t = self._root()

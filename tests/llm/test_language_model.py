@@ -19,7 +19,7 @@ def part(i):
 def test_seating_grows_as_the_process_does():
     n = 20_000
     c = np.full(n, 30)
-    t = M.seat(c, np.full(n, 0.5), 0.4, np.arange(n), 3)
+    t = M._seated(c, np.full(n, 0.5), np.zeros(n), 0.4, np.arange(n), 3)[0].astype(int)
     rng, want = np.random.default_rng(0), []
     for _ in range(4000):
         tables = 1
@@ -32,6 +32,31 @@ def test_seating_grows_as_the_process_does():
     assert 1 < big[0] < 10**4
 
 
+def test_steps_draw_from_the_arrangements_own_probability():
+    """Five customers of a dish beside ten tables of others: tables are as often as all their partitions weigh."""
+    d, theta, others, p0, n = 0.6, 1.0, 10, 0.3, 20_000
+
+    def parts(items):
+        if not items:
+            yield []
+            return
+        for rest in parts(items[1:]):
+            yield [[items[0]], *rest]
+            for k in range(len(rest)):
+                yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+    want = np.zeros(6)
+    for p in parts(list(range(5))):
+        w = np.prod([(theta + d * (others + k)) * p0 for k in range(len(p))])
+        for table in p:
+            w *= np.prod([j - d for j in range(1, len(table))])
+        want[len(p)] += w
+    got = M.seat(np.full(n, 5), np.full(n, (theta + d * others) * p0), d, np.arange(n), grow=d * p0, tries=8)
+    assert abs(np.bincount(got, minlength=6) / n - want / want.sum()).max() < 0.015
+    z = np.array([0.3, 1.0, 2.5, 7.9, 8.0, 100.5])
+    assert M._lgamma(z) == pytest.approx([math.lgamma(x) for x in z], abs=1e-9)
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     rows = [(i, " ".join(["the", "a", "b", "c", "the"][(i * k) % 5] + "x" * ((i + k) % 3) for k in range(12))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
