@@ -11,9 +11,9 @@ counts and first slots by one walk from the root, and all shards together take e
 A draw is exact at any size: every slot is taken by a coin, then as many as are too many or too few
 are put back or taken, each slot as likely as any other.
 
-Prefix sums give each document its place: a source is dealt by hash to groups of about `chunk_rows`
-documents, sums of groups are run up per source, then places inside a group, so a hot source never
-meets in one task.
+Prefix sums give each document its place: a source is dealt by hash to groups, sums of groups are run up
+per source, then places inside a group, so a hot source never meets in one task. There are four times as
+many groups as the root of the largest source's documents, which keeps groups and their number small.
 The driver holds one row for each source, at most `max_sources`; more is an error.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, the
@@ -23,6 +23,7 @@ doc_id, text and source are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -123,7 +124,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 class Mix:
     """The draw of one mix; `takes` has a row for each document, `blocks` one for each part of it in a block."""
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, shard: int = 16_384, chunk_rows: int = 20_000, max_sources: int = 100_000, seed: int = 7, **columns: str):
+    def __init__(self, docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, shard: int = 16_384, chunks: int | None = None, max_sources: int = 100_000, seed: int = 7, **columns: str):
         spark = docs.sparkSession
         self.documents = checkpointed(sized(docs, **columns))
         found = self.documents.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
@@ -136,7 +137,7 @@ class Mix:
         rows = [(k, r.source, r.n, t) for k, (r, t) in enumerate(zip(found, goal, strict=True))]
         self.sources = spark.createDataFrame(rows, "number int, source string, source_size long, target double")
         self.slots = self._slots(spark, quota, blocks, shard, seed)
-        self.blocks = self._blocks(block, max((-(-r.rows // chunk_rows) for r in found), default=1))
+        self.blocks = self._blocks(block, chunks or 4 * math.isqrt(max((r.rows for r in found), default=1)) + 1)
 
     @staticmethod
     def _slots(spark, quota: np.ndarray, blocks: np.ndarray, shard: int, seed: int) -> DataFrame:
