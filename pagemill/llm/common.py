@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which every executor can read.
 
-    Only where spark.checkpoint.dir is not set, as in tests on one machine, a temporary one is made.
+    Only where spark.checkpoint.dir is not set, as in tests on one machine, a temporary one is made; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -58,4 +58,21 @@ def test_table(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id < 2000) == want
     alone = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id >= 2000}
     assert alone == {**{i: (0, i, True) for i in range(2000, 2006)}, 2006: (1, 2006, True), 2007: (1, 2006, False)}
+    assert len({r.recall for r in got}) == 1 and got[0].recall >= 0.98
     assert H.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_many_dimensions_and_small_shards(spark):
+    x = clusters(9, 120, 4, 700)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links = true_links(x.astype(np.float32).astype(float), x.astype(np.float32).astype(float))
+    np.fill_diagonal(links, False)
+    for kw in ({"min_shards": 1}, {"min_shards": 1, "shard_bytes": 100_000}):
+        got = {r.vec_id: r.n_links for r in H.near_duplicates(table, **kw).collect()}
+        assert got == {k: int(n) for k, n in enumerate(links.sum(1))}
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(H, "near_links", lambda nodes, least, **kw: nodes.sparkSession.createDataFrame([(None, None, 8, 10)], "a long, b long, n long, there long"))
+    with pytest.raises(RuntimeError):
+        H.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>"))
