@@ -119,19 +119,21 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def fit(docs: DataFrame, ratings: DataFrame, most: int = 12_000, seed: int = 5, grade_count: int = GRADES, **kw) -> Model | None:
     """ratings: (doc_id, grade). The sample of ratings, about `most`, is broadcast to find its texts; buckets of those come to the driver."""
-    rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
+    known = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
+    # A document that is rated several times has its lowest grade; one that is repeated is learned from once.
+    rated = known.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     if not n:
         return None
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
-    sample = rated.where(part).limit(2 * most)
+    sample = rated.where(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t.as_py()).astype(np.int32) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "buckets"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     got = own.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, buckets array<int>").toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("grade").to_pylist(), got.column("buckets").to_pylist(), strict=True))
     if not rows:

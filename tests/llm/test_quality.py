@@ -51,3 +51,13 @@ def test_documents(spark):
     none = Q.rate(table.limit(5), labels.limit(0)).collect()
     assert len(none) == 5 and all(r.keep and r.tail_probability == 0.5 for r in none)
     assert Q.rate(table.limit(0), labels).count() == 0
+
+
+def test_repeated_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(k % 40, f"good text {k % 40}" if k % 2 else f"bad junk {k % 40}", 1, "x") for k in range(200)], "doc_id long, text string, grade int, keep string")
+    labels = spark.createDataFrame([(k % 40, k % 2, 0, "y") for k in range(120)] + [(0, 1, 0, "y"), (1, 1, 1, "y")], "doc_id long, quality int, toxic int, text string")
+    got = Q.rate(docs, labels).collect()
+    assert len(got) == 200 and len({(r.doc_id, r.tail_probability) for r in got}) == 40
+    model = Q.fit(docs, labels.select("doc_id", Q.grade(labels.quality, labels.toxic).alias("grade")))
+    once = Q.fit(docs.dropDuplicates(["doc_id"]), labels.select("doc_id", Q.grade(labels.quality, labels.toxic).alias("grade")).groupBy("doc_id").agg({"grade": "min"}).withColumnRenamed("min(grade)", "grade"))
+    assert (model.weights == once.weights).all() and (model.thresholds == once.thresholds).all()
