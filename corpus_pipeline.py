@@ -16,7 +16,7 @@ from pagemill.llm.common import shared_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with a mean probability of 0.35, go (mixed texts stay)."""
+    """Documents without a letter, or whose best mean probability is near even chances, go (mixed texts stay)."""
     return language_id.keep_known(docs)
 
 
