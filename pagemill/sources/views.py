@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
+
 LINES_A_PAGE = 8
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table. Documents in fewer parts than there are cores are dealt to all of them, as what follows multiplies rows without a shuffle."""
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name == "documents" and table.rdd.getNumPartitions() < cores else table
 
 
 def items_of(documents: DataFrame, *keep: str) -> DataFrame:
@@ -23,10 +28,9 @@ def items_of(documents: DataFrame, *keep: str) -> DataFrame:
     """
     lines = F.split("text", "\n")
     before = lambda n, i: F.aggregate(F.slice(n, i - i % LINES_A_PAGE + 1, i % LINES_A_PAGE), F.lit(0), lambda a, c: a + c)
-    counted = documents.select("doc_id", *keep, lines.alias("lines"), F.transform(lines, lambda l: F.regexp_count(l, F.lit("[^ ]+"))).alias("words"))
-    rows = F.zip_with("lines", F.transform("words", lambda c, i: before(F.col("words"), i)), lambda l, first: F.struct(l.alias("line"), first.alias("first")))
-    placed = counted.select("doc_id", *keep, F.posexplode(rows).alias("line_no", "l")).select("doc_id", *keep, "line_no", "l.line", "l.first", F.split("l.line", "").alias("chars"))
-    starts = F.filter(F.transform("chars", lambda c, i: F.when((c != " ") & ((i == 0) | (F.get("chars", i - 1) == " ")), i)), lambda i: i.isNotNull())
+    rows = bound(F.transform(lines, lambda l: F.regexp_count(l, F.lit("[^ ]+"))), lambda n: F.zip_with(lines, F.transform(n, lambda c, i: before(n, i)), lambda l, first: F.struct(l.alias("line"), first.alias("first"))))
+    placed = documents.select("doc_id", *keep, F.posexplode(rows).alias("line_no", "l")).select("doc_id", *keep, "line_no", "l.line", "l.first")
+    starts = bound(F.split("line", ""), lambda chars: F.filter(F.transform(chars, lambda c, i: F.when((c != " ") & ((i == 0) | (F.get(chars, i - 1) == " ")), i)), lambda i: i.isNotNull()))
     said = F.filter(F.transform(F.split("line", " "), lambda w, i: F.struct(i.alias("word_no"), w.alias("str"))), lambda w: w["str"] != "")
     size = F.pmod(F.col("doc_id") * 7 + F.col("line_no") * 13, F.lit(20))
     size = F.when(size == 0, 20.0).when(size == 1, 16.0).otherwise(12.0)
