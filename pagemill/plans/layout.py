@@ -144,7 +144,7 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
 
 LAYER = V.ITEMS + """,
 drawn AS (SELECT doc_id, page_number, line_no, item_idx, str, x + CASE WHEN x >= 300 THEN 20 ELSE 0 END AS along, y AS across, width, font_size AS size, CASE WHEN item_idx % 5 = 3 THEN 'Alt' WHEN font_size > 12 THEN 'Head' ELSE 'Body' END AS font,
-  CASE WHEN item_idx % 2 = 0 THEN 1.1e0 ELSE 1 END AS hs, line_no % 5 = 4 AS turned FROM text_items WHERE item_idx % 13 <> 12),
+  CASE WHEN item_idx % 2 = 0 THEN 1.25e0 ELSE 1 END AS hs, line_no % 5 = 4 AS turned FROM text_items WHERE item_idx % 13 <> 12),
 gaps AS (SELECT *, min(item_idx) OVER (PARTITION BY doc_id, page_number, turned) AS seen, along - lag(along + width) OVER (PARTITION BY doc_id, page_number, line_no ORDER BY along) AS gap FROM drawn),
 numbered AS (SELECT *, sum(CASE WHEN gap > 1.25 * size THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number, line_no ORDER BY along) AS run FROM gaps),
 by_font AS (SELECT doc_id, page_number, line_no, run, font, sum(length(regexp_replace(str, '[^\\p{L}\\p{N}]', '', 'g')) * 100 + length(str)) AS weight, min(along) AS first, string_agg(str, '' ORDER BY along) AS chars, sum(hs * length(str)) / sum(length(str)) AS hs FROM numbered GROUP BY ALL),
@@ -167,7 +167,7 @@ def layer_lines(spark: SparkSession, d: str) -> DataFrame:
     twice = F.when(i % 7 == 0, part(1, F.col("str"), along + 0.5, F.col("width")))
     blank = F.when(i % 3 == 1, part(2, F.lit("  "), along + F.col("width"), F.lit(6.0)))
     runs = V.items(spark, d).select("doc_id", "page_number", i, "y", size, font.alias("font"), turned.alias("turned"), F.inline(F.array_compact(F.array(own, twice, blank))))
-    wide, none = size * F.when(i % 2 == 0, 1.1).otherwise(1.0), F.lit(0.0)
+    wide, none = size * F.when(i % 2 == 0, 1.25).otherwise(1.0), F.lit(0.0)
     t = F.when(F.col("turned"), F.array(none, wide, -size, none, -F.col("y"), "along")).otherwise(F.array(wide, none, none, size, "along", "y"))
     runs = runs.select("doc_id", "page_number", (i * 4 + F.col("k")).alias("item_idx"), "str", t[4].alias("x"), t[5].alias("y"), "width", "font", t.alias("t"))
     each = [("Alt", "B", 0.9, -0.9, False), ("Body", "B", 0.9, -0.3, False), ("Head", "H", 9.9, -0.3, False), ("Vert", "V", 0.9, -0.3, True)]
