@@ -47,7 +47,7 @@ def hashed(text: bytes, buckets: int) -> tuple[int, np.ndarray]:
     return len(words), np.array(one + two + list(map(crc32, after[2:], two)), np.int64) % buckets
 
 
-def count_matrix(rows: DataFrame, buckets: int = 10_000, block_entries: int = 1 << 20) -> DataFrame:
+def count_matrix(rows: DataFrame, buckets: int = 10_000, block_entries: int = 1 << 14) -> DataFrame:
     """rows: (doc_id, text). Blocks of compressed sparse rows, each of about `block_entries` entries at most, or one document."""
     if not 0 < buckets <= 1 << 16:
         raise ValueError("buckets are packed in two bytes")
@@ -79,7 +79,8 @@ def count_matrix(rows: DataFrame, buckets: int = 10_000, block_entries: int = 1
 
 
 def _entries(batch: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray, np.ndarray, np.ndarray]]:
-    for r in batch.to_pylist():
+    for k in range(batch.num_rows):
+        r = batch.slice(k, 1).to_pylist()[0]
         yield r["docs"], r["words"], np.array(r["starts"]), np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<u4").astype(np.int64)
 
 

@@ -43,7 +43,7 @@ def test_as_the_plain_loop(spark):
 def test_blocks_hold_every_entry(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").coalesce(1)
     small, large = importance.count_matrix(docs, block_entries=50), importance.count_matrix(docs)
-    assert small.count() > 10 and large.count() == 1
+    assert small.count() > 10 and large.count() < small.count()
     assert importance.column_sums(small) == importance.column_sums(large)
     many = [0] * 10_000
     for _, t in TEXTS:
