@@ -96,8 +96,9 @@ class Vocabulary:
         terms = counts.where("term IS NOT NULL")
         kept = stored(terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs"))
         langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-        dealt = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / chunk)))
-        placed = dealt.select("lang", "term", "lang_n", "chunk", (F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).alias("place"))
+        # Chunks are as many as all terms ask for, so that terms are never dealt by their language.
+        at = F.pmod(F.xxhash64("term"), F.lit(max(1, -(-kept.count() // chunk))))
+        placed = kept.select("*", at.alias("chunk")).withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
         self.cells = stored(terms.select(*GROUP, "term", "n").join(placed, ["lang", "term"]))
         occurring = counts.where("term IS NULL").select(*GROUP)
         sums = self.cells.groupBy(*GROUP).agg(F.sum("n").alias("n"))
