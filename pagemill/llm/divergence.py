@@ -171,7 +171,8 @@ def pairs(words: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, now = None, None
         for batch in batches:
-            for r in batch.to_pylist():
+            lists = batch.column("places"), batch.column("counts")
+            for k, r in enumerate(batch.drop_columns(["places", "counts"]).to_pylist()):
                 key = (r["lang"], r["one"], r["two"])
                 if tile is None or key != tile.key:
                     if tile is not None:
@@ -183,7 +184,7 @@ def pairs(words: Vocabulary) -> DataFrame:
                 if r["chunk"] != now:
                     tile.chunk()
                     now = r["chunk"]
-                tile.rows.append((r["block"], r["source"], np.array(r["places"], np.int64), np.array(r["counts"], np.int64)))
+                tile.rows.append((r["block"], r["source"], *(x[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)))
         if tile is not None:
             yield tile.done()
 
