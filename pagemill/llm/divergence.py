@@ -50,9 +50,9 @@ def tallied(documents: DataFrame, most: int = 500_000) -> DataFrame:
 
         held = 0
         for batch in batches:
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
                 n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
-                before, terms = len(n), _TERMS(text.lower())
+                before, terms = len(n), _TERMS(text.as_buffer().to_pybytes().lower())
                 n.update(terms)
                 docs.update(set(terms))
                 held += len(n) - before

@@ -61,8 +61,8 @@ def count_matrix(rows: DataFrame, buckets: int = 10_000, block_entries: int = 1
             return pa.RecordBatch.from_arrays([*longs, *(pa.array([x], pa.binary()) for x in packed)], ["docs", "words", "starts", "buckets", "counts"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                many, found = hashed(text or b"", buckets)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                many, found = hashed(text.as_buffer().to_pybytes() if text.is_valid else b"", buckets)
                 entries, often = np.unique(found, return_counts=True)
                 docs.append(doc)
                 words.append(many)
