@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: What counts as a CJK character, a Hangul syllable, and Hangul or CJK of any kind.
-CJK = "[぀-ヿ㐀-鿿豈-﫿]"
+CJK = "[぀-ヿ㐀-鿿豈-﫿]"
 HANGUL = "[가-힣]"
-HANGUL_OR_CJK = "[ᄀ-ᇿ㄰-㆏가-힣぀-ヿ㐀-鿿豈-﫿]"
+HANGUL_OR_CJK = "[ᄀ-ᇿ㄰-㆏가-힣぀-ヿ㐀-鿿豈-﫿]"
 LETTER = r"[\p{L}\p{N}]"
 #: Characters that the Windows encoding has besides Latin-1.
 WINDOWS_EXTRA = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"

@@ -239,11 +239,6 @@ def test_inpainting():
     assert X.inpaint(flat, 0, 0, 60, 40, {"bg": [1.0, 2.0, 3.0], "spread": 0.0})["color"] == [1.0, 2.0, 3.0]
 
 
-def test_character_maps():
-    cmap = "beginbfchar <01> <0041> <02> <D83DDE00> endbfchar beginbfrange <10> <12> <0061> <20> <21> [<0031> <00320033>] endbfrange"
-    assert E.unicode_map(cmap) == {1: "A", 2: "😀", 16: "a", 17: "b", 18: "c", 32: "1", 33: "23"}
-
-
 def test_office_files(spark, tmp_path):
     import io
     import zipfile
