@@ -1,35 +1,34 @@
-"""Document fingerprints by winnowing.
+"""Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's code points (lower case, without white space) are taken in runs of `k`, every run is hashed by
-a rolling polynomial, and of every `window` runs in a row the least hash is chosen, the rightmost of
-equal ones. The chosen ones keep their position (the number of their first code point). Two texts that
-share `window + k - 1` code points in a row share a chosen hash, in any script, with spaces or without;
-runs shorter than `k` are never compared.
+A text's code points (lower case, without white space) are taken in runs of `k`, every run is hashed, and
+of every `window` runs in a row the least hash is chosen, the rightmost of equal ones. The chosen ones keep
+their position (the number of their first code point). Two texts that share `window + k - 1` code points
+in a row share a chosen hash, in any script, with spaces or without; runs shorter than `k` are never compared.
 
-The main path is numpy inside `mapInArrow`: DataFrame functions alone (`with_point_marks`, and
-`with_marks` over runs of whole words) are several times over the limit of time; the README has the
-figures. A rolling hash is the difference of two prefix sums, times a power of the base, so all runs of
-many texts are hashed at once; window minima come by doubling. Texts are cut into pieces of bounded
-length that overlap by one window, so memory doesn't grow with a text.
+A mark is one number: 32 bits of the run's hash above its place, which is counted from the end, so the
+least number of a window is the rightmost of its least hashes; runs whose hashes agree in these bits are
+equal ones. Minima over 4, 16, ... neighbours come each from four of the former. Texts are cut into pieces
+of bounded length that overlap by one window, so arrays don't grow with a text. Runs are hashed one by
+one (a hash that rolls would need a sum over the array before each run).
+
+The edited text's marks are put together from those of its parts. A mark of a text is chosen from a window
+on that its place and the mark before tell, so marks that windows inside a part choose are known; only
+the windows across the cut are hashed anew.
 
 Rows are dealt by ranges of ids, every range with the first document of the next one as a guest, so that
 each document meets the next in its own task.
 
 Defined cases: a null text is an empty one; no code points give no marks; fewer than `k` give one run
 of all of them, fewer than `window` runs one window; equal texts have equal fingerprints (as have
-texts that differ in case or white space only); likeness is the Jaccard index of the chosen hashes,
-1 for two texts without any; repeated rows stay; null ids come after all others; only the id and
-text columns are read; an empty table gives an empty result.
+texts that differ in case or white space only); a final sigma is as any other, so that a part reads
+alike by itself; likeness is the Jaccard index of the chosen hashes, 1 for two texts without any; repeated
+rows stay; null ids come after all others; only the id and text columns are read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -37,124 +36,12 @@ from .common import text_or_empty
 K = 16
 WINDOW = 32
 _AT = (1 << 31) - 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 1 << 19
-_NO_SPACE = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def points(text: str | None) -> np.ndarray:
-    """Lower-case code points without white space."""
-    return np.frombuffer((text or "").lower().translate(_NO_SPACE).encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-class Winnower:
-    """Chooses marks of many texts at once."""
-
-    def __init__(self, k: int = K, window: int = WINDOW):
-        self.k, self.window = k, window
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of the base and of its inverse (modulo 2^64)."""
-        if len(self.up) <= n:
-            n = max(n, 2 * len(self.up))
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b)])) for b in (_BASE, inverse))
-        return self.up, self.down
-
-    def hashes(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Hashes of all runs of k points."""
-        up, down = self._powers(len(x))
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_mixed(x.astype(np.uint64) + np.uint64(1)) * down[: len(x)], out=sums[1:])
-        return _mixed((sums[k:] - sums[:-k]) * up[k - 1 : len(x)])
-
-    def _minima(self, h: np.ndarray, window: int) -> np.ndarray:
-        """For every window the place of its least hash, the rightmost of equal ones. Hashes are compared by 33 bits; the place, reversed, breaks ties."""
-        m, wide = (h & ~np.uint64(_AT)) | np.arange(_AT, _AT - len(h), -1).astype(np.uint64), 1
-        while wide < window:
-            step = min(wide, window - wide)
-            m = np.minimum(m[:-step], m[step:])
-            wide += step
-        return _AT - (m & np.uint64(_AT)).astype(np.int64)
-
-    def __call__(self, texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Hashes (signed) and places of the marks of each text's points."""
-        reach = self.k + self.window - 1
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
-        block: list[tuple[int, int, np.ndarray]] = []
-        size = 0
-        for i, x in enumerate(texts):
-            if len(x) < reach:
-                found[i].append(self._short(x))
-                continue
-            for a in range(0, len(x) - reach + 1, _PIECE):
-                block.append((i, a, x[a : a + _PIECE + reach - 1]))
-                size += len(block[-1][2])
-                if size >= _PIECE:
-                    self._block(block, found)
-                    block, size = [], 0
-        if block:
-            self._block(block, found)
-        out = []
-        for f in found:
-            h, at = (np.concatenate([p[j] for p in f]) for j in (0, 1)) if f else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            new = np.ones(len(at), bool)
-            new[1:] = at[1:] != at[:-1]
-            out.append((h[new], at[new]))
-        return out
-
-    def _short(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(x):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h = self.hashes(x, min(self.k, len(x)))
-        at = self._minima(h, len(h))
-        return h[at].view(np.int64), at
-
-    def _block(self, block: list[tuple[int, int, np.ndarray]], found: list) -> None:
-        h = self.hashes(np.concatenate([x for _, _, x in block]), self.k)
-        least, start, reach = self._minima(h, self.window), 0, self.k + self.window - 1
-        for i, a, x in block:
-            own = least[start : start + len(x) - reach + 1]
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            found[i].append((h[own].view(np.int64), own - start + a))
-            start += len(x)
-
-
-def _lesser(a: str, step: int) -> Column:
-    """Of each mark and the one `step` further the lesser, of equal ones the right one."""
-    n = F.greatest(F.size(a) - step, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, F.lit(step + 1), n), lambda x, y: F.when(y["hash"] <= x["hash"], y).otherwise(x))
-
-
-def with_marks(df: DataFrame, text_col: str, to: str, k: int = 5, window: int = 8) -> DataFrame:
-    """df with the column `to`: the chosen marks of the text's words, array<struct<hash: long, at: int>> by position.
-
-    Window minima come by doubling: minima over 1, 2, 4, ... neighbours, each from two of the former.
-    """
-    if window < 1 or window & (window - 1):
-        raise ValueError("window must be a power of two")
-    words, hashes, runs, least = (f"__{to}_{x}" for x in ("words", "hashes", "runs", "least"))
-    mark = lambda h, at: F.struct(h.alias("hash"), at.cast("int").alias("at"))
-    out = df.withColumn(words, F.array_remove(F.split(F.lower(text_or_empty(text_col)), r"[\x20\x09-\x0D]+"), ""))
-    out = out.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
-    every = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - k + 1, F.lit(0))), lambda h, i: mark(F.xxhash64(h, *(F.get(hashes, i + j) for j in range(1, k))), i))
-    none = F.array().cast("array<struct<hash:bigint,at:int>>")
-    out = out.withColumn(runs, F.when(F.size(hashes) >= k, every).when(F.size(hashes) > 0, F.array(mark(F.xxhash64(hashes), F.lit(0)))).otherwise(none))
-    at, step = runs, 1
-    while step < window:
-        out = out.withColumn(f"{least}{step}", _lesser(at, step))
-        at, step = f"{least}{step}", step * 2
-    one = F.aggregate(F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), F.get(runs, F.lit(0)), lambda x, y: F.when(y["hash"] <= x["hash"], y).otherwise(x))
-    out = out.withColumn(least, F.when(F.size(runs) >= window, F.col(at)).when(F.size(runs) > 0, F.array(one)).otherwise(none))
-    out = out.withColumn(to, F.filter(least, lambda m, i: (i == 0) | (m["at"] != F.get(least, i - 1)["at"])))
-    return out.select(*df.columns, to)
+_PIECE = 4096
+_FOLD, _TO = "\u03c2 \t\n\x0b\x0c\r", "\u03c3"
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def _bound(x: Column, f) -> Column:
@@ -162,42 +49,92 @@ def _bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _window_minima(r: Column, window: int) -> Column:
-    """The least number of every `window` neighbours: minima over 1, 2, 4, ... neighbours, each from two of the former, and at last from two that overlap; of a shorter array its least number."""
-    def lesser(step: int):
-        n = lambda a: F.greatest(F.size(a) - step, F.lit(0))
-        return lambda a: F.zip_with(F.slice(a, F.lit(1), n(a)), F.slice(a, F.lit(step + 1), n(a)), lambda x, y: F.least(x, y))
+def points(text: Column) -> Column:
+    """Lower-case code points without white space, four bytes each."""
+    return F.encode(F.translate(F.lower(text), _FOLD, _TO), "UTF-32")
+
+
+def place(mark: Column) -> Column:
+    return (_AT - mark.bitwiseAND(_AT)).cast("int")
+
+
+def _count(p: Column) -> Column:
+    return (F.octet_length(p) / 4).cast("int")
+
+
+def _part(p: Column, start: Column | int, n: Column | int) -> Column:
+    return F.substring(p, start * 4 + 1, (F.lit(n) if isinstance(n, int) else n) * 4)
+
+
+def _packed(p: Column, start: Column, k: int) -> Column:
+    """A number for each run of a piece that begins at `start` of its text."""
+    first = _AT - start
+    runs = F.greatest(_count(p) - k, F.lit(0))
+    one = lambda v, i: F.shiftleft(F.xxhash64(F.substring(p, i * 4 + 1, F.lit(4 * k))).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(v.cast("long"))
+    return F.transform(F.sequence(first, first - runs, F.lit(-1)), one)
+
 
-    out, wide = r, 1
+def _minima(r: Column, window: int) -> Column:
+    """The least number of every `window` neighbours, of fewer the least of all."""
+    steps, wide = [], 1
     while wide < window:
-        step = min(wide, window - wide)
-        out = _bound(out, lesser(step))
-        wide += step
-    return F.when(F.size(r) >= window, out).otherwise(F.array(F.array_min(r)))
+        steps.append([min(j * wide, window - wide) for j in range(1, min(4, -(-window // wide)))])
+        wide += steps[-1][-1]
 
+    def next_(a: Column, left: list[list[int]]) -> Column:
+        if not left:
+            return F.slice(a, F.lit(1), F.size(r) - (window - 1))
+        return _bound(F.transform(a, lambda x, i: F.least(x, *(F.get(a, i + j) for j in left[0]))), lambda b: next_(b, left[1:]))
 
-def with_point_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """As with_marks, of the text's code points without white space."""
-    none = F.array().cast("array<struct<hash:bigint,at:int>>")
-    run = lambda p, at: F.xxhash64(F.substring(p, at * 4 + 1, F.lit(4 * k)))
-    at = lambda m: (_AT - m.bitwiseAND(_AT)).cast("int")
-    last = lambda p: F.greatest((F.octet_length(p) / 4).cast("int") - k, F.lit(0))
-    # The hash's 32 bits before the place from the end: the least number is the rightmost of the least hashes.
-    packed = lambda p: F.transform(F.sequence(F.lit(_AT), _AT - last(p), F.lit(-1)), lambda i: F.shiftleft(run(p, _AT - i).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(i.cast("long")))
-    chosen = lambda p: F.array_distinct(_bound(packed(p), lambda r: _window_minima(r, window)))
-    marks = lambda p: F.transform(chosen(p), lambda m: F.struct(run(p, at(m)).alias("hash"), at(m).alias("at")))
-    points = F.encode(F.translate(F.lower(text_or_empty(text_col)), " \t\n\x0b\x0c\r", ""), "UTF-32")
-    return df.withColumn(to, _bound(points, lambda p: F.when(F.octet_length(p) > 0, marks(p)).otherwise(none)))
+    return F.when(F.size(r) >= window, next_(r, steps)).otherwise(F.array(F.array_min(r)))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of two sorted arrays of different hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def marks_of(p: Column, k: int, window: int) -> Column:
+    """The marks of points, in order."""
+    reach = k + window - 1
+    piece = lambda s: _bound(_part(p, s, _PIECE + reach - 1), lambda x: _bound(_packed(x, s, k), lambda r: F.array_distinct(_minima(r, window))))
+    starts = F.sequence(F.lit(0), F.greatest(_count(p) - reach, F.lit(0)), F.lit(_PIECE))
+    return F.when(F.octet_length(p) > 0, F.array_distinct(F.flatten(F.transform(starts, piece)))).otherwise(_none())
 
 
-def digest(marks: tuple[np.ndarray, np.ndarray]) -> str:
-    return hashlib.sha256(marks[0].astype("<i8").tobytes() + marks[1].astype("<i8").tobytes()).hexdigest()
+def _inside(marks: Column, last: Column, window: int) -> Column:
+    """Of a text's marks those that a window beginning at `last` or before chooses."""
+    def begins(m: Column, i: Column) -> Column:
+        before = F.get(marks, i - 1)
+        return F.when(i == 0, 0).when(m < before, place(m) - (window - 1)).otherwise(place(before) + 1)
+
+    return F.filter(marks, lambda m, i: begins(m, i) <= last)
+
+
+def _joined(one: Column, marks_one: Column, a: Column, two: Column, marks_two: Column, b: Column, k: int, window: int) -> Column:
+    """The marks of the first a points of one text and the first b of another, from the marks of both texts."""
+    reach = k + window - 1
+    first = F.greatest(a - (reach - 1), F.lit(0))
+    across = F.concat(_part(one, first, a - first), _part(two, 0, F.least(b, F.lit(reach - 1))))
+    short = (a < reach) & (b < reach)
+    moved = lambda marks, by: F.transform(marks, lambda m: m - by)
+    own = F.when(a >= reach, _inside(marks_one, a - reach, window)).otherwise(_none())
+    new = F.when(b >= reach, moved(_inside(marks_two, b - reach, window), a)).otherwise(_none())
+    middle = _bound(across, lambda x: F.when((_count(x) >= reach) | short, moved(marks_of(x, k, window), first)).otherwise(_none()))
+    return F.array_distinct(F.concat(own, middle, new))
+
+
+def with_marks(df: DataFrame, text_col: str, to: str, k: int = K, window: int = WINDOW) -> DataFrame:
+    """df with the column `to`: the marks of the text, array<long>; `place` tells where a mark is, its upper bits are the hash."""
+    return df.withColumn(to, _bound(points(text_or_empty(text_col)), lambda p: marks_of(p, k, window)))
+
+
+def hashes(marks: Column) -> Column:
+    return F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, 31)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard index of two arrays of different hashes."""
+    return _bound(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) > 0, both / (F.size(a) + F.size(b) - both)).otherwise(1.0))
+
+
+def digest(marks: Column) -> Column:
+    return F.sha2(F.array_join(marks.cast("array<string>"), ","), 256)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
@@ -224,57 +161,27 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return there.select("doc_id", "text", F.inline(F.when(F.col("to").isNull(), F.array(place(False, chunk))).otherwise(F.array(place(False, chunk), place(True, F.col("to")))))).repartition("chunk")
 
 
-#: The columns of `edited_next`.
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long, marks array<struct<hash:long,at:long>>, edited_marks array<struct<hash:long,at:long>>"
-
-
-def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, with_marks: bool = True) -> DataFrame:
+def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_marks, marks, edited_marks).
 
-    The edited text is the text with its last half replaced by as much of the next document's text. Without
-    with_marks the last two columns are null.
+    The edited text is the text with its last half replaced by as much of the next document's text.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        winnow = Winnower(k, window)
-        mark = pa.struct([("hash", pa.int64()), ("at", pa.int64())])
-
-        def told(own: list[tuple]) -> pa.RecordBatch:
-            """own: (doc_id, text, text of the next document), each the next of the one before."""
-            edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in own]
-            texts = [points(t) for t in edited] + [points(t) for _, t, _ in own] + [points(n) for _, _, n in own[-1:]]
-            marks = winnow(texts)
-            new, old, last = marks[: len(own)], marks[len(own) : 2 * len(own)], marks[2 * len(own) :]
-            kinds = [np.unique(h) for h, _ in old] + [np.unique(h) for h, _ in last]
-            cols = [
-                pa.array([r[0] for r in own], pa.int64()), pa.array([len(r[1]) for r in own], pa.int64()), pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
-                pa.array(map(digest, old), pa.string()), pa.array(map(digest, new), pa.string()),
-                pa.array([likeness(a, np.unique(h)) for a, (h, _) in zip(kinds, new, strict=False)], pa.float64()), pa.array(map(likeness, kinds, kinds[1:]), pa.float64()), pa.array([len(at) for _, at in old], pa.int64()),
-            ]
-            for group in (old, new):
-                ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in group])]).astype(np.int32)
-                flat = [np.concatenate([m[j] for m in group]) if group else np.zeros(0, np.int64) for j in (0, 1)]
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in flat], ["hash", "at"])) if with_marks else pa.nulls(len(own), pa.list_(mark)))
-            return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
-
-        held: tuple | None = None
-        for b in batches:
-            rows, size = [], 0
-            for i, text, guest in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("guest").to_pylist(), strict=True):
-                text = text.as_py()
-                if held is not None and not held[2]:
-                    rows.append((held[0], held[1], text))
-                    size += len(held[1])
-                # A guest ends a range: what comes next doesn't follow it.
-                if rows and (guest or size >= _PIECE):
-                    yield told(rows)
-                    rows, size = [], 0
-                held = (i, text, guest)
-            if rows:
-                yield told(rows)
-
-    dealt = with_next(docs, id_col, text_col).sortWithinPartitions("chunk", "guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return dealt.select("doc_id", "text", "guest").mapInArrow(run, SCHEMA)
+    dealt = with_marks(with_next(docs, id_col, text_col), "text", "marks", k, window)
+    order = Window.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    # A guest ends a range: it is there for the one before it only.
+    rows = dealt.withColumns({"after": F.lead("text").over(order), "after_marks": F.lead("marks").over(order)}).where("NOT guest")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    rows = rows.withColumns({"n_chars": n, "kept": F.left("text", n - half), "new": F.left("after", half)})
+    a, b = (_count(points(F.col(c))) for c in ("kept", "new"))
+    edited = _joined(points(F.col("kept")), F.col("marks"), a, points(F.col("new")), F.col("after_marks"), b, k, window)
+    out = rows.withColumns({"edited_sha256": F.sha2(F.concat("kept", "new").cast("binary"), 256), "edited_marks": edited})
+    # Computed once, before several columns are drawn from them.
+    told = _bound(F.struct("marks", "edited_marks", "after_marks"), lambda m: _bound(hashes(m["marks"]), lambda h: F.struct(
+        digest(m["marks"]).alias("fingerprint"), digest(m["edited_marks"]).alias("edited_fingerprint"), likeness(h, hashes(m["edited_marks"])).alias("near_edited"), likeness(h, hashes(m["after_marks"])).alias("near_next"),
+        F.size(m["marks"]).cast("long").alias("n_marks"), m["marks"].alias("marks"), m["edited_marks"].alias("edited_marks"),
+    )))
+    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", F.inline(F.array(told)))
 
 
 def report(found: DataFrame) -> DataFrame:
