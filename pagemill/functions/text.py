@@ -60,25 +60,15 @@ def strip_subset_tag(name: Column) -> Column:
     return F.regexp_replace(name, r"^[A-Z]{6}\+", "")
 
 
-def describe_font(base: Column, bold: Column | bool = False, italic: Column | bool = False, css: Column | None = None) -> Column:
-    """Family, weight and slant that a font's name, its flags and its style's family tell."""
-    shown = strip_subset_tag(F.coalesce(base, F.lit("")))
-    is_ = lambda p: shown.rlike("(?i)" + p)
-    set_ = lambda c: F.coalesce(F.lit(c) if isinstance(c, bool) else c, F.lit(False))
-    css = F.lit("") if css is None else F.coalesce(css, F.lit(""))
-    family = F.when(is_(MONO) | (css == "monospace"), "mono").when((~is_("sans") & is_(SERIF)) | (css == "serif"), "serif").otherwise("sans")
-    return F.struct(F.coalesce(base, F.lit("")).alias("base_font"), F.when(shown == "", "—").otherwise(shown).alias("display_name"), family.alias("family"), (set_(bold) | is_(BOLD)).alias("bold"), (set_(italic) | is_(ITALIC)).alias("italic"))
-
-
 @F.pandas_udf(StringType())
 def repaired_name(name: pd.Series) -> pd.Series:
-    """Font names whose EUC-KR bytes were read as Latin-1, read as what they are; others, and those without Hangul in them, stay."""
+    """Font names whose Korean bytes (with the extended syllables) were read as Latin-1, read as what they are; others, and those without Hangul in them, stay."""
 
     def one(n: str | None) -> str | None:
         if n is None or n.isascii() or any(c > "\xff" for c in n):
             return n
         try:
-            said = n.encode("latin-1").decode("euc-kr")
+            said = n.encode("latin-1").decode("cp949")
         except UnicodeDecodeError:
             return n
         return said if any("가" <= c <= "힣" for c in said) else n
@@ -86,6 +76,16 @@ def repaired_name(name: pd.Series) -> pd.Series:
     return name.map(one)
 
 
+def describe_font(base: Column, bold: Column | bool = False, italic: Column | bool = False, css: Column | None = None) -> Column:
+    """Family, weight and slant that a font's name, once it is repaired, its flags and its style's family tell."""
+    shown = repaired_name(strip_subset_tag(F.coalesce(base, F.lit(""))))
+    is_ = lambda p: shown.rlike("(?i)" + p)
+    set_ = lambda c: F.coalesce(F.lit(c) if isinstance(c, bool) else c, F.lit(False))
+    css = F.lit("") if css is None else F.coalesce(css, F.lit(""))
+    family = F.when(is_(MONO) | (css == "monospace"), "mono").when((~is_("sans") & is_(SERIF)) | (css == "serif"), "serif").otherwise("sans")
+    return F.struct(F.coalesce(base, F.lit("")).alias("base_font"), F.when(shown == "", "—").otherwise(shown).alias("display_name"), family.alias("family"), (set_(bold) | is_(BOLD)).alias("bold"), (set_(italic) | is_(ITALIC)).alias("italic"))
+
+
 def run_size(t: Column) -> Column:
     """The size of a text item from its transform: its height, or its width where that is 0."""
     return F.coalesce(F.nullif(F.abs(t[3]), F.lit(0.0)), F.abs(t[0]))

@@ -82,7 +82,7 @@ def swapped(order: Column, at: Column, by: int) -> Column:
     return F.when(inside, F.transform(order, lambda v, i: F.when(i == at, F.get(order, to)).when(i == to, F.get(order, at)).otherwise(v))).otherwise(order)
 
 
-def grouped(rows: DataFrame, category: str, value: str, order: list[str]) -> DataFrame:
-    """Rows (category, values, place): values by category in the order they come (by `value`), categories in a fixed order, unknown ones left out."""
+def grouped(rows: DataFrame, category: str, value: str, order: list[str], *within: str) -> DataFrame:
+    """Rows (within, category, values, place): values by category, of each group named by `within`, in the order they come (by `value`), categories in a fixed order, unknown ones left out."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(category))
-    return rows.where(place > 0).groupBy(category).agg(F.sort_array(F.collect_list(value)).alias("values")).select(F.col(category).alias("category"), "values", place.alias("place"))
+    return rows.where(place > 0).groupBy(*within, category).agg(F.sort_array(F.collect_list(value)).alias("values")).select(*within, F.col(category).alias("category"), "values", place.alias("place"))

@@ -101,11 +101,21 @@ def line_gaps(spark: SparkSession, d: str) -> DataFrame:
     return O.line_gap(b).withColumn("gap", F.floor(F.col("gap") * 1e6 + 0.5) / 1e6)
 
 
-@query("SELECT doc_id, doc_id % 7 > 0 AND doc_id % 5 <> 1 AND doc_id % 3 = 0 AND doc_id % 2 = 0 AS change_only, octet_length(encode(text)) AS bytes, lang <> 'en' AS unsaved FROM documents")
+@query("SELECT doc_id, doc_id % 23 IN (0, 21, 22) AS change_only, octet_length(encode(text)) AS bytes, lang <> 'en' AS unsaved FROM documents")
 def edit_eligible(spark: SparkSession, d: str) -> DataFrame:
-    """Change-only edits, bytes of a data URL, and whether metadata differ from what was saved."""
-    i = F.col("doc_id")
-    ok = O.change_only(F.when(i % 7 > 0, "original").otherwise("sans"), F.lit("left"), (F.lit(12.0), F.when(i % 5 == 1, 12.5).otherwise(12.005)), (F.lit(1.0), F.lit(1.0)), (F.lit(True), i % 3 == 0), F.lit(1), i % 2 > 0)
+    """Change-only edits, bytes of a data URL, and whether metadata differ from what was saved. Of 23 edits three keep all, each other one breaks one condition."""
+    k = F.col("doc_id") % 23
+    but = lambda n, usual, other: F.when(k == n, other).otherwise(usual)
+    edit = F.struct(
+        but(1, "original", "sans").alias("font"), but(2, "left", "center").alias("align"), but(3, but(21, 12.0, 12.009), 12.02).alias("size"), but(4, but(22, "#a0b1c2", "#A0B1C2"), "#a0b1c3").alias("color"),
+        but(5, F.lit(True), F.lit(False)).alias("bold"), but(6, F.lit(False), F.lit(True)).alias("italic"), but(7, 1.0, 1.02).alias("h_scale"), but(8, 72.0, 72.1).alias("x"), but(9, 700.0, 690.0).alias("y"), but(10, 100.0, 101.0).alias("width"),
+        but(11, "a line", "two\nlines").alias("text"), (k == 12).alias("wrap"), but(13, 0.0, 90.0).alias("rotation"), (k == 14).alias("hidden"),
+    )
+    line = F.struct(
+        but(15, "layer", "ocr").alias("origin"), (k == 16).alias("covered"), but(17, 1, 2).alias("lines"), F.when(k != 18, 72.0).alias("x"), F.lit(700.0).alias("y"), F.lit(100.0).alias("width"), F.lit(12.0).alias("size"), F.lit("#A0b1c2").alias("color"),
+        F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit(1.0).alias("h_scale"), but(19, 0, 90).alias("rotation"),
+    )
+    ok = O.change_only(edit, F.when(k != 20, line))
     url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))
     size = F.octet_length(F.unbase64(F.substring_index(url, ",", -1))).cast("long")
     saved = F.struct(F.lit("en").alias("lang"), F.col("source").alias("source"))

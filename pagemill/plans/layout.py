@@ -75,14 +75,14 @@ def blank_sheets(spark: SparkSession, d: str) -> DataFrame:
     return cells.where("value = '(empty page)'").select("doc_id", "page_number")
 
 
-@query(f"""WITH {LINES}, body AS (SELECT doc_id, page_number, yk, {KIND} AS kind, trim(text) AS text FROM lines JOIN medians USING (doc_id, page_number) WHERE trim(text) <> ''),
-parts AS (SELECT doc_id, 0 AS page_number, 0 AS place, 0 AS down, 'title' AS kind, 'doc' || doc_id AS text FROM body GROUP BY doc_id
-  UNION ALL SELECT doc_id, page_number, 1, 0, 'break', '' FROM body WHERE page_number > 1 GROUP BY doc_id, page_number
-  UNION ALL SELECT doc_id, page_number, 2, 0, 'page', 'Page ' || page_number FROM body GROUP BY doc_id, page_number
+@query(f"""WITH {LINES}, {V.SHEETS}, body AS (SELECT doc_id, page_number, yk, {KIND} AS kind, trim(text) AS text FROM lines JOIN medians USING (doc_id, page_number) WHERE trim(text) <> ''),
+parts AS (SELECT doc_id, 0 AS page_number, 0 AS place, 0 AS down, 'title' AS kind, 'doc' || doc_id AS text FROM all_pages GROUP BY doc_id
+  UNION ALL SELECT doc_id, page_number, 1, 0, 'break', '' FROM all_pages WHERE page_number > 1
+  UNION ALL SELECT doc_id, page_number, 2, 0, 'page', 'Page ' || page_number FROM all_pages
   UNION ALL SELECT doc_id, page_number, 3, -yk, kind, text FROM body)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, place, down) AS seq, kind, text FROM parts""")
 def docx_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.docx_paragraphs(L.page_lines(V.items(spark, d)))
+    return sinks.docx_paragraphs(L.page_lines(V.items(spark, d)), V.pages_of(V.read(spark, d, "documents")))
 
 
 @query(f"WITH {V.SHEETS} SELECT doc_id, count(*) AS pages FROM all_pages GROUP BY doc_id")
@@ -91,8 +91,13 @@ def page_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 GRID = LINES + """,
-ys AS (SELECT doc_id, page_number, y, lag(y) OVER (PARTITION BY doc_id, page_number ORDER BY y DESC) AS above, greatest(2, median * 0.5) AS tol FROM (SELECT DISTINCT doc_id, page_number, y FROM text_items) JOIN medians USING (doc_id, page_number)),
-table_rows AS (SELECT doc_id, page_number, y AS anchor, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y DESC) - 1 AS row FROM ys WHERE above IS NULL OR above - y > tol),
+drifting AS (SELECT * REPLACE (y - 3.5 * (item_idx % 5) AS y) FROM text_items),
+ys AS (SELECT DISTINCT doc_id, page_number, y FROM drifting),
+table_rows AS (
+  SELECT doc_id, page_number, max(y) AS anchor, greatest(2, any_value(median) * 0.5) AS tol, 0 AS row FROM ys JOIN medians USING (doc_id, page_number) GROUP BY doc_id, page_number
+  UNION ALL
+  SELECT r.doc_id, r.page_number, (SELECT max(y) FROM ys WHERE ys.doc_id = r.doc_id AND ys.page_number = r.page_number AND ys.y < r.anchor - r.tol) AS anchor, r.tol, r.row + 1
+  FROM table_rows r WHERE EXISTS (SELECT 1 FROM ys WHERE ys.doc_id = r.doc_id AND ys.page_number = r.page_number AND ys.y < r.anchor - r.tol)),
 xs AS (SELECT DISTINCT doc_id, page_number, x FROM text_items),
 table_cols AS (
   SELECT doc_id, page_number, min(x) AS anchor, greatest(8, any_value(median) * 1.5) AS tol, 0 AS col FROM xs JOIN medians USING (doc_id, page_number) GROUP BY doc_id, page_number
@@ -101,9 +106,14 @@ table_cols AS (
   FROM table_cols c WHERE EXISTS (SELECT 1 FROM xs WHERE xs.doc_id = c.doc_id AND xs.page_number = c.page_number AND xs.x > c.anchor + c.tol))"""
 
 
-@query(f"WITH RECURSIVE {GRID} SELECT doc_id, page_number, row, anchor FROM table_rows")
+def _drifting(spark: SparkSession, d: str) -> DataFrame:
+    """Words whose heights drift within a row and on to the next, so that a row's anchor is told from the row above."""
+    return V.items(spark, d).withColumn("y", F.col("y") - 3.5 * (F.col("item_idx") % 5))
+
+
+@query(f"WITH RECURSIVE {GRID} SELECT doc_id, page_number, CAST(row AS BIGINT) AS row, anchor FROM table_rows")
 def excel_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = L.table_rows(V.items(spark, d)).select("doc_id", "page_number", F.posexplode("rows").alias("row", "anchor"))
+    rows = L.table_rows(_drifting(spark, d)).select("doc_id", "page_number", F.posexplode("rows").alias("row", "anchor"))
     return rows.withColumn("row", F.col("row").cast("long"))
 
 
@@ -114,25 +124,28 @@ def excel_cols(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {GRID},
-in_row AS (SELECT i.doc_id, i.page_number, i.item_idx, i.str, i.x, max(r.row) AS row FROM text_items i JOIN table_rows r ON i.doc_id = r.doc_id AND i.page_number = r.page_number AND r.anchor >= i.y GROUP BY ALL),
+in_row AS (SELECT i.doc_id, i.page_number, i.item_idx, i.str, i.x, CAST(max(r.row) AS BIGINT) AS row FROM drifting i JOIN table_rows r ON i.doc_id = r.doc_id AND i.page_number = r.page_number AND r.anchor >= i.y GROUP BY ALL),
 in_col AS (SELECT i.doc_id, i.page_number, i.x, arg_min(c.col, abs(i.x - c.anchor) * 1000 + c.col / 1000.0) AS col FROM xs i JOIN table_cols c ON i.doc_id = c.doc_id AND i.page_number = c.page_number GROUP BY ALL)
 SELECT doc_id, page_number, row, CAST(col AS BIGINT) AS col, trim(string_agg(str, ' ' ORDER BY x, item_idx)) AS value FROM in_row JOIN in_col USING (doc_id, page_number, x) GROUP BY ALL""")
 def excel_grid(spark: SparkSession, d: str) -> DataFrame:
-    return L.table_cells(V.items(spark, d))
+    return L.table_cells(_drifting(spark, d))
 
 
-@query(f"""WITH {V.ITEMS}, sheets AS (SELECT doc_id, page_number, left('Page ' || page_number, 31) AS sheet FROM text_items GROUP BY doc_id, page_number
-  UNION ALL SELECT doc_id, 1000000000, '_About' FROM text_items GROUP BY doc_id)
+@query(f"""WITH {V.SHEETS}, sheets AS (SELECT doc_id, page_number, left('Page ' || page_number, 31) AS sheet FROM all_pages
+  UNION ALL SELECT DISTINCT doc_id, 1000000000, '_About' FROM all_pages)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS ordinal, sheet FROM sheets""")
 def workbook_sheets(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.workbook_sheets(V.items(spark, d).select("doc_id", "page_number").distinct())
+    return sinks.workbook_sheets(V.pages_of(V.read(spark, d, "documents")))
 
 
-@query(f"""WITH {V.BOXES}, sizes AS (SELECT doc_id, page_number, max(x + w) AS w, max(y) AS h FROM line_boxes GROUP BY doc_id, page_number)
+@query(f"""WITH {V.BOXES}, {V.SHEETS}, own AS (SELECT doc_id, page_number, max(x + w) AS w, max(y) AS h FROM line_boxes GROUP BY doc_id, page_number),
+sizes AS (SELECT doc_id, page_number, coalesce(w, 612) AS w, coalesce(h, 792) AS h FROM all_pages LEFT JOIN own USING (doc_id, page_number))
 SELECT doc_id, page_number, CAST(10 AS DOUBLE) AS slide_w, 10 / (first_value(w) OVER p / first_value(h) OVER p) AS slide_h FROM sizes WINDOW p AS (PARTITION BY doc_id ORDER BY page_number)""")
 def slide_catalog(spark: SparkSession, d: str) -> DataFrame:
-    sizes = V.boxes_of(V.items(spark, d)).groupBy("doc_id", "page_number").agg(F.max(F.col("x") + F.col("w")).alias("w"), F.max("y").alias("h"))
-    return sinks.slides(sizes)
+    """A slide for each page; blank ones are of letter size."""
+    own = V.boxes_of(V.items(spark, d)).groupBy("doc_id", "page_number").agg(F.max(F.col("x") + F.col("w")).alias("w"), F.max("y").alias("h"))
+    every = V.pages_of(V.read(spark, d, "documents")).join(own, ["doc_id", "page_number"], "left")
+    return sinks.slides(every.select("doc_id", "page_number", F.coalesce("w", F.lit(612.0)).alias("w"), F.coalesce("h", F.lit(792.0)).alias("h")))
 
 
 @query(f"""WITH {V.ITEMS} SELECT doc_id, page_number, item_idx, x + 0.5 * y AS along_2, y AS across, CASE WHEN font_size > 0 THEN font_size END AS size, CAST(0 AS DOUBLE) AS angle, CAST(1 AS DOUBLE) AS hs FROM text_items""")

@@ -10,21 +10,21 @@ from ..operators import pages as P
 from ..registry import query
 from ..sources import views as V
 
-TOTALS = V.ITEMS + """,
-files AS (SELECT doc_id, max(page_number) AS total, 'doc' || doc_id AS name FROM text_items GROUP BY doc_id)"""
-PAGES = V.ITEMS + """,
-pages_ AS (SELECT doc_id, page_number, count(*) AS n FROM text_items GROUP BY doc_id, page_number)"""
+TOTALS = V.SHEETS + """,
+files AS (SELECT doc_id, max(page_number) AS total, 'doc' || doc_id AS name FROM all_pages GROUP BY doc_id)"""
+PAGES = V.SHEETS + """,
+pages_ AS (SELECT doc_id, page_number FROM all_pages)"""
 SELECTIONS = ("", ",", "5", "1-3, 5", "9-7", "0", "3-99", "a", "1 - 2", "2,1,2", "1-2-3", " 1 , 2 ")
 SAID = ", ".join(f"({k}, '{s}')" for k, s in enumerate(SELECTIONS))
 RANGES = ("1-3; 5", "1;2;1", "1-2;x", ";", "2-1; 1")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return V.items(spark, d).groupBy("doc_id").agg(F.max("page_number").alias("total")).withColumn("name", F.concat(F.lit("doc"), "doc_id"))
+    return V.files_of(V.read(spark, d, "documents")).withColumn("name", F.concat(F.lit("doc"), "doc_id"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return V.items(spark, d).groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n"))
+    return V.pages_of(V.read(spark, d, "documents"))
 
 
 def _range_sql(files: str) -> str:
@@ -74,18 +74,17 @@ def rotate_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {PAGES}, orders AS (SELECT doc_id, list_concat(list_reverse(range(1, total + 1)), [1]) AS o FROM (SELECT doc_id, max(page_number) AS total FROM pages_ GROUP BY doc_id)),
 wanted AS (SELECT doc_id, unnest(o) AS page_number, generate_subscripts(o, 1) AS new_page FROM orders)
-SELECT doc_id, page_number, CAST(new_page AS BIGINT) AS new_page, n FROM wanted JOIN pages_ USING (doc_id, page_number)""")
+SELECT doc_id, page_number, CAST(new_page AS BIGINT) AS new_page FROM wanted JOIN pages_ USING (doc_id, page_number)""")
 def reorder_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d)
-    orders = pages.groupBy("doc_id").agg(F.max("page_number").alias("total")).select("doc_id", F.concat(F.reverse(F.sequence(F.lit(1).cast("long"), "total")), F.array(F.lit(1).cast("long"))).alias("new_order"))
-    return P.reorder(pages, orders).select("doc_id", "page_number", "new_page", "n")
+    orders = _files(spark, d).select("doc_id", F.concat(F.reverse(F.sequence(F.lit(1).cast("long"), "total")), F.array(F.lit(1).cast("long"))).alias("new_order"))
+    return P.reorder(pages, orders).select("doc_id", "page_number", "new_page")
 
 
 @query(f"""WITH {PAGES}, t AS (SELECT *, max(page_number) OVER (PARTITION BY doc_id) AS total FROM pages_)
 SELECT doc_id, page_number, replace(replace(replace(replace('{{name}}-{{n}}_{{N}}of{{total}}', '{{name}}', 'doc' || doc_id), '{{n}}', lpad('' || page_number, CAST(greatest(length('' || total), length('' || page_number)) AS INT), '0')), '{{N}}', '' || page_number), '{{total}}', '' || total) || '.png' AS filename FROM t""")
 def build_filename(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
-    both = pages.join(pages.groupBy("doc_id").agg(F.max("page_number").alias("total")), "doc_id")
+    both = _files(spark, d).select("doc_id", "total", F.explode(F.sequence(F.lit(1).cast("long"), "total")).alias("page_number"))
     return both.select("doc_id", "page_number", text.build_filename(F.lit("{name}-{n}_{N}of{total}"), F.concat(F.lit("doc"), "doc_id"), F.col("page_number"), F.col("total"), "png").alias("filename"))
 
 

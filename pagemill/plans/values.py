@@ -23,27 +23,32 @@ def font_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _misread(name: str) -> str:
-    return name.encode("euc-kr").decode("latin-1")
+    return name.encode("cp949").decode("latin-1")
 
 
-NAMES = ("바탕체", "굴림", "Arial", "맑은 고딕Bold")
+NAMES = ("바탕체", "굴림", "Arial", "맑은 고딕Bold", "똠방각하")
 #: Names as they come, and as they should be.
 READ = [(_misread(n), n) for n in NAMES] + [("caf\xe9", "caf\xe9"), ("\xc7\xd1한", "\xc7\xd1한"), ("\xa1\xa1", "\xa1\xa1"), ("", "")]
 
 
-@query("SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(READ)) + " END AS name FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(READ)) + " END AS name FROM part")
 def font_name_repair(spark: SparkSession, d: str) -> DataFrame:
-    said = F.get(F.array(*(F.lit(a) for a, _ in READ)), (F.col("p_partkey") % 8).cast("int"))
+    said = F.get(F.array(*(F.lit(a) for a, _ in READ)), (F.col("p_partkey") % 9).cast("int"))
     return V.read(spark, d, "part").select("p_partkey", text.repaired_name(said).alias("name"))
 
 
-@query("""SELECT p_partkey, p_partkey % 3 = 0 OR p_partkey % 4 = 1 AS bold, p_partkey % 5 = 0 AS italic, CASE WHEN p_partkey % 4 = 2 OR p_partkey % 7 = 1 THEN 'mono' WHEN p_partkey % 4 = 3 OR p_partkey % 7 = 2 THEN 'serif' ELSE 'sans' END AS family FROM part""")
+FONTS = ("Plain", "Plain-Bold", "Courier", "Georgia", _misread("바탕체"), "ABCDEF+" + _misread("똠방Bold"))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_partkey % 6 AS k, ['Plain', 'Plain-Bold', 'Courier', 'Georgia', '바탕체', '똠방Bold'][p_partkey % 6 + 1] AS shown FROM part)
+SELECT p_partkey, shown, p_partkey % 3 = 0 OR k IN (1, 5) AS bold, p_partkey % 5 = 0 AS italic, CASE WHEN k = 2 OR p_partkey % 7 = 1 THEN 'mono' WHEN k IN (3, 4) OR p_partkey % 7 = 2 THEN 'serif' ELSE 'sans' END AS family FROM f""")
 def font_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Fonts whose flags or style say more than their names."""
+    """Fonts whose flags or style say more than their names, and whose names tell something once they are read right."""
     k = F.col("p_partkey")
-    name = F.get(F.array(*map(F.lit, ("Plain", "Plain-Bold", "Courier", "Georgia"))), (k % 4).cast("int"))
+    name = F.get(F.array(*map(F.lit, FONTS)), (k % 6).cast("int"))
     font = text.describe_font(name, F.when(k % 3 == 0, True), k % 5 == 0, F.when(k % 7 == 1, "monospace").when(k % 7 == 2, "serif"))
-    return V.read(spark, d, "part").select("p_partkey", font["bold"].alias("bold"), font["italic"].alias("italic"), font["family"].alias("family"))
+    told = V.read(spark, d, "part").select("p_partkey", font.alias("f"))
+    return told.select("p_partkey", F.col("f.display_name").alias("shown"), "f.bold", "f.italic", "f.family")
 
 
 @query(f"""WITH {V.ITEMS}, t AS (SELECT doc_id, page_number, CASE WHEN item_idx % (1 + doc_id % 4) = 0 THEN translate(str, 'aeiou', '가나다라마') ELSE str END AS str FROM text_items),
@@ -118,12 +123,13 @@ def ocr_languages(spark: SparkSession, d: str) -> DataFrame:
 CATEGORIES = ("organize", "convert", "extract", "secure", "ocr")
 
 
-@query("""WITH t AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'ocr' WHEN 1 THEN 'secure' WHEN 2 THEN 'organize' WHEN 3 THEN 'convert' WHEN 4 THEN 'extract' ELSE 'none' END AS category FROM part)
-SELECT category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members, CAST(CASE category WHEN 'organize' THEN 1 WHEN 'convert' THEN 2 WHEN 'extract' THEN 3 WHEN 'secure' THEN 4 ELSE 5 END AS BIGINT) AS place FROM t WHERE category <> 'none' GROUP BY category""")
+@query("""WITH t AS (SELECT p_partkey, p_partkey // 100 AS shelf, CASE p_size % 6 WHEN 0 THEN 'ocr' WHEN 1 THEN 'secure' WHEN 2 THEN 'organize' WHEN 3 THEN 'convert' WHEN 4 THEN 'extract' ELSE 'none' END AS category FROM part)
+SELECT shelf, category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members, CAST(CASE category WHEN 'organize' THEN 1 WHEN 'convert' THEN 2 WHEN 'extract' THEN 3 WHEN 'secure' THEN 4 ELSE 5 END AS BIGINT) AS place FROM t WHERE category <> 'none' GROUP BY ALL""")
 def tool_groups(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.get(F.array(*map(F.lit, ("ocr", "secure", "organize", "convert", "extract", "none"))), (F.col("p_size") % 6).cast("int"))
-    own = P.grouped(V.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), kind.alias("kind")), "kind", "k", list(CATEGORIES))
-    return own.select("category", F.array_join("values", ",").alias("members"), "place")
+    """Tools of each shelf of a hundred by category."""
+    kind, k = F.get(F.array(*map(F.lit, ("ocr", "secure", "organize", "convert", "extract", "none"))), (F.col("p_size") % 6).cast("int")), F.col("p_partkey").cast("long")
+    own = P.grouped(V.read(spark, d, "part").select(k.alias("k"), F.floor(k / 100).alias("shelf"), kind.alias("kind")), "kind", "k", list(CATEGORIES), "shelf")
+    return own.select("shelf", "category", F.array_join("values", ",").alias("members"), "place")
 
 
 @query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 > 0 THEN ' a, b ,' || lang ELSE '' END AS keywords, make_timestamp(2020, 1, 1, CAST(doc_id % 24 AS BIGINT), 30, 5.25) AS created FROM documents)

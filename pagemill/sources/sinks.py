@@ -41,22 +41,22 @@ def sheet_cells(cells: DataFrame, every_page: DataFrame) -> DataFrame:
     return cells.unionByName(blank.select("doc_id", "page_number", zero.alias("row"), zero.alias("col"), F.lit("(empty page)").alias("value")))
 
 
-def docx_paragraphs(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, seq, kind, text) of a Word document: title, then for each page a break (but the first), its number, and its lines."""
+def docx_paragraphs(lines: DataFrame, every_page: DataFrame) -> DataFrame:
+    """Rows (doc_id, seq, kind, text) of a Word document: title, then for each page, blank ones too, a break (but the first), its number, and its lines."""
     body = lines.withColumn("text", F.trim("text")).where("text != ''").select("doc_id", "page_number", "yk", L.heading(F.col("size"), F.col("median")).alias("kind"), "text")
-    pages = body.select("doc_id", "page_number").distinct()
+    pages = every_page.select("doc_id", "page_number")
     row = lambda df, place, down, kind, text: df.select("doc_id", "page_number", F.lit(place).alias("place"), down.cast("long").alias("down"), kind.alias("kind"), text.alias("text"))
     none, zero = F.lit(""), F.lit(0)
-    titles = row(pages.select("doc_id").distinct().withColumn("page_number", F.lit(0).cast("long")), 0, zero, F.lit("title"), F.concat(F.lit("doc"), F.col("doc_id")))
+    titles = row(pages.where("page_number = 1").select("doc_id", F.lit(0).cast("long").alias("page_number")), 0, zero, F.lit("title"), F.concat(F.lit("doc"), F.col("doc_id")))
     parts = titles.union(row(pages.where("page_number > 1"), 1, zero, F.lit("break"), none)).union(row(pages, 2, zero, F.lit("page"), F.concat(F.lit("Page "), F.col("page_number")))).union(row(body, 3, -F.col("yk"), F.col("kind"), F.col("text")))
     order = Window.partitionBy("doc_id").orderBy("page_number", "place", "down")
     return parts.select("doc_id", F.row_number().over(order).cast("long").alias("seq"), "kind", "text")
 
 
 def workbook_sheets(pages: DataFrame) -> DataFrame:
-    """A sheet for each page, names cut at 31 characters, and `_About` last."""
+    """A sheet for each page, blank ones too, names cut at 31 characters, and `_About` last."""
     named = pages.select("doc_id", "page_number", F.left(F.concat(F.lit("Page "), F.col("page_number")), F.lit(31)).alias("sheet"))
-    about = pages.select("doc_id").distinct().select("doc_id", F.lit(1 << 62).alias("page_number"), F.lit("_About").alias("sheet"))
+    about = pages.where("page_number = 1").select("doc_id", F.lit(1 << 62).alias("page_number"), F.lit("_About").alias("sheet"))
     return named.union(about).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number")).cast("long").alias("ordinal"), "sheet")
 
 

@@ -54,10 +54,15 @@ text_items AS (
   FROM words0 WHERE str <> '')"""
 
 
-def pages_of(documents: DataFrame) -> DataFrame:
-    """All pages of files, blank ones too; every third file ends with one."""
+def files_of(documents: DataFrame) -> DataFrame:
+    """Files with how many pages they have, blank ones too; every third file ends with one."""
     n = F.ceil(F.size(F.split("text", "\n")) / LINES_A_PAGE) + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
-    return documents.where("text IS NOT NULL").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("page_number"))
+    return documents.where("text IS NOT NULL").select("doc_id", n.cast("long").alias("total"))
+
+
+def pages_of(documents: DataFrame) -> DataFrame:
+    """All pages of files, blank ones too, told from the number of lines inside each file's row."""
+    return files_of(documents).select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "total")).alias("page_number"))
 
 
 SHEETS = """
@@ -65,13 +70,13 @@ all_pages AS (SELECT doc_id, unnest(range(1, CAST(ceil(len(string_split(text, ch
 
 
 def objects_of(part: DataFrame) -> DataFrame:
-    """Stored objects of twenty files, from parts. Every file counts its objects from 1, so references repeat over files."""
-    key, at = F.col("p_partkey").cast("long"), F.floor(F.col("p_partkey") / 20)
-    k = at + F.pmod(key, F.lit(20))
+    """Stored objects of files of a hundred parts each. Every file counts its objects from 1, so references repeat over files."""
+    key, at = F.col("p_partkey").cast("long"), F.col("p_partkey").cast("long") % 100
+    k = at + F.floor(key / 100) % 20
     ref = lambda c: F.concat(c.cast("string"), F.lit(" 0 R"))
     by = lambda m, pairs: _case(F.pmod(k, F.lit(m)), pairs)
     return part.select(
-        F.pmod(key, F.lit(20)).alias("doc_id"), (at + 1).alias("obj_no"), ref(at + 1).alias("ref"),
+        F.floor(key / 100).alias("doc_id"), (at + 1).alias("obj_no"), ref(at + 1).alias("ref"),
         by(8, {0: "Image", 1: "Image", 2: "CIDFontType0C", 3: "XML", 6: "Form"}).alias("subtype"), by(8, {4: "Sig", 6: "XObject", 7: "Font"}).alias("type"),
         F.when(k % 24 == 0, ref(at + 2)).alias("smask_ref"), F.when(k % 24 == 9, ref(at + 3)).alias("mask_ref"), F.when(k % 8 == 4, ref(at + 2)).alias("contents_ref"),
         by(3, {0: "DCTDecode", 1: "FlateDecode", 2: "JPXDecode"}).alias("last_filter"), (F.col("p_size").cast("long") * 1000 + key % 997).alias("size_bytes"), (~(k % 8).isin(4, 7)).alias("is_stream"),
@@ -86,7 +91,7 @@ def _case(key: Column, pairs: dict[int, str]) -> Column:
 
 
 OBJECTS = """
-numbered AS (SELECT *, p_partkey % 20 AS f, p_partkey // 20 AS o, p_partkey // 20 + p_partkey % 20 AS k FROM part),
+numbered AS (SELECT *, p_partkey // 100 AS f, p_partkey % 100 AS o, p_partkey % 100 + p_partkey // 100 % 20 AS k FROM part),
 pdf_objects AS (
   SELECT f AS doc_id, CAST(o + 1 AS BIGINT) AS obj_no, (o + 1) || ' 0 R' AS ref,
     CASE k % 8 WHEN 0 THEN 'Image' WHEN 1 THEN 'Image' WHEN 2 THEN 'CIDFontType0C' WHEN 3 THEN 'XML' WHEN 6 THEN 'Form' END AS subtype,
