@@ -27,6 +27,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -188,15 +189,51 @@ def _seated(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount:
     return tables, weight
 
 
+@cache
+def _arrangements(discount: float, most: int) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: in row n and column t the weight of all seatings of n customers at t tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for n in range(most):
+        t = np.arange(1, n + 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[n + 1, 1 : n + 2] = np.logaddexp(out[n, : n + 1], np.where(n > discount * t, np.log(np.maximum(n - discount * t, 1e-300)), -np.inf) + out[n, 1 : n + 2])
+    return out
+
+
+def _counted_tables(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, *keys) -> np.ndarray:
+    """Numbers of tables drawn from their probabilities given everything else, by weighing each number there can be."""
+    most = int(customers.max())
+    with np.errstate(divide="ignore"):
+        opens = np.log(new[:, None] + grow[:, None] * np.arange(1, most)[None])
+    weight = _arrangements(discount, most)[customers, 1:]
+    weight[:, 1:] += np.cumsum(opens, 1)
+    chance = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+    return 1 + (chance < np.broadcast_to(uniform(1 << 39, *keys), len(customers))[:, None] * chance[:, -1:]).sum(1)
+
+
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys, grow: np.ndarray | float = 0.0, tries: int = 3) -> np.ndarray:
     """A Gibbs step for each dish: all its customers leave and are seated anew, given everything else.
 
     new: the weight of a first table of the dish (concentration and others' tables, times the parent's probability); grow:
-    by how much it rises with each table. Seating customers one after another draws arrangements by chances that are
-    each divided by their sum; the products of these sums decide, by Metropolis and Hastings, whether the next of
-    `tries` seatings takes the place of the one before, so that the arrangement's own probability is what is drawn from.
+    by how much it rises with each table. Up to 256 customers the number of tables is drawn at once, from the weights of all
+    arrangements with so many. Beyond, customers are seated one after another by chances that are each divided by
+    their sum; the products of these sums decide, by Metropolis and Hastings, whether the next of `tries` seatings takes the
+    place of the one before, so that here too the arrangement's own probability is what is drawn from.
     """
-    grow = np.broadcast_to(np.asarray(grow, np.float64), customers.shape)
+    grow, out = np.broadcast_to(np.asarray(grow, np.float64), customers.shape), np.zeros(len(customers), np.int64)
+    new, only = np.broadcast_to(np.asarray(new, np.float64), customers.shape), lambda at: [k[at] if isinstance(k, np.ndarray) else k for k in keys]
+    for low, high in ((0, 8), (8, 32), (32, 256)):
+        at = np.flatnonzero((customers > low) & (customers <= high))
+        if len(at):
+            out[at] = _counted_tables(customers[at], new[at], grow[at], discount, *only(at))
+    at = np.flatnonzero(customers > 256)
+    if len(at):
+        out[at] = _seated_apart(customers[at], new[at], grow[at], discount, tries, *only(at))
+    return out
+
+
+def _seated_apart(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, tries: int, *keys) -> np.ndarray:
     tables, weight = _seated(customers, new, grow, discount, 1 << 40, *keys)
     for k in range(1, tries):
         other, its = _seated(customers, new, grow, discount, (1 << 40) + k, *keys)

@@ -119,3 +119,13 @@ def test_every_preceding_word_has_a_restaurant(spark):
     seen = {r.w: {p.k: p.p for p in r.seen} for r in got}
     for i in range(200):
         assert seen[M._HASH(f"b{i}".encode())][at[M._HASH(f"a{i}".encode())]] > 0.5
+
+
+def test_both_ways_of_seating_agree():
+    """Drawing the number of tables at once, and customer by customer, from the same probabilities."""
+    n, d = 20_000, 0.5
+    for customers in (2, 7, 20):
+        c, new, grow = np.full(n, customers), np.full(n, 0.8), np.full(n, 0.05)
+        one, two = M.seat(c, new, d, np.arange(n), grow=grow), M._seated_apart(c, new, grow, d, 8, np.arange(n), 77)
+        assert one.min() >= 1 and one.max() <= customers and abs(one.mean() - two.mean()) < 0.03 * two.mean(), customers
+        assert abs(one.std() - two.std()) < 0.06 * two.std() + 0.01
