@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import pixels as X
+from ..operators import tiles as T
 from ..registry import query
 from ..sources import views as V
 
@@ -129,15 +130,15 @@ def region_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    """A picture of 120 by 90 for each document, with two dark bars as wide and high as its text and number tell; some touch."""
+    """A gray picture of 120 by 90 for each document, with two dark bars as wide and high as its text and number tell; some touch."""
     w, h = 120, 90
     n = F.char_length(F.coalesce("text", F.lit("")))
-    bar = lambda wide, left: F.concat(F.repeat(F.lit("ff" * 3), left), F.repeat(F.lit("20" * 3), wide), F.repeat(F.lit("ff" * 3), w - wide - left))
-    one, two = bar((n % 50 + 40).cast("int"), F.lit(0)), bar((F.pmod("doc_id", F.lit(30)) + 55).cast("int"), F.lit(24))
-    light = F.lit("ff" * 3 * w)
-    gap = F.pmod("doc_id", F.lit(2)).cast("int") * 12
-    data = F.concat(F.repeat(light, F.lit(12)), F.repeat(one, F.lit(24)), F.repeat(light, gap), F.repeat(two, F.lit(24)), F.repeat(light, h - 60 - gap))
-    return V.read(spark, d, "documents").select("doc_id", F.lit(w).alias("width"), F.lit(h).alias("height"), F.unhex(data).alias("data"))
+    of = lambda v, n: F.array_repeat(F.lit(v), n)
+    bar = lambda wide, left: F.flatten(F.array_repeat(F.concat(of(255, F.lit(left)), of(32, wide), of(255, w - left - wide)), 24))
+    one, two = bar((n % 50 + 40).cast("int"), 0), bar((F.pmod("doc_id", F.lit(30)) + 55).cast("int"), 24)
+    gap = F.pmod("doc_id", F.lit(2)).cast("int") * 12 * w
+    data = F.concat(of(255, F.lit(12 * w)), one, of(255, gap), two, of(255, (h - 60) * w - gap))
+    return V.read(spark, d, "documents").select("doc_id", F.lit(w).alias("width"), F.lit(h).alias("height"), data.alias("data"))
 
 
 @query("""WITH b AS (SELECT doc_id, length(coalesce(text, '')) % 50 + 40 AS one, doc_id % 30 + 55 AS two, doc_id % 2 = 0 AS touch FROM documents),
@@ -146,4 +147,29 @@ SELECT doc_id, CAST(0 AS BIGINT) AS "left", CAST(12 AS BIGINT) AS top, CAST(6 *
   WHERE CASE WHEN touch THEN (n1 + n2) * 4 > 0.55 * 8 * greatest(n1, 4 + n2) AND greatest(n1, 4 + n2) * 6 >= 60 AND 6 * greatest(n1, 4 + n2) * 48 < 0.5 * 10800 ELSE n1 * 6 >= 60 END
 UNION ALL SELECT doc_id, 24, 48, 6 * n2, 24 FROM c WHERE NOT touch AND n2 * 6 >= 60""")
 def dark_regions(spark: SparkSession, d: str) -> DataFrame:
-    return X.on_rasters(_images(spark, d), X.dark_regions, "left long, top long, width long, height long")
+    return T.dark_regions(T.tiled(_images(spark, d), 48))
+
+
+def _text_rasters(spark: SparkSession, d: str) -> DataFrame:
+    """A raster of each document: a pixel for each character of a line, three rows for each line, dark but for spaces and beyond its end."""
+    lines = F.split("text", "\n")
+    docs = V.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines"), F.array_max(F.transform(lines, F.char_length)).alias("width"))
+    row = lambda l: F.transform(F.split(F.rpad(l, F.col("width"), F.lit(" ")), ""), lambda c: F.when(c == " ", 255).otherwise(0))
+    data = F.flatten(F.flatten(F.transform("lines", lambda l: F.array_repeat(row(l), 3))))
+    return docs.where("width > 0").select("doc_id", "width", (3 * F.size("lines")).alias("height"), data.alias("data"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS y FROM documents),
+s AS (SELECT doc_id, max(length(line)) AS width, count(*) AS n FROM l GROUP BY doc_id), c AS (SELECT doc_id, y, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS x FROM l WHERE line <> ''),
+ink AS (SELECT doc_id, y, x FROM c WHERE c <> ' ')
+SELECT s.doc_id, 'x' AS axis, x AS at, 3 * count(ink.x) AS ink FROM (SELECT *, unnest(range(width)) AS x FROM s) s LEFT JOIN ink USING (doc_id, x) GROUP BY ALL
+UNION ALL SELECT s.doc_id, 'y', 3 * l.y + k, count(ink.x) FROM s JOIN l USING (doc_id) CROSS JOIN (VALUES (0), (1), (2)) v(k) LEFT JOIN ink ON ink.doc_id = s.doc_id AND ink.y = l.y WHERE width > 0 GROUP BY ALL""")
+def tiled_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Ink of each row and column of rasters, summed over tiles."""
+    return T.projection(T.tiled(_text_rasters(spark, d), 96)).select("doc_id", "axis", F.col("at").cast("long").alias("at"), "ink")
+
+
+@query()
+def text_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of text as dark regions of the documents' rasters, found in tiles and joined over their borders."""
+    return T.dark_regions(T.tiled(_text_rasters(spark, d), 96))
