@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.text import hangul_share, letters
 from .spatial import not_covered
 
@@ -64,6 +65,66 @@ def adopted(old: Column, new: Column) -> Column:
     return new >= old + 5
 
 
+def second_readings(runs: DataFrame, second: DataFrame) -> DataFrame:
+    """runs as `doubtful_runs` gives them; second: (*LINE, text, confidence, x0, x1), words of another reading. Rows (*LINE, first, last, again, again_confidence): what it has for each run that it makes surer.
+
+    A word belongs to the run that holds over half of its width.
+    """
+    w = second.where(F.trim("text") != "").select(*LINE, F.trim("text").alias("said"), F.col("confidence").alias("sure"), F.col("x0").alias("s0"), F.col("x1").alias("s1"))
+    inside = (F.least("x1", "s1") - F.greatest("x0", "s0")) * 2 > F.col("s1") - F.col("s0")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("s0", "s1", "said"))), lambda s: s["said"])
+    read = runs.join(w, list(LINE)).where(inside).groupBy(*LINE, "first", "words", "confidence").agg(F.array_join(texts, " ").alias("again"), F.avg("sure").alias("again_confidence"))
+    return read.where(adopted(F.col("confidence"), F.col("again_confidence"))).select(*LINE, "first", (F.col("first") + F.col("words") - 1).alias("last"), "again", "again_confidence")
+
+
+def reread(words: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows (*LINE, words, confidence, replaced): each line's words in order, (text, parts, x0, x1, h), with the runs that a second reading makes surer replaced by it.
+
+    `parts` are the words that stood in a word's place before; a line's confidence is the mean of its words', a replaced run counting once.
+    """
+    order = Window.partitionBy(*LINE).orderBy("x0", "item_idx")
+    full = words.where(F.trim("text") != "").select(*LINE, F.row_number().over(order).cast("long").alias("n"), F.trim("text").alias("text"), "confidence", "x0", "x1", (F.col("y1") - F.col("y0")).alias("h"))
+    new = second_readings(doubtful_runs(words), second)
+    w, r = full.alias("w"), new.alias("r")
+    both = w.join(r, [*(F.col(f"w.{k}") == F.col(f"r.{k}") for k in LINE), F.col("w.n").between(F.col("r.first"), F.col("r.last"))], "left").select("w.*", "first", "again", "again_confidence")
+    one = both.groupBy(*LINE, F.coalesce("first", "n").alias("n")).agg(
+        F.first("again").alias("again"), F.coalesce(F.first("again_confidence"), F.avg("confidence")).alias("confidence"), F.transform(F.sort_array(F.collect_list(F.struct(F.col("n").alias("k"), "text"))), lambda s: s["text"]).alias("parts"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("h").alias("h"),
+    )
+    said = F.struct("n", F.coalesce("again", F.get("parts", F.lit(0))).alias("text"), "parts", "x0", "x1", "h", F.col("again").isNotNull().alias("new"), "confidence")
+    lines = one.groupBy(*LINE).agg(F.sort_array(F.collect_list(said)).alias("words"), F.avg("confidence").alias("confidence"), F.count_if(F.col("again").isNotNull()).alias("replaced"))
+    return lines
+
+
+def respaced(line: Column, words: Column) -> Column:
+    """The text of a line's words, as `reread` gives them, spaced as the line's own text was where what stood there is found in it one after another, else by the gap between the words."""
+    heights = F.sort_array(F.transform(words, lambda w: w["h"]))
+    high = F.coalesce(F.nullif(F.get(heights, F.floor(F.size(words) / 2).cast("int")), F.lit(0.0)), F.lit(1.0))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(0).alias("end"), F.lit(None).cast("double").alias("x1"))
+
+    def found(w: Column, at: Column) -> Column:
+        """Where a word's first part begins and its last one ends, searched from `at` on; 0 where one isn't there."""
+        none = F.struct(at.alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+        def part(s: Column, p: Column) -> Column:
+            here = F.call_function("locate", p, line, s["at"])
+            end = here + F.char_length(p)
+            return F.struct(F.when(here > 0, end).otherwise(s["at"]).cast("int").alias("at"), F.when((s["first"] == 0) & (s["at"] == at), here).otherwise(s["first"]).cast("int").alias("first"), F.when(here > 0, end).otherwise(0).cast("int").alias("last"))
+
+        return F.aggregate(w["parts"], none, part)
+
+    def step(s: Column, w: Column) -> Column:
+        def told(f: Column) -> Column:
+            hit = (f["first"] > 0) & (f["last"] > 0)
+            between = F.substring(line, s["end"], F.greatest(f["first"] - s["end"], F.lit(0)))
+            apart = F.when(hit & (s["end"] > 0), between.rlike(r"\s")).otherwise(F.coalesce(w["x0"] - s["x1"] > 0.25 * high, F.lit(False)))
+            return F.struct(F.concat(s["out"], F.when(apart & s["x1"].isNotNull(), " ").otherwise(""), w["text"]).alias("out"), F.when(hit, f["last"]).otherwise(s["at"]).cast("int").alias("at"), F.when(hit, f["last"]).otherwise(0).cast("int").alias("end"), w["x1"].cast("double").alias("x1"))
+
+        return bound(found(w, s["at"]), told)
+
+    return F.aggregate(words, start, step, lambda s: s["out"])
+
+
 def weights(lines: DataFrame) -> DataFrame:
     """lines: (doc_id, page_number, ..., text, size, stroke). `bold`: clearly heavier than the page's text, or over its script's bar."""
     page = Window.partitionBy("doc_id", "page_number")
