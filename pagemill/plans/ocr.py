@@ -69,14 +69,16 @@ runs AS (SELECT doc_id, page_number, line_no, min(n) AS first, max(n) AS last, a
 second AS (SELECT doc_id, page_number, line_no, '+' || text AS text, CAST((doc_id * 13 + item_idx * 29) % 101 AS DOUBLE) AS confidence, x0 + item_idx % 5 * 3 AS x0, x1 + item_idx % 5 * 3 AS x1 FROM ocr_words WHERE item_idx % 7 <> 3),
 again AS (SELECT r.doc_id, r.page_number, r.line_no, r.first, r.last, string_agg(trim(s.text), ' ' ORDER BY s.x0, s.x1) AS again, avg(s.confidence) AS sure FROM runs r JOIN second s USING (doc_id, page_number, line_no) WHERE (least(r.x1, s.x1) - greatest(r.x0, s.x0)) * 2 > s.x1 - s.x0 GROUP BY r.doc_id, r.page_number, r.line_no, r.first, r.last, r.confidence HAVING avg(s.confidence) >= r.confidence + 5),
 merged AS (SELECT n.doc_id, n.page_number, n.line_no, coalesce(a.first, n.n) AS n, coalesce(any_value(a.again), any_value(trim(n.text))) AS text, coalesce(any_value(a.sure), avg(n.confidence)) AS confidence, bool_or(a.first IS NOT NULL) AS new FROM n LEFT JOIN again a ON a.doc_id = n.doc_id AND a.page_number = n.page_number AND a.line_no = n.line_no AND n.n BETWEEN a.first AND a.last GROUP BY n.doc_id, n.page_number, n.line_no, coalesce(a.first, n.n))
-SELECT doc_id, page_number, line_no, string_agg(text, '|' ORDER BY n) AS words, floor(avg(confidence) * 1e6 + 0.5) / 1e6 AS confidence, count(*) FILTER (WHERE new) AS replaced FROM merged GROUP BY ALL""")
+SELECT doc_id, page_number, line_no, string_agg(text, '|' ORDER BY n) AS words, CAST(sum(CAST(floor(confidence * 1e6 + 0.5) AS BIGINT)) // count(*) AS BIGINT) AS millionths, count(*) FILTER (WHERE new) AS replaced FROM merged GROUP BY ALL""")
 def reread_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines with their doubtful runs replaced by a second reading where that is surer; its words lie a little to the right, and some are missing."""
     words, i = _words(spark, d), F.col("item_idx")
     by = i % 5 * 3
     second = words.where(i % 7 != 3).withColumns({"text": F.concat(F.lit("+"), "text"), "confidence": ((F.col("doc_id") * 13 + i * 29) % 101).cast("double"), "x0": F.col("x0") + by, "x1": F.col("x1") + by})
-    lines = O.reread(words, second)
-    return lines.select("doc_id", "page_number", "line_no", F.array_join(F.transform("words", lambda w: w["text"]), "|").alias("words"), (F.floor(F.col("confidence") * 1e6 + 0.5) / 1e6).alias("confidence"), "replaced")
+    # Sums of whole millionths don't depend on the order of words.
+    each = F.transform("words", lambda w: F.floor(w["confidence"] * 1e6 + 0.5))
+    mean = F.call_function("div", F.aggregate(each, F.lit(0).cast("long"), lambda a, c: a + c), F.size("words").cast("long"))
+    return O.reread(words, second).select("doc_id", "page_number", "line_no", F.array_join(F.transform("words", lambda w: w["text"]), "|").alias("words"), mean.alias("millionths"), "replaced")
 
 
 @query(f"""WITH {V.ITEMS}, l AS (SELECT doc_id, page_number, line_no, string_agg(str, ' ' ORDER BY item_idx) AS text, max(font_size) AS size, CAST((doc_id * 5 + line_no * 3) % 16 AS DOUBLE) / 100 AS stroke FROM text_items GROUP BY doc_id, page_number, line_no),
