@@ -216,27 +216,43 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys, grow: n
     """A Gibbs step for each dish: all its customers leave and are seated anew, given everything else.
 
     new: the weight of a first table of the dish (concentration and others' tables, times the parent's probability); grow:
-    by how much it rises with each table. Up to 256 customers the number of tables is drawn at once, from the weights of all
+    by how much it rises with each table. Up to 1024 customers the number of tables is drawn at once, from the weights of all
     arrangements with so many. Beyond, customers are seated one after another by chances that are each divided by
     their sum; the products of these sums decide, by Metropolis and Hastings, whether the next of `tries` seatings takes the
     place of the one before, so that here too the arrangement's own probability is what is drawn from.
     """
     grow, out = np.broadcast_to(np.asarray(grow, np.float64), customers.shape), np.zeros(len(customers), np.int64)
     new, only = np.broadcast_to(np.asarray(new, np.float64), customers.shape), lambda at: [k[at] if isinstance(k, np.ndarray) else k for k in keys]
-    for low, high in ((0, 8), (8, 32), (32, 256)):
-        at = np.flatnonzero((customers > low) & (customers <= high))
-        if len(at):
-            out[at] = _counted_tables(customers[at], new[at], grow[at], discount, *only(at))
-    at = np.flatnonzero(customers > 256)
-    if len(at):
+    for low, high in ((0, 8), (8, 32), (32, 256), (256, _AT_ONCE)):
+        every = np.flatnonzero((customers > low) & (customers <= high))
+        for at in np.array_split(every, -(-len(every) * high // (1 << 20)) or 1):
+            if len(at):
+                out[at] = _counted_tables(customers[at], new[at], grow[at], discount, *only(at))
+    for at in np.flatnonzero(customers > _AT_ONCE)[:, None]:
         out[at] = _seated_apart(customers[at], new[at], grow[at], discount, tries, *only(at))
     return out
 
 
+_AT_ONCE, _ONE_BY_ONE = 1024, 1 << 22
+
+
+def _one_by_one(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, *keys) -> tuple[np.ndarray, np.ndarray]:
+    """What `_seated` draws, for one dish, customer by customer: it costs its customers rather than its tables."""
+    n, opens, more, t, at = int(customers[0]), float(new[0]), float(grow[0]), 1, []
+    for i, u in enumerate(uniform(np.arange(1, n), *keys).tolist(), 1):
+        at.append(t)
+        a = opens + more * t
+        if u * (i - discount * t + a) < a:
+            t += 1
+    seats = np.array(at, np.float64)
+    return np.array([t], np.float64), np.array([np.log(np.arange(1, n) - discount * seats + opens + more * seats).sum()])
+
+
 def _seated_apart(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, tries: int, *keys) -> np.ndarray:
-    tables, weight = _seated(customers, new, grow, discount, 1 << 40, *keys)
+    draw = _one_by_one if len(customers) == 1 and 1 < customers[0] <= _ONE_BY_ONE else _seated
+    tables, weight = draw(customers, new, grow, discount, 1 << 40, *keys)
     for k in range(1, tries):
-        other, its = _seated(customers, new, grow, discount, (1 << 40) + k, *keys)
+        other, its = draw(customers, new, grow, discount, (1 << 40) + k, *keys)
         with np.errstate(divide="ignore"):
             better = np.log(uniform((1 << 41) + k, *keys)) < its - weight
         tables, weight = np.where(better, other, tables), np.where(better, its, weight)

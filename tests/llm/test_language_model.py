@@ -129,3 +129,15 @@ def test_both_ways_of_seating_agree():
         one, two = M.seat(c, new, d, np.arange(n), grow=grow), M._seated_apart(c, new, grow, d, 8, np.arange(n), 77)
         assert one.min() >= 1 and one.max() <= customers and abs(one.mean() - two.mean()) < 0.03 * two.mean(), customers
         assert abs(one.std() - two.std()) < 0.06 * two.std() + 0.01
+
+
+def test_one_by_one_seats_as_by_openings():
+    d, n = 0.6, 400
+    one = [M._one_by_one(np.array([60]), np.array([0.7]), np.array([0.1]), d, k) for k in range(n)]
+    two = M._seated(np.full(n, 60), np.full(n, 0.7), np.full(n, 0.1), d, np.arange(n), 5)
+    assert abs(np.mean([t[0] for t, _ in one]) - two[0].mean()) < 1.0
+    # The weight is that of the same choices: tables that are never opened.
+    t, w = M._one_by_one(np.array([9]), np.array([0.0]), np.array([0.0]), d, 1)
+    assert t[0] == 1 and w[0] == pytest.approx(sum(math.log(i - d) for i in range(1, 9)))
+    many = M.seat(np.array([5000, 3, 2000]), np.full(3, 0.5), 0.8, np.arange(3), grow=np.full(3, 0.2))
+    assert 10 < many[0] < 5000 and 1 <= many[1] <= 3
