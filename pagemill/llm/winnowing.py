@@ -173,8 +173,9 @@ def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumns({"n_chars": n, "kept": F.left("text", n - half), "new": F.left("after", half)})
-    a, b = (_count(points(F.col(c))) for c in ("kept", "new"))
-    edited = _joined(points(F.col("kept")), F.col("marks"), a, points(F.col("new")), F.col("after_marks"), b, k, window)
+    # What lambdas refer to is computed before them, once for each row.
+    parts = _bound(F.struct(points(F.col("kept")).alias("one"), points(F.col("new")).alias("two")), lambda z: F.struct(z["one"].alias("one"), _count(z["one"]).alias("a"), z["two"].alias("two"), _count(z["two"]).alias("b")))
+    edited = _bound(parts, lambda z: _joined(z["one"], F.col("marks"), z["a"], z["two"], F.col("after_marks"), z["b"], k, window))
     out = rows.withColumns({"edited_sha256": F.sha2(F.concat("kept", "new").cast("binary"), 256), "edited_marks": edited})
     # Computed once, before several columns are drawn from them.
     told = _bound(F.struct("marks", "edited_marks", "after_marks"), lambda m: _bound(hashes(m["marks"]), lambda h: F.struct(
