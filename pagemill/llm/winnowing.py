@@ -5,7 +5,7 @@ of every `window` runs in a row the least hash is chosen, the rightmost of equal
 their position (the number of their first code point). Two texts that share `window + k - 1` code points
 in a row share a chosen hash, in any script, with spaces or without; runs shorter than `k` are never compared.
 
-A mark is one number: 32 bits of the run's hash above its place, which is counted from the end, so the
+A mark is one number: 33 bits of the run's hash above its place, which is counted from the end, so the
 least number of a window is the rightmost of its least hashes; runs whose hashes agree in these bits are
 equal ones. Minima over 4, 16, ... neighbours come each from four of the former. Texts are cut into pieces
 of bounded length that overlap by one window, so arrays don't grow with a text. Runs are hashed one by
@@ -36,8 +36,7 @@ from .common import text_or_empty
 K = 16
 WINDOW = 32
 _AT = (1 << 31) - 1
-_PIECE = 4096
-_FOLD, _TO = "\u03c2 \t\n\x0b\x0c\r", "\u03c3"
+_PIECE = 1024
 
 
 def _none() -> Column:
@@ -51,7 +50,10 @@ def _bound(x: Column, f) -> Column:
 
 def points(text: Column) -> Column:
     """Lower-case code points without white space, four bytes each."""
-    return F.encode(F.translate(F.lower(text), _FOLD, _TO), "UTF-32")
+    out = F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+    for blank in " \n\t\r\x0b\x0c":
+        out = F.replace(out, F.lit(blank), F.lit(""))
+    return F.encode(out, "UTF-32")
 
 
 def place(mark: Column) -> Column:
@@ -68,10 +70,9 @@ def _part(p: Column, start: Column | int, n: Column | int) -> Column:
 
 def _packed(p: Column, start: Column, k: int) -> Column:
     """A number for each run of a piece that begins at `start` of its text."""
-    first = _AT - start
-    runs = F.greatest(_count(p) - k, F.lit(0))
-    one = lambda v, i: F.shiftleft(F.xxhash64(F.substring(p, i * 4 + 1, F.lit(4 * k))).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(v.cast("long"))
-    return F.transform(F.sequence(first, first - runs, F.lit(-1)), one)
+    first, runs = (_AT - start).cast("long"), F.greatest(_count(p) - k, F.lit(0)).cast("long")
+    one = lambda v, i: F.xxhash64(F.substring(p, i * 4 + 1, F.lit(4 * k))).bitwiseAND(-1 << 31).bitwiseOR(v)
+    return F.transform(F.sequence(first, first - runs, F.lit(-1).cast("long")), one)
 
 
 def _minima(r: Column, window: int) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -63,7 +64,7 @@ def chosen_by_hand(text, k, window):
     """Hash and place of the runs that a plain loop over windows chooses."""
     points = "".join(c for c in text.lower().replace("ς", "σ") if c not in " \t\n\x0b\x0c\r")
     runs = [points[j : j + k] for j in range(len(points) - k + 1)] or ([points] if points else [])
-    hs = [xxhash.xxh64_intdigest(r.encode("utf-32-be"), 42) & 0xFFFFFFFF for r in runs]
+    hs = [int(np.uint64(xxhash.xxh64_intdigest(r.encode("utf-32-be"), 42)).view(np.int64)) >> 31 for r in runs]
     return [(hs[j], j) for j in marks_by_hand(hs, window)]
 
 
