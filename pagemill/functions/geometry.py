@@ -170,6 +170,20 @@ def moved_on_page(m: Column, dx: Column, dy: Column) -> Column:
     return F.struct((x1 - x0).alias("x"), (y1 - y0).alias("y"))
 
 
+#: Fixed value: the least side of a box that is dragged smaller, in pixels.
+LEAST = 6.0
+
+
+def dragged(m: Column, x: Column, y: Column, w: Column, h: Column, dx: Column, dy: Column, resize: Column, keep: Column) -> Column:
+    """A page's rectangle after its box on the device is moved by (dx, dy), or resized at its lower right corner; `keep` holds the shape, as of images."""
+    box = mapped_box(m, x, y, w, h)
+    wide = F.greatest(F.lit(LEAST), box["width"] + dx)
+    high = F.when(keep, wide / (box["width"] / F.greatest(F.lit(1.0), box["height"]))).otherwise(F.greatest(F.lit(LEAST), box["height"] + dy))
+    left, top = box["left"] + F.when(resize, 0.0).otherwise(dx), box["top"] + F.when(resize, 0.0).otherwise(dy)
+    back = mapped_box(inverted(m), left, top, F.when(resize, wide).otherwise(box["width"]), F.when(resize, high).otherwise(box["height"]))
+    return F.struct(back["left"].alias("x"), back["top"].alias("y"), back["width"].alias("w"), back["height"].alias("h"))
+
+
 def thumbnail(w: Column, h: Column, most_w: int, most_h: int) -> Column:
     """Width and height in whole pixels of a page scaled into a box."""
     scale = F.least(F.lit(most_w) / w, F.lit(most_h) / h)

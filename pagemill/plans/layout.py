@@ -245,3 +245,14 @@ def line_bands(spark: SparkSession, d: str) -> DataFrame:
     covered = geometry.cover_band(c["x"], c["y"], flat, c["w"], c["font_size"], F.lit(0.8), F.lit(-0.2))
     r6 = lambda v: text.rounded(v, 10**6)
     return b.select("doc_id", "page_number", "yk", r6(removed["x"]).alias("rx"), r6(removed["w"]).alias("rw"), r6(removed["h"]).alias("rh"), r6(covered["x"]).alias("cx"), r6(covered["w"]).alias("cw"))
+
+
+@query(f"""WITH {V.BOXES}, a AS (SELECT *, (yk % 7 * 15 - 45)::DOUBLE AS angle FROM line_boxes), u AS (SELECT *, cos(radians(angle)) AS ux, sin(radians(angle)) AS uy, CASE WHEN w > font_size * 0.5 THEN font_size * 0.08e0 ELSE 0 END AS inset FROM a),
+b AS (SELECT *, x + ux * inset AS bx, y + uy * inset AS by_, greatest(0.5e0, w - inset * 2) AS len, font_size * 0.18e0 AS lo, font_size * 0.52e0 AS hi FROM u),
+c AS (SELECT doc_id, page_number, yk, [bx - uy * lo, bx - uy * lo + ux * len, bx - uy * hi, bx - uy * hi + ux * len] AS xs, [by_ + ux * lo, by_ + ux * lo + uy * len, by_ + ux * hi, by_ + ux * hi + uy * len] AS ys FROM b)
+SELECT doc_id, page_number, yk, floor(list_min(xs) * 1e5 + 0.5) AS x, floor(list_min(ys) * 1e5 + 0.5) AS y, floor((list_max(xs) - list_min(xs)) * 1e5 + 0.5) AS w, floor((list_max(ys) - list_min(ys)) * 1e5 + 0.5) AS h FROM c""")
+def turned_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Where slanted lines are taken away, in hundred-thousandths of a point."""
+    b = V.boxes_of(V.items(spark, d)).withColumn("angle", (F.col("yk") % 7 * 15 - 45).cast("double"))
+    own = b.select("doc_id", "page_number", "yk", geometry.removal_band(*(F.col(c) for c in ("x", "y", "angle", "w", "font_size"))).alias("b"))
+    return own.select("doc_id", "page_number", "yk", *(F.floor(F.col(f"b.{c}") * 1e5 + 0.5).cast("double").alias(c) for c in "xywh"))

@@ -67,7 +67,7 @@ def low_conf_runs(spark: SparkSession, d: str) -> DataFrame:
 d AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, page_number, line_no ORDER BY n) AS run FROM n WHERE lc >= 50 AND confidence < 70 AND NOT trim(text) SIMILAR TO '[|│¦｜\\[\\]]+'),
 runs AS (SELECT doc_id, page_number, line_no, min(n) AS first, max(n) AS last, avg(confidence) AS confidence, min(x0) AS x0, max(x1) AS x1 FROM d GROUP BY doc_id, page_number, line_no, run),
 second AS (SELECT doc_id, page_number, line_no, '+' || text AS text, CAST((doc_id * 13 + item_idx * 29) % 101 AS DOUBLE) AS confidence, x0 + item_idx % 5 * 3 AS x0, x1 + item_idx % 5 * 3 AS x1 FROM ocr_words WHERE item_idx % 7 <> 3),
-again AS (SELECT r.doc_id, r.page_number, r.line_no, r.first, r.last, string_agg(trim(s.text), ' ' ORDER BY s.x0, s.x1) AS again, avg(s.confidence) AS sure FROM runs r JOIN second s USING (doc_id, page_number, line_no) WHERE (least(r.x1, s.x1) - greatest(r.x0, s.x0)) * 2 > s.x1 - s.x0 GROUP BY r.doc_id, r.page_number, r.line_no, r.first, r.last, r.confidence HAVING avg(s.confidence) >= r.confidence + 5),
+again AS (SELECT r.doc_id, r.page_number, r.line_no, r.first, r.last, string_agg(trim(s.text), ' ' ORDER BY s.x0, s.x1, trim(s.text)) AS again, avg(s.confidence) AS sure FROM runs r JOIN second s USING (doc_id, page_number, line_no) WHERE (least(r.x1, s.x1) - greatest(r.x0, s.x0)) * 2 > s.x1 - s.x0 GROUP BY r.doc_id, r.page_number, r.line_no, r.first, r.last, r.confidence HAVING avg(s.confidence) >= r.confidence + 5),
 merged AS (SELECT n.doc_id, n.page_number, n.line_no, coalesce(a.first, n.n) AS n, coalesce(any_value(a.again), any_value(trim(n.text))) AS text, coalesce(any_value(a.sure), avg(n.confidence)) AS confidence, bool_or(a.first IS NOT NULL) AS new FROM n LEFT JOIN again a ON a.doc_id = n.doc_id AND a.page_number = n.page_number AND a.line_no = n.line_no AND n.n BETWEEN a.first AND a.last GROUP BY n.doc_id, n.page_number, n.line_no, coalesce(a.first, n.n))
 SELECT doc_id, page_number, line_no, string_agg(text, '|' ORDER BY n) AS words, CAST(sum(CAST(floor(confidence * 1e6 + 0.5) AS BIGINT)) // count(*) AS BIGINT) AS millionths, count(*) FILTER (WHERE new) AS replaced FROM merged GROUP BY ALL""")
 def reread_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -30,6 +30,21 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return X.otsu(_pixels(spark, d)).withColumn("threshold", F.col("threshold").cast("long"))
 
 
+@query(f"""WITH {V.PIXELS}, h AS (SELECT doc_id, 255 - v AS v, count(*) AS n FROM pixels GROUP BY doc_id, v),
+c AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS wb, CAST(sum(n * v) OVER w AS BIGINT) AS sb, CAST(sum(n) OVER p AS BIGINT) AS total, CAST(sum(n * v) OVER p AS BIGINT) AS s FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY v), p AS (PARTITION BY doc_id)),
+b AS (SELECT doc_id, v, wb * (total - wb) * (sb / wb - (s - sb) / (total - wb)) * (sb / wb - (s - sb) / (total - wb)) AS between_ FROM c WHERE total > wb),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY between_ DESC, v) AS place FROM b),
+t AS (SELECT d.doc_id, CAST(coalesce(r.v, 128) AS BIGINT) AS threshold FROM (SELECT DISTINCT doc_id FROM h) d LEFT JOIN r ON d.doc_id = r.doc_id AND r.place = 1)
+SELECT doc_id, threshold, CAST(sum(CASE WHEN v <= threshold THEN n ELSE 0 END) AS BIGINT) AS ink FROM t JOIN h USING (doc_id) GROUP BY ALL""")
+def otsu_inverted(spark: SparkSession, d: str) -> DataFrame:
+    """Light text on a dark ground, read as its negative: the threshold, and how many pixels are ink, those not above it."""
+    negative = _pixels(spark, d).withColumn("v", 255 - F.col("v"))
+    cut = X.otsu(negative, default=128).withColumn("threshold", F.col("threshold").cast("long"))
+    counts = X.histogram(negative).join(cut, "doc_id").groupBy("doc_id", "threshold")
+    return counts.agg(F.coalesce(F.sum(F.when(F.col("v") <= F.col("threshold"), F.col("n"))), F.lit(0)).alias("ink"))
+
+
+
 @query(f"""WITH {V.PIXELS}, m AS (SELECT *, min(v) OVER p AS lo, max(v) OVER p AS hi FROM pixels WINDOW p AS (PARTITION BY doc_id)),
 o AS (SELECT doc_id, px, v, CASE WHEN hi - lo < 4 THEN v ELSE CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS BIGINT) END AS out FROM m)
 SELECT doc_id, v, out, count(*) AS n, CAST(sum(px) AS BIGINT) AS places FROM o GROUP BY doc_id, v, out""")

@@ -100,6 +100,27 @@ def nudges(spark: SparkSession, d: str) -> DataFrame:
     return moved.select("event_id", (F.col("by.x") + 0.0).alias("x"), (F.col("by.y") + 0.0).alias("y"))
 
 
+@query(f"""WITH {V.BOXES}, b AS (SELECT *, (doc_id % 4) * 90 AS turn, CAST(yk % 9 * 11 - 40 AS DOUBLE) AS dx, CAST(yk % 7 * 13 - 30 AS DOUBLE) AS dy, yk % 2 = 0 AS resize, yk % 3 = 0 AS keep FROM line_boxes),
+d AS (SELECT *, CASE turn WHEN 0 THEN x WHEN 90 THEN y WHEN 180 THEN 612 - x - w ELSE 792 - y - h END AS l, CASE turn WHEN 0 THEN 792 - y - h WHEN 90 THEN x WHEN 180 THEN y ELSE 612 - x - w END AS t, CASE WHEN turn % 180 = 0 THEN w ELSE h END AS bw, CASE WHEN turn % 180 = 0 THEN h ELSE w END AS bh FROM b),
+s AS (SELECT *, CASE WHEN resize THEN greatest(6, bw + dx) ELSE bw END AS nw, CASE WHEN resize THEN CASE WHEN keep THEN greatest(6, bw + dx) / (bw / greatest(1, bh)) ELSE greatest(6, bh + dy) END ELSE bh END AS nh, CASE WHEN resize THEN l ELSE l + dx END AS nl, CASE WHEN resize THEN t ELSE t + dy END AS nt FROM d)
+SELECT doc_id, page_number, yk, floor(CASE turn WHEN 0 THEN nl WHEN 90 THEN nt WHEN 180 THEN 612 - nl - nw ELSE 612 - nt - nh END * 1e4 + 0.37) AS x, floor(CASE turn WHEN 0 THEN 792 - nt - nh WHEN 90 THEN nl WHEN 180 THEN nt ELSE 792 - nl - nw END * 1e4 + 0.37) AS y,
+  floor(CASE WHEN turn % 180 = 0 THEN nw ELSE nh END * 1e4 + 0.37) AS w, floor(CASE WHEN turn % 180 = 0 THEN nh ELSE nw END * 1e4 + 0.37) AS h FROM s""")
+def drags(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes moved and resized on turned pages, some with their shape held, in ten-thousandths of a point, cut at 0.63, where no exact fraction of theirs lies."""
+    yk, view = F.col("yk"), geometry.viewport(*(F.lit(float(v)) for v in (0, 0, 612, 792)), (F.col("doc_id") % 4) * 90, F.lit(1.0))
+    boxes = V.boxes_of(V.items(spark, d)).withColumn("m", view["m"])
+    to = geometry.dragged(F.col("m"), *(F.col(c) for c in "xywh"), (yk % 9 * 11 - 40).cast("double"), (yk % 7 * 13 - 30).cast("double"), yk % 2 == 0, yk % 3 == 0)
+    return boxes.select("doc_id", "page_number", "yk", to.alias("to")).select("doc_id", "page_number", "yk", *(F.floor(F.col(f"to.{c}") * 1e4 + 0.37).cast("double").alias(c) for c in "xywh"))
+
+
+@query(f"""WITH {V.SHEETS}, e AS (SELECT event_id, user_id AS doc_id, event_id % 7 + 1 AS page_number FROM events)
+SELECT event_id, doc_id, page_number FROM e WHERE (doc_id, page_number) IN (SELECT (doc_id, page_number) FROM all_pages)""")
+def edits_on_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of pages that their file has."""
+    edits = V.read(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), (F.col("event_id") % 7 + 1).alias("page_number"))
+    return E.on_pages(edits, V.pages_of(V.read(spark, d, "documents"))).select("event_id", "doc_id", "page_number")
+
+
 @query("""WITH i AS (SELECT p_partkey, p_size * 37 + 20 AS w, (p_partkey % 50 + 1) * 41 AS h FROM part)
 SELECT p_partkey, CAST(ceil(w * least(160e0 / w, 220e0 / h)) AS BIGINT) AS small_w, CAST(ceil(h * least(160e0 / w, 220e0 / h)) AS BIGINT) AS small_h, (2500 - w) / 2e0 AS x, (2500 - h) / 2e0 AS y FROM i""")
 def thumbnails(spark: SparkSession, d: str) -> DataFrame:
