@@ -34,7 +34,7 @@ _TERMS = re.compile(rb"[a-z\x80-\xff]+").findall
 GROUP = ["lang", "source"]
 
 
-def tallied(documents: DataFrame, most: int = 500_000) -> DataFrame:
+def tallied(documents: DataFrame, most: int = 800_000) -> DataFrame:
     """Rows (lang, source, term, n, docs), several for a term, and one or more with a null term for every group; a task holds about `most` terms before it writes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,9 +43,10 @@ def tallied(documents: DataFrame, most: int = 500_000) -> DataFrame:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in counts.items():
-                terms = list(n)
-                cols = [[lang] * (len(terms) + 1), [source] * (len(terms) + 1), [None, *(t.decode() for t in terms)], [0, *n.values()], [0, *(docs[t] for t in terms)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 3 else pa.int64()) for k, c in enumerate(cols)], names)
+                terms, rows = list(n), len(n) + 1
+                longs = [pa.concat_arrays([pa.array([0], pa.int64()), pa.array(x, pa.int64(), size=rows - 1)]) for x in (n.values(), map(docs.__getitem__, terms))]
+                said = pa.concat_arrays([pa.nulls(1, pa.string()), pa.array(terms, pa.binary()).cast(pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), rows), pa.repeat(pa.scalar(source, pa.string()), rows), said, *longs], names)
             counts.clear()
 
         held = 0
