@@ -41,7 +41,7 @@ from .common import dropped, stored, text_or_empty
 _HASH = lambda b: xxhash.xxh64_intdigest(b, 42) - (1 << 63)
 END, START = _HASH(b"\n"), _HASH(b" ")
 _TOKENS = 500_000
-_FLUSH = 4_000_000
+_FLUSH = 1_500_000
 
 
 def held_out(mod: int = 10, rest: int = 0):
@@ -225,7 +225,7 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys, grow: n
     new, only = np.broadcast_to(np.asarray(new, np.float64), customers.shape), lambda at: [k[at] if isinstance(k, np.ndarray) else k for k in keys]
     for low, high in ((0, 8), (8, 32), (32, 256), (256, _AT_ONCE)):
         every = np.flatnonzero((customers > low) & (customers <= high))
-        for at in np.array_split(every, -(-len(every) * high // (1 << 20)) or 1):
+        for at in np.array_split(every, -(-len(every) * high // (1 << 18)) or 1):
             if len(at):
                 out[at] = _counted_tables(customers[at], new[at], grow[at], discount, *only(at))
     for at in np.flatnonzero(customers > _AT_ONCE)[:, None]:
