@@ -13,6 +13,7 @@ from pagemill.operators import edits as E
 from pagemill.operators import objects as O
 from pagemill.operators import pages as P
 from pagemill.operators import pixels as X
+from pagemill.sources import views as V
 
 
 def pages_by_hand(said, total):
@@ -128,3 +129,9 @@ def test_change_plans_rebuild_the_text(spark):
         ink = [c for c in old if c != " "]
         kept = ink[: p.kept_before] + [c for c in p.middle if c != " "] + ink[len(ink) - p.kept_after :]
         assert "".join(kept) == "".join(new.split())
+
+
+def test_pages_count_their_items(spark):
+    docs = spark.createDataFrame([(0, "a  b\n\n c" + "\n" * 5 + "\nd"), (1, ""), (2, None), (3, " \nx")], "doc_id long, text string")
+    got = {(r.doc_id, r.page_number): r.n for r in V.counted_pages_of(docs).collect()}
+    assert got == {(0, 1): 3, (0, 2): 1, (0, 3): 0, (1, 1): 0, (3, 1): 1, (3, 2): 0}
