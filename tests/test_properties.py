@@ -13,6 +13,7 @@ from pagemill.operators import edits as E
 from pagemill.operators import objects as O
 from pagemill.operators import pages as P
 from pagemill.operators import pixels as X
+from pagemill.operators import spatial as S
 from pagemill.sources import views as V
 
 
@@ -135,3 +136,13 @@ def test_pages_count_their_items(spark):
     docs = spark.createDataFrame([(0, "a  b\n\n c" + "\n" * 5 + "\nd"), (1, ""), (2, None), (3, " \nx")], "doc_id long, text string")
     got = {(r.doc_id, r.page_number): r.n for r in V.counted_pages_of(docs).collect()}
     assert got == {(0, 1): 3, (0, 2): 1, (0, 3): 0, (1, 1): 0, (3, 1): 1, (3, 2): 0}
+
+
+def test_removed_glyphs_are_joined_once(spark):
+    schema = "doc_id long, page_number long, item_idx long, p long, x double, y double, w double, size double"
+    glyphs = spark.createDataFrame([(d, p, 0, k, 6.0 * k, 10.0, 6.0, 0.0) for d in (1, 2) for p in (1, 2) for k in range(4)], schema)
+    rects = spark.createDataFrame([(1, 1, 5.0, 9.0, 11.0, 2.0), (1, 1, 5.0, 9.0, 11.0, 2.0), (1, 1, 20.0, 50.0, 9.0, 9.0), (2, 2, 0.0, 0.0, 99.0, 99.0)], "doc_id long, page_number long, x double, y double, w double, h double")
+    left = S.removed(glyphs, rects)
+    got = sorted((r.doc_id, r.page_number, r.p) for r in left.collect())
+    assert got == [(1, 1, 0), (1, 1, 3)] + [(d, p, k) for d, p in ((1, 2), (2, 1)) for k in range(4)]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
