@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fonts as O
-from ..operators import layout as L
 from ..registry import query
 from ..sources import views as V
 
@@ -73,8 +72,11 @@ def words_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _worded(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("item_idx") % 11 == 5, "").otherwise(F.concat(F.when(F.col("item_idx") % 3 == 1, "").otherwise(" "), "str"))
-    return V.items(spark, d).groupBy("doc_id", "page_number", "line_no").agg(F.array_join(L.in_order(said, "item_idx"), "").alias("line"), L.in_order("str", "item_idx").alias("words"))
+    """Lines and their words, told inside their document's row."""
+    i = lambda k: F.col("first") + k
+    said = F.transform("words", lambda w, k: F.when(i(k) % 11 == 5, "").otherwise(F.concat(F.when(i(k) % 3 == 1, "").otherwise(" "), w)))
+    lines = V.lines(spark, d).select("doc_id", "page_number", "line_no", "first", V.words_of("line").alias("words"))
+    return lines.select("doc_id", "page_number", "line_no", F.array_join(said, "").alias("line"), "words")
 
 
 @query(f"""WITH {V.ITEMS}, p AS (SELECT *, CASE WHEN item_idx % 3 = 1 THEN '' ELSE ' ' END AS sep FROM text_items),
