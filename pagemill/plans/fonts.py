@@ -25,7 +25,7 @@ SELECT doc_id, page_number, line_no, sum(CASE WHEN ch IN ('e', 't', 'a') THEN 45
 def text_width(spark: SparkSession, d: str) -> DataFrame:
     """All files name their font alike, but its widths differ."""
     key = ["doc_id", "page_number", "line_no"]
-    lines = V.items(spark, d).groupBy(*key).agg(F.array_join(L.in_order("str", "item_idx"), "").alias("text"), F.first("font_size").alias("size")).withColumn("font", F.lit("F"))
+    lines = V.lines(spark, d).select(*key, F.replace("line", F.lit(" "), F.lit("")).alias("text"), F.col("font_size").alias("size"), F.lit("F").alias("font"))
     i = F.col("doc_id")
     each = F.array(*(F.struct(F.lit("F").alias("font"), F.lit(c).alias("char"), (250 + i % 3 if c == "i" else 450 + i % 5 * 10).alias("width")) for c in "etai"))
     return O.text_width(lines, V.read(spark, d, "documents").select("doc_id", F.inline(each)), key)
