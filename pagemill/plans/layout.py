@@ -70,9 +70,8 @@ def markdown_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {V.ITEMS}, {V.SHEETS} SELECT doc_id, page_number FROM all_pages WHERE (doc_id, page_number) NOT IN (SELECT (doc_id, page_number) FROM text_items)")
 def blank_sheets(spark: SparkSession, d: str) -> DataFrame:
-    """Sheets of pages without items."""
-    cells = sinks.sheet_cells(L.table_cells(V.items(spark, d)), V.pages_of(V.read(spark, d, "documents")))
-    return cells.where("value = '(empty page)'").select("doc_id", "page_number")
+    """Sheets of pages without items, told from the number of items of each page: a page that reads `(empty page)` isn't one."""
+    return sinks.blank_sheets(V.counted_pages_of(V.read(spark, d, "documents")))
 
 
 @query(f"""WITH {LINES}, {V.SHEETS}, body AS (SELECT doc_id, page_number, yk, {KIND} AS kind, trim(text) AS text FROM lines JOIN medians USING (doc_id, page_number) WHERE trim(text) <> ''),

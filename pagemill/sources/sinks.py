@@ -34,11 +34,15 @@ def markdown_docs(md: DataFrame, every_page: DataFrame | None = None) -> DataFra
     return pages.groupBy("doc_id").agg(F.concat(F.lit("# doc"), F.col("doc_id"), F.lit("\n\n"), F.array_join(L.in_order("md", "page_number"), "")).alias("md"))
 
 
-def sheet_cells(cells: DataFrame, every_page: DataFrame) -> DataFrame:
-    """Cells of all pages' sheets; a page without items has one that says so."""
-    blank = every_page.join(cells.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+def blank_sheets(pages: DataFrame) -> DataFrame:
+    """pages: (doc_id, page_number, n items). The sheets of pages without items."""
+    return pages.where("n = 0").select("doc_id", "page_number")
+
+
+def sheet_cells(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cells of all pages' sheets; a page without items has one that says so. pages: (doc_id, page_number, n items)."""
     zero = F.lit(0).cast("long")
-    return cells.unionByName(blank.select("doc_id", "page_number", zero.alias("row"), zero.alias("col"), F.lit("(empty page)").alias("value")))
+    return cells.unionByName(blank_sheets(pages).select("doc_id", "page_number", zero.alias("row"), zero.alias("col"), F.lit("(empty page)").alias("value")))
 
 
 def docx_paragraphs(lines: DataFrame, every_page: DataFrame) -> DataFrame:
