@@ -183,7 +183,7 @@ def layer_lines(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("turned"), F.array(none, wide, -size, none, -F.col("y"), "along")).otherwise(F.array(wide, none, none, size, "along", "y"))
     runs = runs.select("doc_id", "page_number", (i * 4 + F.col("k")).alias("item_idx"), "str", t[4].alias("x"), t[5].alias("y"), "width", "font", t.alias("t"))
     each = [("Alt", "B", 0.9, -0.9, False), ("Body", "B", 0.9, -0.3, False), ("Head", "H", 9.9, -0.3, False), ("Vert", "V", 0.9, -0.3, True)]
-    fonts = V.read(spark, d, "documents").select("doc_id", F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("font", "base_font", "ascent", "descent", "vertical"), f, strict=True))) for f in each))))
+    fonts = V.dealt(spark, d).select("doc_id", F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("font", "base_font", "ascent", "descent", "vertical"), f, strict=True))) for f in each))))
     lines = L.layer_lines(L.fragments(runs), fonts)
     said = F.array_join(F.transform("fonts", lambda f: F.concat_ws(":", f["base_font"], f["chars"])), ";")
     return lines.select("doc_id", "page_number", "line", "text", "x", "y", "angle", text.rounded(F.col("width"), 10**6).alias("width"), "size", "font", "h_scale", "ascent", "descent", said.alias("fonts"))

@@ -38,3 +38,25 @@ def test_pixels_of_tiles_stay_in_their_tile(spark):
     rasters = spark.createDataFrame([(1, 3, 2, [0, None, 200, 100, 0, 0]), (2, 0, 5, []), (3, 1, 1, None)], "doc_id long, width int, height int, data array<int>")
     ink = T.projection(T.tiled(rasters, 2))
     assert "pos" not in plan(ink) and {tuple(r) for r in ink.collect()} == {(1, "x", 0, 2), (1, "x", 1, 1), (1, "x", 2, 1), (1, "y", 0, 1), (1, "y", 1, 3)}
+
+
+def shuffles(spark, name):
+    """Shuffles where no side of a join is small enough to be sent to all tasks, and what they are of."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return [line.split("Exchange ")[1] for line in told.splitlines() if "Exchange " in line]
+
+
+@pytest.mark.parametrize("name", ["layer_lines", "ocr_segments", "excel_grid"])
+def test_words_of_dealt_documents_are_not_shuffled(spark, name):
+    got = shuffles(spark, name)
+    assert got and all(s.startswith("hashpartitioning(doc_id#") and "REPARTITION_BY_NUM" in s for s in got)
+
+
+def test_words_are_dealt_by_pages_before_they_become_glyphs(spark):
+    told = shuffles(spark, "glyphs_in_box")
+    assert sum("page_number" in s for s in told) == 2 and sum("REPARTITION_BY_COL" in s for s in told) == 1
