@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.arrays import bound
 from ..functions.text import hangul_share, letters
@@ -13,6 +17,8 @@ from .spatial import not_covered
 LOW, FAIR, GOOD = 60, 60, 80
 RULES = r"^[|│¦｜\[\]]+$"
 BOLD_RATIO, BOLD_RATIO_HANGUL = 0.128, 0.092
+#: Words below the one are read again, in lines whose mean is at least the other.
+DOUBT, LINE_LEAST = 70, 50
 LINE = ("doc_id", "page_number", "line_no")
 
 
@@ -50,7 +56,7 @@ def segments(words: DataFrame) -> DataFrame:
     return numbered.groupBy(*LINE, "segment").agg(F.array_join(texts, " ").alias("text"), F.avg("confidence").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def doubtful_runs(words: DataFrame, below: float = 70, line_least: float = 50) -> DataFrame:
+def doubtful_runs(words: DataFrame, below: float = DOUBT, line_least: float = LINE_LEAST) -> DataFrame:
     """Runs of neighbouring doubtful words in lines that are confident on the whole: what to read again."""
     full = words.where(F.trim("text") != "")
     line = Window.partitionBy(*LINE)
@@ -65,35 +71,92 @@ def adopted(old: Column, new: Column) -> Column:
     return new >= old + 5
 
 
-def second_readings(runs: DataFrame, second: DataFrame) -> DataFrame:
-    """runs as `doubtful_runs` gives them; second: (*LINE, text, confidence, x0, x1), words of another reading. Rows (*LINE, first, last, again, again_confidence): what it has for each run that it makes surer.
+_MERGED = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("text", StringType()), StructField("confidence", DoubleType()), StructField("new", BooleanType())]))
 
-    A word belongs to the run that holds over half of its width.
+
+@F.arrow_udf(_MERGED)
+def merged(words: pa.Array, second: pa.Array) -> pa.Array:
+    """Each line's words (text, confidence, x0, x1), none of them blank and in order, with its doubtful runs replaced where those of a second reading are surer.
+
+    What is left are (first, last, text, confidence, new), first and last being the places, from 1, of the words
+    that it stands for. A word of the second reading belongs to the run that holds over half of its width, and
+    therefore its middle: by middles it is found among the line's others in a sorted order.
     """
-    w = second.where(F.trim("text") != "").select(*LINE, F.trim("text").alias("said"), F.col("confidence").alias("sure"), F.col("x0").alias("s0"), F.col("x1").alias("s1"))
-    inside = (F.least("x1", "s1") - F.greatest("x0", "s0")) * 2 > F.col("s1") - F.col("s0")
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("s0", "s1", "said"))), lambda s: s["said"])
-    read = runs.join(w, list(LINE)).where(inside).groupBy(*LINE, "first", "words", "confidence").agg(F.array_join(texts, " ").alias("again"), F.avg("sure").alias("again_confidence"))
-    return read.where(adopted(F.col("confidence"), F.col("again_confidence"))).select(*LINE, "first", (F.col("first") + F.col("words") - 1).alias("last"), "again", "again_confidence")
+    flat = lambda a: dict(zip((f.name for f in a.type.value_type), a.flatten().flatten(), strict=True))
+    numbers = lambda d, *names: [d[n].to_numpy(zero_copy_only=False).astype(np.float64) for n in names]
+    mean = lambda of, v, n: np.bincount(of, np.nan_to_num(v), n) / np.bincount(of, ~np.isnan(v), n)
+    lengths = lambda a: pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    w, s, n, lines = flat(words), flat(second), lengths(words), len(words)
+    (sure, x0, x1), (its, s0, s1) = numbers(w, "confidence", "x0", "x1"), numbers(s, "confidence", "x0", "x1")
+    line, s_line = np.repeat(np.arange(lines), n), np.repeat(np.arange(lines), lengths(second))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        low = np.flatnonzero((mean(line, sure, lines)[line] >= LINE_LEAST) & (sure < DOUBT))
+        low = low[~pc.match_substring_regex(w["text"].take(pa.array(low)), RULES).to_numpy(zero_copy_only=False).astype(bool)]
+        begins = np.append(True, (np.diff(low) > 1) | (np.diff(line[low]) > 0))[: len(low)]
+        start, run = np.flatnonzero(begins), np.cumsum(begins) - 1
+        first, last, runs = low[start], low[np.append(start[1:], len(low))[: len(start)] - 1], len(start)
+        reach = lambda f, v: f.reduceat(v[low], start) if runs else np.zeros(0)
+        r0, r1, doubt = reach(np.fmin, x0), reach(np.fmax, x1), mean(run, sure[low], runs)
+        # Among the middles of a line's words: how many lie before a run, and how many before its end. What rounding may hide is taken in as well.
+        middle, slack = (s0 + s1) / 2, lambda x: 1e-9 * (1 + np.abs(x))
+        order = np.lexsort((middle, s_line))
+        middle, m_line, m = middle[order], s_line[order], len(order)
+
+        def before(at: np.ndarray) -> np.ndarray:
+            mixed = np.lexsort((np.append(middle, at), np.append(m_line, line[first])))
+            out, is_run = np.zeros(runs, np.int64), mixed >= m
+            out[mixed[is_run] - m] = np.cumsum(~is_run)[is_run]
+            return out
+
+        a, b = before(r0 - slack(r0)), before(r1 + slack(r1))
+        many = np.maximum(b - a, 0)
+        r = np.repeat(np.arange(runs), many)
+        q = order[np.arange(len(r)) - np.repeat(np.cumsum(many) - many - a, many)]
+        inside = (np.minimum(r1[r], s1[q]) - np.maximum(r0[r], s0[q])) * 2 > s1[q] - s0[q]
+        r, q = r[inside], q[inside]
+        again = mean(r, its[q], runs)
+        new = adopted(doubt, again)
+    r, q = r[new[r]], q[new[r]]
+    said = s["text"].take(pa.array(q))
+    by = pc.sort_indices(pa.table([pa.array(r), pa.array(s0[q]), pa.array(s1[q]), said], ["r", "s0", "s1", "said"]), [(k, "ascending") for k in ("r", "s0", "s1", "said")])
+    ends = np.append(0, np.cumsum(np.bincount(r, minlength=runs)[new])).astype(np.int32)
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), said.take(by)), pa.scalar(" ", said.type))
+    kept = np.ones(len(line), bool)
+    kept[low[new[run]]] = False
+    kept[first[new]] = True
+    kept = np.flatnonzero(kept)
+    at = np.searchsorted(kept, first[new])
+    source, end, confidence, is_new = kept.copy(), kept.copy(), sure[kept], np.zeros(len(kept), bool)
+    source[at], end[at], confidence[at], is_new[at] = len(line) + np.arange(len(at)), last[new], again[new], True
+    place = lambda i: pa.array((i - (np.cumsum(n) - n)[line[i]] + 1).astype(np.int32))
+    rows = [place(kept), place(end), pa.concat_arrays([w["text"], texts]).take(pa.array(source)), pa.array(confidence, from_pandas=True), pa.array(is_new)]
+    ends = np.append(0, np.cumsum(np.bincount(line[kept], minlength=lines))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(rows, _MERGED.elementType.names))
 
 
 def reread(words: DataFrame, second: DataFrame) -> DataFrame:
     """Rows (*LINE, words, confidence, replaced): each line's words in order, (text, parts, x0, x1, h), with the runs that a second reading makes surer replaced by it.
 
-    `parts` are the words that stood in a word's place before; a line's confidence is the mean of its words', a replaced run counting once.
+    words: (*LINE, item_idx, text, confidence, x0, x1, y0, y1); second: (*LINE, text, confidence, x0, x1), words of another
+    reading. `parts` are the words that stood in a word's place before; a line's confidence is the mean of its words', a
+    replaced run counting once. Lines meet as arrays, their words are not joined.
     """
-    order = Window.partitionBy(*LINE).orderBy("x0", "item_idx")
-    full = words.where(F.trim("text") != "").select(*LINE, F.row_number().over(order).cast("long").alias("n"), F.trim("text").alias("text"), "confidence", "x0", "x1", (F.col("y1") - F.col("y0")).alias("h"))
-    new = second_readings(doubtful_runs(words), second)
-    w, r = full.alias("w"), new.alias("r")
-    both = w.join(r, [*(F.col(f"w.{k}") == F.col(f"r.{k}") for k in LINE), F.col("w.n").between(F.col("r.first"), F.col("r.last"))], "left").select("w.*", "first", "again", "again_confidence")
-    one = both.groupBy(*LINE, F.coalesce("first", "n").alias("n")).agg(
-        F.first("again").alias("again"), F.coalesce(F.first("again_confidence"), F.avg("confidence")).alias("confidence"), F.transform(F.sort_array(F.collect_list(F.struct(F.col("n").alias("k"), "text"))), lambda s: s["text"]).alias("parts"),
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("h").alias("h"),
-    )
-    said = F.struct("n", F.coalesce("again", F.get("parts", F.lit(0))).alias("text"), "parts", "x0", "x1", "h", F.col("again").isNotNull().alias("new"), "confidence")
-    lines = one.groupBy(*LINE).agg(F.sort_array(F.collect_list(said)).alias("words"), F.avg("confidence").alias("confidence"), F.count_if(F.col("again").isNotNull()).alias("replaced"))
-    return lines
+    of = lambda df, order, *cols: df.where(F.trim("text") != "").groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct(*order, F.trim("text").alias("text"), "confidence", *cols))).alias("of"))
+    own = of(words, ("x0", "item_idx"), "x1", (F.col("y1") - F.col("y0")).alias("h")).withColumnRenamed("of", "own")
+    both = own.join(of(second, ("x0", "x1")), list(LINE), "left")
+    return told(both.withColumn("left", merged("own", "of")))
+
+
+def told(lines: DataFrame) -> DataFrame:
+    """As `reread`, from lines with their words (`own`) and what is left of them (`left`)."""
+    said = lambda m: F.slice("own", m["first"], m["last"] - m["first"] + 1)
+    each = F.transform("left", lambda m: F.struct(m["first"].cast("long").alias("n"), m["text"].alias("text"), F.transform(said(m), lambda w: w["text"]).alias("parts"), F.array_min(F.transform(said(m), lambda w: w["x0"])).alias("x0"), F.array_max(F.transform(said(m), lambda w: w["x1"])).alias("x1"), F.array_max(F.transform(said(m), lambda w: w["h"])).alias("h"), m["new"].alias("new"), m["confidence"].alias("confidence")))
+    mean = F.aggregate("left", F.lit(0.0), lambda a, m: a + m["confidence"]) / F.size("left")
+    return lines.select(*LINE, each.alias("words"), mean.alias("confidence"), replaced(F.col("left")).alias("replaced"))
+
+
+def replaced(left: Column) -> Column:
+    return F.size(F.filter(left, lambda m: m["new"])).cast("long")
 
 
 def respaced(line: Column, words: Column) -> Column:

@@ -5,6 +5,7 @@ import pytest
 
 from pagemill import registry
 from pagemill.operators import tiles as T
+from pagemill.sources import views as V
 
 registry.load()
 SF = "/root/testdata/sf0.001"
@@ -60,3 +61,28 @@ def test_words_of_dealt_documents_are_not_shuffled(spark, name):
 def test_words_are_dealt_by_pages_before_they_become_glyphs(spark):
     told = shuffles(spark, "glyphs_in_box")
     assert sum("page_number" in s for s in told) == 2 and sum("REPARTITION_BY_COL" in s for s in told) == 1
+
+
+def test_second_readings_meet_their_lines_without_shuffled_words(spark):
+    told = plan(registry.QUERIES["reread_lines"](spark, SF))
+    assert [n for n in ("Join", "Aggregate", "Window", "Sort") if n in told] == []
+
+
+def test_words_are_placed_in_their_texts_and_empty_lines_have_none(spark):
+    texts = ["a b  c\n\n d e", "", None, " \n \n", "\n".join(f"w{i}  x ü€😀 y" for i in range(20)), "\n\nq", "x "]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = []
+    for doc, text in enumerate(texts):
+        on = {}
+        for line_no, line in enumerate((text or "").split("\n")):
+            at = 0
+            for w in line.split(" "):
+                if w:
+                    page = line_no // 8 + 1
+                    want.append((doc, page, line_no, on.get(page, 0), w, 72.0 + 6 * at))
+                    on[page] = on.get(page, 0) + 1
+                at += len(w) + 1
+    got = [tuple(r) for r in V.items_of(documents).select("doc_id", "page_number", "line_no", "item_idx", "str", "x").collect()]
+    assert sorted(got) == want
+    flat = [(r.doc_id, r.page_number, r.line_no, r.first + k, w.str, 72.0 + 6 * w.at) for r in V.worded_lines_of(documents).collect() for k, w in enumerate(r.words)]
+    assert sorted(flat) == want
