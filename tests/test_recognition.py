@@ -108,3 +108,29 @@ def test_query_over_the_event_table(spark):
     kind = lambda k: "open" if k == 0 else "ask" if k < 6 else "done" if k < 10 else "error"
     want = replay([(u, i, at, kind(i % 11), i % 3) for u, i, at in events])
     assert sorted(tuple(r) for r in streams.recognition_steps(spark, d).collect()) == want
+
+
+def test_a_batch_fetches_and_puts_back_a_session_once():
+    from pyspark.sql import Row
+
+    class Held:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Held()
+
+    events, own, got = [e for e in events_of(400) if e[0] == 1], R.Recognition(), []
+    own.init(Handle())
+    for part in (events[:50], events[50:]):
+        rows = [Row(session=1, event_id=i, at_ms=at, kind=kind, page_number=page) for _, i, at, kind, page in part]
+        got += own.handleInputRows((1,), iter(rows[::-1]), None)
+    assert sorted(tuple(r) for r in got) == replay(events) and Held.calls == ["get", "update"] * 2
