@@ -128,7 +128,7 @@ in_col AS (SELECT i.doc_id, i.page_number, i.x, arg_min(c.col, abs(i.x - c.ancho
 SELECT doc_id, page_number, row, CAST(col AS BIGINT) AS col, trim(string_agg(str, ' ' ORDER BY x, item_idx)) AS value FROM in_row JOIN in_col USING (doc_id, page_number, x) GROUP BY ALL""")
 def excel_grid(spark: SparkSession, d: str) -> DataFrame:
     lower = lambda i: i.withField("y", i["y"] - 3.5 * (i["item_idx"] % 5))
-    return L.page_cells(V.paged_words_of(V.dealt(spark, d)).withColumn("items", F.transform("items", lower)))
+    return L.page_cells(V.page_items_of(V.dealt(spark, d)).withColumn("items", F.transform("items", lower)))
 
 
 @query(f"""WITH {V.SHEETS}, sheets AS (SELECT doc_id, page_number, left('Page ' || page_number, 31) AS sheet FROM all_pages
