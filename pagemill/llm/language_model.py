@@ -201,12 +201,15 @@ def _arrangements(discount: float, most: int) -> np.ndarray:
     return out
 
 
-def _counted_tables(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, *keys) -> np.ndarray:
-    """Numbers of tables drawn from their probabilities given everything else, by weighing each number there can be."""
+def _counted_tables(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, *keys, high: int) -> np.ndarray:
+    """Numbers of tables drawn from their probabilities given everything else, by weighing each number there can be.
+
+    high: no dish has more customers. A worker keeps a table of weights for each `high` that it is given, so these must be few.
+    """
     most = int(customers.max())
     with np.errstate(divide="ignore"):
         opens = np.log(new[:, None] + grow[:, None] * np.arange(1, most)[None])
-    weight = _arrangements(discount, most)[customers, 1:]
+    weight = _arrangements(discount, high)[:, 1 : most + 1][customers]
     weight[:, 1:] += np.cumsum(opens, 1)
     chance = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
     return 1 + (chance < np.broadcast_to(uniform(1 << 39, *keys), len(customers))[:, None] * chance[:, -1:]).sum(1)
@@ -227,7 +230,7 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, *keys, grow: n
         every = np.flatnonzero((customers > low) & (customers <= high))
         for at in np.array_split(every, -(-len(every) * high // (1 << 18)) or 1):
             if len(at):
-                out[at] = _counted_tables(customers[at], new[at], grow[at], discount, *only(at))
+                out[at] = _counted_tables(customers[at], new[at], grow[at], discount, *only(at), high=high)
     for at in np.flatnonzero(customers > _AT_ONCE)[:, None]:
         out[at] = _seated_apart(customers[at], new[at], grow[at], discount, tries, *only(at))
     return out

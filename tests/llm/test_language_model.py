@@ -141,3 +141,14 @@ def test_one_by_one_seats_as_by_openings():
     assert t[0] == 1 and w[0] == pytest.approx(sum(math.log(i - d) for i in range(1, 9)))
     many = M.seat(np.array([5000, 3, 2000]), np.full(3, 0.5), 0.8, np.arange(3), grow=np.full(3, 0.2))
     assert 10 < many[0] < 5000 and 1 <= many[1] <= 3
+
+
+def test_a_worker_keeps_few_tables_of_arrangements():
+    M._arrangements.cache_clear()
+    rnd, kept = np.random.default_rng(5), []
+    for most in (300, 1000, 20, 5, 700, 450, 12, 90):
+        customers = np.append(rnd.integers(2, most, 50), most)
+        got = M.seat(customers, np.full(51, 0.8), 0.6, np.arange(51), grow=0.3)
+        kept.append(M._arrangements.cache_info().currsize)
+        assert ((got >= 1) & (got <= customers)).all()
+    assert max(kept) <= 4
