@@ -58,3 +58,10 @@ def test_empty_tables(spark):
     assert importance.resample(docs.where("false"), none).collect() == []
     few = importance.resample(docs.where("doc_id < 4"), none).collect()
     assert [r["rank"] for r in few] == [None] * 3
+
+
+def test_blocks_are_small_enough_to_be_read_by_thousands(spark):
+    """A task reads 4096 rows of a stored table at once."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(200))) for k in range(60)], "doc_id long, text string").coalesce(1)
+    sizes = [len(r.buckets) + len(r.counts) for r in importance.count_matrix(docs).collect()]
+    assert len(sizes) > 5 and max(sizes) < 6 * (2048 + 600)
